@@ -70,3 +70,83 @@ r0 AS (SELECT sd.kind, sd.host, sd.seed, dg.degree, sd.seed AS score FROM sd LEF
 ph AS (SELECT host, max(CASE WHEN kind = 'trust' THEN score END) AS trust, max(CASE WHEN kind = 'distrust' THEN score END) AS distrust FROM r{rounds} GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust - trust >= {threshold!r} THEN 'block' ELSE 'allow' END) AS verdict FROM j JOIN ph USING (host)
 """
+
+
+def _cut(text: str, patterns: dict[str, str]) -> str:
+    """Columns m_<kind> (matches) and g_<kind> (gaps between them)."""
+    quoted = {k: p.replace("'", "''") for k, p in patterns.items()}
+    return ", ".join(f"regexp_extract_all({text}, '{p}') AS m_{k}, string_split_regex({text}, '{p}') AS g_{k}" for k, p in quoted.items())
+
+
+def _spans(kind: str, keep: str, name: str = "") -> str:
+    """List of {start, kind, value} of the matches of a cut for which ``keep`` holds (of x.value)."""
+    m, g = f"m_{name or kind}", f"g_{name or kind}"
+    return rf"""list_filter(list_transform({m}, lambda m, i: {{
+      'start': (list_sum(list_transform({g}[:i], lambda g: length(g))) + coalesce(list_sum(list_transform({m}[:i - 1], lambda g: length(g))), 0))::BIGINT,
+      'kind': '{kind}', 'value': m}}), lambda x: {keep})"""
+
+
+def _digest(spans: str) -> str:
+    return f"array_to_string(list_transform({spans}, lambda s: s.kind || ':' || s.start || ':' || (s.start + length(s.value))), ',')"
+
+
+def _ordered(spans: str, kinds) -> str:
+    """Spans by start, then kind as listed, then end."""
+    order = "[" + ", ".join(f"'{k}'" for k in kinds) + "]"
+    return f"list_transform(list_sort(list_transform({spans}, lambda s: {{'a': s.start, 'b': list_position({order}, s.kind), 'c': length(s.value), 's': s}})), lambda r: r.s)"
+
+
+_DIGITS = "regexp_replace(x.value, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT WHEN d::INT > 4 THEN 2 * d::INT - 9 ELSE 2 * d::INT END)) % 10 = 0"
+_PRIVATE = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x.value, '.'), lambda p: p::HUGEINT > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}
+
+OP1 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+b0 AS (SELECT doc_id, text, rid, {" || ".join(_spans(k, keep) for k, (_, keep) in _PRIVATE.items())} AS raw FROM (SELECT *, {_cut("text", {k: p for k, (p, _) in _PRIVATE.items()})} FROM d)),
+b AS (SELECT doc_id, text, rid, {_ordered("raw", (*_PRIVATE, "term", "name"))} AS base FROM b0),
+e AS (SELECT rid, text, base, s, CASE s.kind WHEN 'email' THEN 'email:' || lower(s.value) ELSE s.kind || ':' || regexp_replace(s.value, '[^0-9]', '', 'g') END AS entity,
+        s.start AS s0, s.start + length(s.value) AS s1 FROM (SELECT rid, text, base, unnest(base) AS s FROM b)),
+c AS (SELECT *, CASE WHEN s0 > 80 THEN regexp_replace(text[s0 - 79 : s0], '^\p{{L}}+', '') ELSE text[:s0] END AS l,
+        CASE WHEN length(text[s1 + 1 : s1 + 80]) = 80 THEN regexp_replace(text[s1 + 1 : s1 + 80], '\p{{L}}+$', '') ELSE text[s1 + 1 : s1 + 80] END AS r FROM e),
+t AS (SELECT rid, base, entity, l || chr(1) || r AS context, lower(u.value) AS term, u.start AS start, u.start + length(u.value) AS stop FROM (
+        SELECT rid, base, entity, l, r, unnest(list_transform({_spans("term", "true", "l")}, lambda v: {{'start': v.start + s0 - length(l), 'value': v.value}}) || list_transform({_spans("term", "true", "r")}, lambda v: {{'start': v.start + s1, 'value': v.value}})) AS u
+        FROM (SELECT *, {_cut("l", {"l": r"\p{L}{3,}"})}, {_cut("r", {"r": r"\p{L}{3,}"})} FROM c))),
+o AS (SELECT * FROM t WHERE len(list_filter(base, lambda x: x.start < stop AND start < x.start + length(x.value))) = 0),
+p AS (SELECT entity, term, count(DISTINCT rid) AS n_et FROM o GROUP BY ALL HAVING count(DISTINCT context) >= 2),
+ne AS (SELECT entity, count(DISTINCT rid) AS n_e FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 2),
+nt AS (SELECT term, count(DISTINCT rid) AS n_t FROM (SELECT rid, unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d) WHERE term IN (SELECT term FROM p) GROUP BY ALL),
+f AS (SELECT entity, term, log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e) AS disclosure FROM p JOIN ne USING (entity) JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e),
+g AS (SELECT rid, start, stop, max(disclosure) AS disclosure FROM o JOIN f USING (entity, term) WHERE disclosure >= 0.8 GROUP BY ALL),
+h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.95 THEN 'term' ELSE 'name' END, 'value': repeat('x', (stop - start)::INT)}}) AS terms FROM g GROUP BY rid)
+SELECT doc_id, {", ".join(f"len(list_filter(base, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}" for k in _PRIVATE)}, coalesce(len(terms), 0)::BIGINT AS n_term,
+  sha256({_digest("base")}) AS base_sha256, {_digest(_ordered("base || coalesce(terms, [])", (*_PRIVATE, "term", "name")))} AS spans
+FROM b LEFT JOIN h USING (rid)
+"""
+
+OP6 = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT DISTINCT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM v),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) / (q.norm * c.norm) AS score FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op9(rules, base) -> str:
+    keep = lambda r: "true" if not r.least else f"length(regexp_extract(x.value, '{r.pattern.replace(chr(39), chr(39) * 2)}', {r.group})) >= {r.least}"
+    kinds = [r.kind for r in rules]
+    # runs of one class: shorter ones never pass, so they need not be cut out
+    patterns = {r.kind: f"{r.pattern[:-1]}{{{r.least},}}" if r.pattern.count("[") == 1 and r.pattern.startswith("[") else r.pattern for r in rules}
+    counts = ", ".join(f"len(list_filter(spans, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}" for k in base)
+    only = f"list_filter(spans, lambda s: s.kind IN ({', '.join(repr(k) for k in base)}))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, {_cut("text", patterns)} FROM d),
+s AS (SELECT doc_id, {_ordered("raw", kinds)} AS spans FROM (SELECT doc_id, {" || ".join(_spans(r.kind, keep(r)) for r in rules)} AS raw FROM c))
+SELECT doc_id, {counts}, sha256({_digest(only)}) AS base_sha256, {_digest("spans")} AS spans FROM s
+"""
