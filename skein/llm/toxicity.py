@@ -206,10 +206,14 @@ class ToxicityScorer:
         self.k = k
         self.texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         marks = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
-        labelled = self.texts.join(marks, F.col("doc_id") == F.col("label_id")).select("text", "toxic", F.xxhash64("text").alias("name"))
-        # The bound of the sample. Equal texts are one example with their mean label.
-        names = labelled.groupBy("name").agg(F.avg("toxic").alias("toxic")).orderBy("name").limit(most_examples)
-        self.sample = saved(labelled.drop("toxic").join(names, "name").groupBy("name").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")), "examples")
+        # The sample is chosen on hashes, so only its own texts move. Equal texts are one example with their mean label.
+        name = F.xxhash64("text").alias("name")
+        hashed = saved(self.texts.select("doc_id", name), "hashes")
+        chosen = hashed.join(marks, F.col("doc_id") == F.col("label_id")).groupBy("name").agg(F.avg("toxic").alias("toxic"), F.min("doc_id").alias("example_id")).orderBy("name").limit(most_examples)
+        chosen = saved(chosen.withColumnRenamed("name", "example"), "chosen")
+        # most_examples rows of three numbers bound what is broadcast
+        met = self.texts.select("doc_id", name, "text").join(F.broadcast(chosen), (F.col("name") == F.col("example")) & (F.col("doc_id") == F.col("example_id")))
+        self.sample = saved(met.dropDuplicates(["name"]).select("name", "toxic", "text"), "examples")
         self.features = self._select(purity, least_z)
         self.vectors = saved(self._vectorised(self.texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text"), "doc_id long, row_key long"), "vectors")
         self.index = self._index()
