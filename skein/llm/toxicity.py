@@ -152,13 +152,13 @@ class Index:
         return float(((cosines * self.labels[rows]).sum() + self.base) / (cosines.sum() + 1))
 
     def calibrate(self, marked: list, k: int) -> None:
-        """Isotonic steps from leave-one-out votes to labels, pooled to 20 examples at least."""
+        """Isotonic steps from leave-one-out votes to labels, pooled to 5 examples at least."""
         if not marked:
             return
         pairs = sorted((self.vote(*self.search(ids, w, k, row)), y) for ids, w, y, row in marked)
         pools: list[list[float]] = []
-        for at in range(0, len(pairs), 20):
-            part = pairs[at : at + 20]
+        for at in range(0, len(pairs), 5):
+            part = pairs[at : at + 5]
             pools.append([sum(v for v, _ in part) / len(part), sum(y for _, y in part), len(part)])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 v, y, n = pools.pop()
