@@ -7,8 +7,9 @@ Plan
 1. One pass hashes each document's windows. To keep the count small, every window also names its *anchor*, the least
    hash of the short word runs inside it: equal windows have equal anchors, so a window whose anchor occurs in one
    document only cannot repeat. Anchors are about a twentieth of the windows; they are pre-aggregated and counted.
-2. Documents meet their own repeated anchors; the windows holding one (the only ones that can repeat) are emitted with a
-   128-bit Rabin-Karp hash and counted: least doc_id for each hash, pre-aggregated before the shuffle.
+2. Exact copies of an earlier document lose every word that a window covers, without hashing. Other documents meet their
+   own repeated anchors; the windows holding one (the only ones that can repeat) are emitted with a
+   96-bit Rabin-Karp hash and counted: least doc_id for each hash, pre-aggregated before the shuffle.
 3. Windows whose hash has a smaller doc_id return to their document, where overlapping windows merge into maximal removal
    intervals.
 
@@ -77,7 +78,7 @@ def _candidates(width: int, gram: int):
                     out.append((high[first + pos], low[first + pos], np.full(len(pos), at[lo + row]), np.full(len(pos), key[lo + row]), pos.astype(np.int32)))
                 if out:
                     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), *map(pa.array, cols[2:])], ["h1", "h2", "at", "key", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array((cols[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)), *map(pa.array, cols[2:])], ["h1", "h2", "at", "key", "pos"])
 
     return run
 
@@ -95,7 +96,7 @@ def intervals(positions: np.ndarray, width: int) -> list[tuple[int, int]]:
 def _kept(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column("text"), batch.column("positions")
+            texts, found, copy = batch.column("text"), batch.column("positions"), batch.column("copy")
             for lo, hi in slices(texts):
                 words = Words(texts.slice(lo, hi - lo), ids=False)
                 body = words.bytes.tobytes()
@@ -103,7 +104,8 @@ def _kept(width: int):
                 for row in range(hi - lo):
                     a, b = int(words.first[row]), int(words.first[row + 1])
                     keep = np.ones(b - a, dtype=bool)
-                    gone = intervals(np.asarray(found[lo + row].values), width) if found[lo + row].is_valid else []
+                    at = np.arange(max(b - a - width + 1, 0)) if copy[lo + row].is_valid else np.asarray(found[lo + row].values) if found[lo + row].is_valid else np.empty(0, np.int64)
+                    gone = intervals(at, width)
                     for s, e in gone:
                         keep[s:e] = False
                     left = np.flatnonzero(keep) + a
@@ -123,25 +125,27 @@ def _kept(width: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 8) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 16) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, removed (word intervals), kept_text.
 
     ``gram`` is the length of the short runs that anchors are taken from; it changes the work, never the result.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("at"), F.xxhash64("text").alias("key"))
-    long_enough = keyed.filter(F.length("text") >= 2 * width - 1).select("at", "key", "text")
+    doc_id = F.col("doc_id").cast("long")
+    # every use below has these three columns, so the texts are shuffled once and that shuffle is reused
+    keyed = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("at"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
 
-    anchors = saved(long_enough.mapInArrow(_anchors(width, gram), "anchor long, at long, key long"), "anchors")
+    anchors = saved(keyed.select("at", "key", "text").mapInArrow(_anchors(width, gram), "anchor long, at long, key long"), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").select("anchor")
-    own = anchors.join(repeated, "anchor").groupBy("at", "key").agg(F.collect_set("anchor").alias("anchors"))
-
-    windows = saved(long_enough.join(own, ["at", "key"]).mapInArrow(_candidates(width, gram), "h1 long, h2 long, at long, key long, pos int"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
+    # exact copies of an earlier document need no windows: all of theirs start there
+    texts = keyed.select("at", "key", F.hash("text").alias("key2"))
+    earliest = texts.groupBy("key", "key2").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").select("key", "key2", "lo")
+    copies = texts.join(earliest, ["key", "key2"]).filter("at > lo").select("at", "key").distinct().withColumn("copy", F.lit(True))
+    own = anchors.join(repeated, "anchor").groupBy("at", "key").agg(F.collect_set("anchor").alias("anchors")).join(copies, ["at", "key"], "left_anti")
+
+    # not written: hashing again costs less than keeping every window twice
+    windows = keyed.join(own, ["at", "key"]).mapInArrow(_candidates(width, gram), "h1 long, h2 int, at long, key long, pos int")
+    first = windows.groupBy("h1", "h2").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").drop("hi")
     gone = windows.join(first, ["h1", "h2"]).filter("at > lo").groupBy("at", "key").agg(F.collect_list("pos").alias("positions"))
 
-    return (
-        keyed.join(gone, ["at", "key"], "left")
-        .select("doc_id", "text", "positions")
-        .mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string")
-    )
+    kept = keyed.join(gone, ["at", "key"], "left").join(copies, ["at", "key"], "left").select(F.col("at").alias("doc_id"), "text", "positions", "copy").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string")
+    return kept.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
