@@ -159,6 +159,12 @@ def test_substrings_go_once(spark):
     assert got == {1: (62, 0), 2: (62, 60), 3: (1, 0)}
 
 
+def test_exact_copies_lose_what_windows_cover(spark):
+    text = " ".join(f"c{i}" for i in range(55))
+    got = {(r.doc_id, r.n_removed) for r in dedup_substrings(docs(spark, [(1, text), (2, text), (2, text), (None, text), (3, "a b"), (4, "a b")])).collect()}
+    assert got == {(1, 0), (2, 55), (None, 55), (3, 0), (4, 0)}
+
+
 def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.example.NET/en/x", None), (2, "https://b.net/de", ""), (3, None, ""), (4, "no scheme", "")], "page_id long, url string, html string")
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in judge_pages(pages).collect()}
