@@ -8,10 +8,13 @@ Plan
    sets form a class (least doc_id represents it), so exact copies cost one row however many there are.
 2. Classes that agree in a band meet in a bucket. A bucket first links every member to its least member (a star, never
    all pairs). Candidates pass if their signatures agree well enough and the full sets confirm the similarity.
-3. Connected components by alternating large-star and small-star. A bucket whose members are all in one component is
-   settled. In the others, members of different components are compared by signature in blocks of bounded size, inside
-   numpy; those that pass are confirmed on full sets and components are taken again. So no link that banding finds
-   between different components is lost, and no bucket is ever gathered into one task.
+3. Connected components by alternating large-star and small-star, of the confirmed links (components) and of the looser
+   star candidates (families). A family whose members are all in one component is settled. In the others, members of
+   different components are compared on full sets in blocks of bounded size, inside numpy; a block emits a spanning forest
+   of its links, never all pairs.
+4. Members of a bucket that lie in different families are compared by signature in such blocks too; the few pairs that pass
+   are confirmed on full sets, and components are taken again. So no link that banding finds is lost, and no bucket or
+   family is ever gathered into one task.
 
 With 32 bands of 4 rows, a pair at similarity 0.85 shares no band with probability 6e-11, at 0.8 with 5e-8. Shingles are
 64-bit hashes of word runs; set comparisons are exact but for hash collisions.
@@ -35,7 +38,8 @@ from skein.llm.components import connected_components
 from skein.llm.textkernels import BASE_A, BASE_B, Words, mix, powers, rolling, slices
 from skein.session import saved
 
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+LOOSE = 0.5  # agreement with a bucket's hub that makes a family
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary"
 
 
@@ -111,20 +115,21 @@ def agreement(sig_a: pd.Series, sig_b: pd.Series) -> np.ndarray:
 def _agreeing(least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.loc[agreement(f["sig_a"], f["sig_b"]) >= least, ["a", "b"]]
+            f["agreed"] = agreement(f["sig_a"], f["sig_b"])
+            yield f.loc[f["agreed"] >= least, ["a", "b", "agreed"]]
 
     return run
 
 
 def _cross(least: float):
-    """Pairs (left, right) of one block of a bucket that lie in different components and agree well enough."""
+    """Pairs (left, right) of one block of a bucket that lie in different groups and agree well enough."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        sides = [part.drop_duplicates("rep") for part in (f[f["left"]], f[~f["left"]])]
-        (rep_l, comp_l, sig_l), (rep_r, comp_r, sig_r) = [(p["rep"].to_numpy(), p["component"].to_numpy(), np.frombuffer(b"".join(p["sig"]), dtype=np.uint32).reshape(len(p), -1)) for p in sides]
+        sides = (f[f["left"]], f[~f["left"]])
+        (rep_l, own_l, sig_l), (rep_r, own_r, sig_r) = [(p["rep"].to_numpy(), p["own"].to_numpy(), np.frombuffer(b"".join(p["payload"]), dtype=np.uint32).reshape(len(p), -1)) for p in sides]
         out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x in range(len(rep_l)):
-            ys = np.flatnonzero(comp_r != comp_l[x])
+            ys = np.flatnonzero(own_r != own_l[x])
             ys = ys[(sig_r[ys] == sig_l[x]).mean(axis=1) >= least]
             out_a.append(np.minimum(rep_r[ys], rep_l[x]))
             out_b.append(np.maximum(rep_r[ys], rep_l[x]))
@@ -133,6 +138,40 @@ def _cross(least: float):
     return run
 
 
+def _forest(percent: int):
+    """Links (left, right) of one block of a family on full sets, only those that join what is not yet joined."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        left, right = (f[f["left"]], f[~f["left"]])
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sizes = right["payload"].map(len).to_numpy()
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            vocabulary, codes = np.unique(np.concatenate(right["payload"].tolist()), return_inverse=True)
+            rep_r = right["rep"].to_numpy()
+            group = right["own"].to_numpy().copy()  # of each right member, as links merge groups
+            merged: dict[int, int] = {}
+            held = np.zeros(len(vocabulary), dtype=np.int64)
+            for rep, own, values in zip(left["rep"], left["own"], left["payload"]):
+                while own in merged:
+                    own = merged[own]
+                if (group == own).all():
+                    continue
+                at = np.searchsorted(vocabulary, values)
+                at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == values)]
+                held[at] = 1
+                common = np.add.reduceat(held[codes], starts)
+                held[at] = 0
+                for y in np.flatnonzero(100 * common >= percent * (sizes + len(values) - common)):
+                    if group[y] != own:
+                        out.append((min(rep, rep_r[y]), max(rep, rep_r[y])))
+                        merged[group[y]] = own
+                        group[group == group[y]] = own
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 class NearDuplicates:
     """The stages over one table of documents; ``labelled`` is the result."""
 
@@ -153,48 +192,63 @@ class NearDuplicates:
         band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width)))))
         return self.classes.select("rep", band.alias("bucket"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those candidate pairs (a, b) whose signatures agree and whose full sets are similar enough."""
+    def likely(self, pairs: DataFrame, least: float) -> DataFrame:
+        """Those candidate pairs whose signatures agree: a, b, agreed."""
         sig = self.classes.select("rep", "sig")
         met = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        likely = saved(met.mapInPandas(_agreeing(self.least), "a long, b long"), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        sets = saved(self.docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(self.shingle), "doc_id long, shingles array<long>"), "sets")
+        return saved(met.mapInPandas(_agreeing(least), "a long, b long, agreed double"), "likely")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Full sets of the wanted documents (doc_id): doc_id, shingles."""
+        return self.docs.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets(self.shingle), "doc_id long, shingles array<long>")
+
+    def confirmed(self, likely: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose full sets are similar enough."""
+        sets = saved(self.sets(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id")))), "sets")
         both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         sized = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
         return sized.filter(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))).select("a", "b").distinct()
 
-    def cross_pairs(self, members: DataFrame) -> DataFrame:
-        """Candidate pairs across components, from members (bucket, rep, component, hub_component).
+    def blocks(self, members: DataFrame, payload, compare) -> DataFrame:
+        """Pairs across the groups of each ``place``, from members (place, rep, own, hub_own).
 
-        Members outside their hub's component (left) meet all members of the bucket (right), in blocks of about BLOCK by
-        BLOCK; what the hub's component holds is not compared with itself. Buckets of one component are settled.
+        Members outside their hub's group (left) meet all members of the place (right), in blocks of about BLOCK by BLOCK
+        and BLOCK_SHINGLES a side; what the hub's group holds is not compared with itself. Places of one group are settled.
+        ``payload`` gives (rep, payload) for rows of (rep); ``compare`` makes pairs of a block.
         """
-        outside = F.col("component") != F.col("hub_component")
-        sizes = members.groupBy("bucket").agg(F.count(F.when(outside, 1)).alias("n_left"), F.count(F.lit(1)).alias("n_all")).filter("n_left > 0")
-        rows = members.join(sizes, "bucket").withColumns({"grid_l": F.ceil(F.col("n_left") / BLOCK).cast("int"), "grid_r": F.ceil(F.col("n_all") / BLOCK).cast("int")})
+        outside = F.col("own") != F.col("hub_own")
+        members = members.join(self.classes.select("rep", "n_shingles"), "rep")
+        heavy = lambda c: F.sum(F.when(c, F.col("n_shingles")).otherwise(0))
+        sizes = members.groupBy("place").agg(F.count(F.when(outside, 1)).alias("n_left"), F.count(F.lit(1)).alias("n_all"), heavy(outside).alias("s_left"), heavy(F.lit(True)).alias("s_all")).filter("n_left > 0 and n_all > 2")
+        grid = lambda side: F.greatest(F.ceil(F.col(f"n_{side}") / BLOCK), F.ceil(F.col(f"s_{side}") / BLOCK_SHINGLES)).cast("int")
+        rows = saved(members.join(sizes, "place").withColumns({"grid_l": grid("left"), "grid_r": grid("all")}), "unsettled")
         own = lambda grid: F.pmod(F.xxhash64("rep"), F.col(grid)).cast("int")
         others = lambda grid: F.explode(F.sequence(F.lit(0), F.col(grid) - 1))
-        left = rows.filter(outside).select("bucket", "rep", "component", own("grid_l").alias("i"), others("grid_r").alias("j"), F.lit(True).alias("left"))
-        right = rows.select("bucket", "rep", "component", others("grid_l").alias("i"), own("grid_r").alias("j"), F.lit(False).alias("left"))
-        dealt = left.unionByName(right).join(self.classes.select("rep", "sig"), "rep")
-        return dealt.groupBy("bucket", "i", "j").applyInPandas(_cross(self.least), "a long, b long").distinct()
+        left = rows.filter(outside).select("place", "rep", "own", own("grid_l").alias("i"), others("grid_r").alias("j"), F.lit(True).alias("left"))
+        right = rows.select("place", "rep", "own", others("grid_l").alias("i"), own("grid_r").alias("j"), F.lit(False).alias("left"))
+        dealt = left.unionByName(right).join(payload(rows.select("rep")), "rep")
+        return dealt.groupBy("place", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """Confirmed links (a, b), and the component of every representative that has a link (node, component)."""
+        """Confirmed links (a, b) that span the components, and the component of every representative that has a link (node, component)."""
         banded = self.banded()
         hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").select("bucket", "hub")
         met = saved(banded.join(hubs, "bucket"), "met")
-        stars = self.confirmed(met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-        stars = saved(stars, "stars")
-        found = connected_components(stars)
-        members = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        members = members.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
-        cross = saved(self.cross_pairs(members), "cross")
-        if cross.isEmpty():
-            return stars, found
-        more = saved(self.confirmed(cross), "more")
-        return stars.unionByName(more), connected_components(stars.unionByName(more))
+        near = self.likely(met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), min(LOOSE, self.least))
+        stars = saved(self.confirmed(near.filter(F.col("agreed") >= self.least)), "stars")
+        found, families = connected_components(stars), saved(connected_components(near), "families")
+
+        member = families.select(F.col("component").alias("place"), F.col("node").alias("rep"))
+        member = member.join(found.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep", "left").withColumn("own", F.coalesce("own", "rep"))
+        # a family's least member is its hub, and the least of its component too
+        within = self.blocks(member.withColumn("hub_own", F.col("place")), lambda reps: self.sets(reps.select(F.col("rep").alias("doc_id"))).select(F.col("doc_id").alias("rep"), F.col("shingles").alias("payload")), _forest(self.percent))
+
+        of = lambda node, name: families.select(F.col("node").alias(node), F.col("component").alias(name))
+        apart = met.join(of("rep", "own"), "rep", "left").join(of("hub", "hub_own"), "hub", "left")
+        apart = apart.select(F.col("bucket").alias("place"), "rep", F.coalesce("own", "rep").alias("own"), F.coalesce("hub_own", "hub").alias("hub_own"))
+        across = self.blocks(apart, lambda _: self.classes.select("rep", F.col("sig").alias("payload")), _cross(self.least))
+        links = saved(stars.unionByName(within).unionByName(self.confirmed(saved(across, "across"))), "links")
+        return links, connected_components(links)
 
     def labelled(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""

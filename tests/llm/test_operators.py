@@ -169,3 +169,34 @@ def test_url_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.example.NET/en/x", None), (2, "https://b.net/de", ""), (3, None, ""), (4, "no scheme", "")], "page_id long, url string, html string")
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in judge_pages(pages).collect()}
     assert got == {1: ("a.example.net", "example.net/en/", "allow"), 2: ("b.net", "net/", "block"), 3: ("", None, "allow"), 4: ("", None, "allow")}
+
+
+def test_families_at_the_threshold_match_brute_force(spark, monkeypatch):
+    import random
+
+    from skein.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    rng, rows = random.Random(5), []
+    for family in range(4):
+        base = [f"w{family}x{i}" for i in range(120)]
+        for _ in range(45):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randint(0, 6)):
+                words[at] = f"edit{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(spark, rows), percent=85).collect()}
+    assert got == {i: top(i) for i in range(len(rows))}
+    assert 10 < len(set(got.values())) < 170
