@@ -39,6 +39,7 @@ from skein.llm.textkernels import BASE_A, BASE_B, Words, mix, powers, rolling, s
 from skein.session import saved
 
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+MOST_BROADCAST = 2_000_000
 LOOSE = 0.5  # agreement with a bucket's hub that makes a family
 SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary"
 
@@ -172,6 +173,16 @@ def _forest(percent: int):
     return run
 
 
+def among(df: DataFrame, key: str, wanted: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Rows of ``df`` whose key is one of the single column of ``wanted``.
+
+    The keys alone are broadcast where they are counted to be at most ``most`` (8 bytes each), so that wide rows nobody
+    wants are not shuffled; beyond it both sides are shuffled.
+    """
+    keys = saved(wanted.toDF(key).distinct(), "wanted")
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, key, "left_semi")
+
+
 class NearDuplicates:
     """The stages over one table of documents; ``labelled`` is the result."""
 
@@ -192,15 +203,14 @@ class NearDuplicates:
         band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width)))))
         return self.classes.select("rep", band.alias("bucket"))
 
-    def likely(self, pairs: DataFrame, least: float) -> DataFrame:
-        """Those candidate pairs whose signatures agree: a, b, agreed."""
-        sig = self.classes.select("rep", "sig")
+    def likely(self, pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
+        """Those candidate pairs whose signatures (rep, sig) agree: a, b, agreed."""
         met = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         return saved(met.mapInPandas(_agreeing(least), "a long, b long, agreed double"), "likely")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """Full sets of the wanted documents (doc_id): doc_id, shingles."""
-        return self.docs.join(wanted.distinct(), "doc_id", "left_semi").mapInArrow(_sets(self.shingle), "doc_id long, shingles array<long>")
+        return among(self.docs, "doc_id", wanted).mapInArrow(_sets(self.shingle), "doc_id long, shingles array<long>")
 
     def confirmed(self, likely: DataFrame) -> DataFrame:
         """Those pairs (a, b) whose full sets are similar enough."""
@@ -234,7 +244,8 @@ class NearDuplicates:
         banded = self.banded()
         hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("in_bucket")).filter("in_bucket > 1").select("bucket", "hub")
         met = saved(banded.join(hubs, "bucket"), "met")
-        near = self.likely(met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), min(LOOSE, self.least))
+        sig = saved(among(self.classes.select("rep", "sig"), "rep", met.select("rep")), "sig")
+        near = self.likely(met.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sig, min(LOOSE, self.least))
         stars = saved(self.confirmed(near.filter(F.col("agreed") >= self.least)), "stars")
         found, families = connected_components(stars), saved(connected_components(near), "families")
 
@@ -246,7 +257,7 @@ class NearDuplicates:
         of = lambda node, name: families.select(F.col("node").alias(node), F.col("component").alias(name))
         apart = met.join(of("rep", "own"), "rep", "left").join(of("hub", "hub_own"), "hub", "left")
         apart = apart.select(F.col("bucket").alias("place"), "rep", F.coalesce("own", "rep").alias("own"), F.coalesce("hub_own", "hub").alias("hub_own"))
-        across = self.blocks(apart, lambda _: self.classes.select("rep", F.col("sig").alias("payload")), _cross(self.least))
+        across = self.blocks(apart, lambda _: sig.withColumnRenamed("sig", "payload"), _cross(self.least))
         links = saved(stars.unionByName(within).unionByName(self.confirmed(saved(across, "across"))), "links")
         return links, connected_components(links)
 
