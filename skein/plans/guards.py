@@ -30,7 +30,7 @@ def _approved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "b7_wildcard": _of("part", lambda d: d.filter(gd.wildcard(F.col("p_name"), "p*1")).select("p_partkey", "p_name")),
+    "b7_wildcard": _of("part", lambda d: d.filter(gd.wildcard(F.col("p_name"), "a*e")).select("p_partkey", "p_name")),
     "b9_read_only": _of("documents", lambda d: d.select("doc_id", gd.read_only(F.col("text")).alias("sql_ok"), gd.read_only(F.col("text"), "cypher").alias("cypher_ok"))),
     "b18_keywords": _of("documents", lambda d: d.filter(gd.all_keywords(F.col("text"), F.array(F.lit("The"), F.lit(" "), F.lit("and")))).select("doc_id")),
     "b19_approval": _approved,
@@ -43,7 +43,7 @@ _TOKENS = "CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(1, lengt
 _WORD = r"NOT coalesce(regexp_matches(text, '(?i)(^|[^\pL\pN_])({})($|[^\pL\pN_])'), false)"
 
 ORACLES = {
-    "b7_wildcard": "SELECT p_partkey, p_name FROM part WHERE upper(p_name) LIKE '%P%1%'",
+    "b7_wildcard": "SELECT p_partkey, p_name FROM part WHERE upper(p_name) LIKE '%A%E%'",
     "b9_read_only": f"SELECT doc_id, {_WORD.format('INSERT|UPDATE|DELETE|DROP|CREATE|TRUNCATE|ALTER')} AS sql_ok, {_WORD.format('CREATE|DELETE|REMOVE|SET|MERGE|DROP')} AS cypher_ok FROM documents",
     "b18_keywords": "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')",
     "b19_approval": rf"SELECT conv_id, turn, CASE WHEN NOT {_WORD.format('the')} THEN 'destructive' WHEN role = 'system' THEN 'policy' WHEN ({_TOKENS}) * 15.0::DOUBLE / 1000 > 0.5 THEN 'cost' ELSE 'allow' END AS decision FROM conversations",
