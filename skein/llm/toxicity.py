@@ -3,16 +3,19 @@
 Features are words (runs of letters, lower-cased) and their starts of four to six letters. Those that mark toxic examples
 are selected on a bounded sample of labelled texts (``most_examples``, by least hash of the text): a feature counts if its
 share of toxic examples exceeds the base share significantly and reaches ``purity``. Document frequencies of the selected
-features are counted over all documents, and texts become TF-IDF vectors over them.
+features are counted over all documents, and texts become TF-IDF vectors over them, whose norm takes in all of a text's words:
+words without a selected feature weigh with their own document frequency, counted over all documents for the words of the
+sample (other words weigh as those of one document). So a selected word in a long text tells less than one that stands alone.
 
 The index holds the sample's vectors, sorted by their strongest feature and cut into blocks of ``BLOCK``; each posting
 list carries the largest weight in each block. A search visits blocks in order of their upper bound and stops when no
-block can reach the k-th cosine, so the k nearest are exact. Their labels vote, weighted by cosine and smoothed towards
+block can reach the k-th cosine, so the k nearest are exact. An example without a selected feature
+has cosine 0 to every text and no vote, but takes part in calibration. Labels vote, weighted by cosine and smoothed towards
 the base share; votes are calibrated by isotonic regression on leave-one-out votes of the sample. Texts without a selected
 feature score the share of toxic examples among such texts. Neighbours and cosines are kept as evidence.
 
-The sample (at most ``most_examples`` rows of a few features) and the index built from it are of bounded size whatever the
-corpus; everything else is a pass over the texts, pre-aggregated counts, and a pass over narrow feature rows.
+The sample (at most ``most_examples`` rows), its vocabulary and the index built from it are of bounded size whatever the
+corpus, save for the length of single texts; everything else is a pass over the texts, pre-aggregated counts, and a pass over narrow feature rows.
 
 Defined cases: null and empty texts have no features; labels that are null or not 0 or 1 are ignored; several labels of
 one text are averaged; rows with a null doc_id are scored and not held out; without any labelled example all scores are 0;
@@ -21,7 +24,9 @@ an empty table gives an empty result; other columns are ignored. Labels, lang, s
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,27 +59,60 @@ def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(np.full(len(found), y))], ["feature", "toxic"])
 
 
-def _vectors(numbers: dict[str, int]):
-    """Counts of selected features of each text: (feature numbers, counts)."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: set[str] = set()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            found.update(LETTERS.findall(text.lower()))
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
+
+
+def _document_counts(numbers):
+    """Documents of a task that hold each word of a broadcast vocabulary: (id, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[int, ...]] = {}
+        known = numbers.value
+        n = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
-            ids, counts = [], []
+            for text in batch.column("text").to_pylist():
+                n[[known[w] for w in set(LETTERS.findall(text.lower())) if w in known]] += 1
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], ["id", "n"])
+
+    return run
+
+
+def _vectors(numbers: dict[str, int], weights, unseen: float):
+    """Counts of selected features of each text and the squared weight of its other words: (feature numbers, counts, rest).
+
+    weights: broadcast IDF of words; unseen: that of words not among them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = weights.value
+        seen: dict[str, tuple[int, ...] | float] = {}
+        for batch in batches:
+            ids, counts, rests = [], [], []
             for text in batch.column("text").to_pylist():
                 own: dict[int, int] = {}
-                for word in LETTERS.findall((text or "").lower()):
+                rest = 0.0
+                for word, n in Counter(LETTERS.findall((text or "").lower())).items():
                     marks = seen.get(word)
                     if marks is None:
                         if len(seen) > 500_000:  # a memory of words, not of results
                             seen.clear()
-                        marks = seen[word] = tuple(numbers[f] for f in features_of(word) if f in numbers)
-                    for m in marks:
-                        own[m] = own.get(m, 0) + 1
+                        marks = seen[word] = tuple(numbers[f] for f in features_of(word) if f in numbers) or idf.get(word, unseen) ** 2
+                    if isinstance(marks, float):
+                        rest += marks if n == 1 else marks * (1 + math.log(n)) ** 2
+                    else:
+                        for m in marks:
+                            own[m] = own.get(m, 0) + n
                 ids.append(list(own))
                 counts.append(list(own.values()))
-            rest = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], [*rest, "ids", "counts"])
+                rests.append(rest)
+            kept = [n for n in batch.schema.names if n != "text"]
+            arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(rests, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *arrays], [*kept, "ids", "counts", "rest"])
 
     return run
 
@@ -93,19 +131,20 @@ class Index:
     blank: float = 0.0
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.0]))
 
-    def vector(self, ids, counts) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, ids, counts, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers and weights; rest is the squared weight of the text's other words."""
         ids = np.asarray(ids, dtype=np.int64)
         w = (1 + np.log(np.asarray(counts, dtype=np.float64))) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum())
+        return ids, w / np.sqrt((w * w).sum() + rest)
 
     @classmethod
-    def build(cls, examples: list[tuple[int, list[int], list[int], float]], idf: np.ndarray, k: int) -> Index:
-        """examples: (name, feature numbers, counts, label)."""
+    def build(cls, examples: list[tuple], idf: np.ndarray, k: int) -> Index:
+        """examples: (name, feature numbers, counts, label) and, where it has other words, their squared weight."""
         index = cls(idf, np.empty(0), np.empty(0, np.int64))
         marked = []
-        for name, ids, counts, y in examples:
+        for name, ids, counts, y, *rest in examples:
             if ids:
-                at, w = index.vector(ids, counts)
+                at, w = index.vector(ids, counts, *rest)
                 marked.append((int(at[w.argmax()]), name, at, w, y))
         marked.sort(key=lambda m: m[:2])
         index.labels, index.names = np.array([m[4] for m in marked]), np.array([m[1] for m in marked], dtype=np.int64)
@@ -123,7 +162,7 @@ class Index:
                 index.tops[f, row // BLOCK] = max(index.tops[f, row // BLOCK], w)
         index.rows = {f: np.array(r) for f, (r, _) in lists.items()}
         index.weights = {f: np.array(w) for f, (_, w) in lists.items()}
-        index.calibrate([(m[2], m[3], m[4], row) for row, m in enumerate(marked)], k)
+        index.calibrate([(m[2], m[3], m[4], row) for row, m in enumerate(marked)], k, blank)
         return index
 
     def search(self, ids: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -151,25 +190,31 @@ class Index:
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         return float(((cosines * self.labels[rows]).sum() + self.base) / (cosines.sum() + 1))
 
-    def calibrate(self, marked: list, k: int) -> None:
-        """Isotonic steps from leave-one-out votes to labels, pooled to 5 examples at least."""
+    def calibrate(self, marked: list, k: int, blank: list[float] = ()) -> None:
+        """Isotonic steps from leave-one-out votes to labels, pooled to 5 examples at least.
+
+        blank: labels of the examples that meet no other; theirs is the base share's vote, which vanishing cosines come to.
+        """
         if not marked:
             return
         pairs = sorted((self.vote(*self.search(ids, w, k, row)), y) for ids, w, y, row in marked)
+        parts = [pairs[at : at + 5] for at in range(0, len(pairs), 5)]
+        steps = [[sum(v for v, _ in part) / len(part), sum(y for _, y in part), len(part)] for part in parts]
+        if len(blank):
+            steps.append([self.base, sum(blank), len(blank)])
         pools: list[list[float]] = []
-        for at in range(0, len(pairs), 5):
-            part = pairs[at : at + 5]
-            pools.append([sum(v for v, _ in part) / len(part), sum(y for _, y in part), len(part)])
+        for step in sorted(steps, key=lambda p: p[0]):
+            pools.append(step)
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 v, y, n = pools.pop()
                 v0, y0, n0 = pools[-1]
                 pools[-1] = [(v0 * n0 + v * n) / (n0 + n), y0 + y, n0 + n]
         self.steps = np.array([p[0] for p in pools]), np.array([(y + self.base) / (n + 1) for _, y, n in pools])
 
-    def score(self, ids, counts, k: int) -> tuple[float, list[int], list[float]]:
+    def score(self, ids, counts, k: int, rest: float = 0.0) -> tuple[float, list[int], list[float]]:
         if not len(ids):
             return self.blank, [], []
-        rows, cosines = self.search(*self.vector(ids, counts), k)
+        rows, cosines = self.search(*self.vector(ids, counts, rest), k)
         if not len(rows):
             return self.blank, [], []
         vote = self.vote(rows, cosines)
@@ -183,12 +228,12 @@ def _scored(index: Index, k: int):
         known: dict[tuple, tuple] = {}
         for batch in batches:
             out = []
-            for ids, counts in zip(batch.column("ids").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                key = tuple(sorted(zip(ids, counts, strict=True)))
+            for ids, counts, rest in zip(*(batch.column(n).to_pylist() for n in ("ids", "counts", "rest")), strict=True):
+                key = tuple(sorted(zip(ids, counts, strict=True))), rest if ids else 0.0
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    known[key] = index.score([i for i, _ in key], [c for _, c in key], k)
+                    known[key] = index.score([i for i, _ in key[0]], [c for _, c in key[0]], k, rest)
                 out.append(known[key])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))))], ["doc_id", "row_key", "score", "evidence", "cosines"])
 
@@ -215,6 +260,7 @@ class ToxicityScorer:
         met = self.texts.select("doc_id", name, "text").join(F.broadcast(chosen), (F.col("name") == F.col("example")) & (F.col("doc_id") == F.col("example_id")))
         self.sample = saved(met.dropDuplicates(["name"]).select("name", "toxic", "text"), "examples")
         self.features = self._select(purity, least_z)
+        self.weights, self.unseen = self._word_weights()
         self.vectors = saved(self._vectorised(self.texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text"), "doc_id long, row_key long"), "vectors")
         self.index = self._index()
 
@@ -227,15 +273,28 @@ class ToxicityScorer:
         kept = counted.withColumn("z", z).filter((F.col("t") >= purity * F.col("n")) & (F.col("z") >= least_z) & (F.col("n") >= 4))
         return [r[0] for r in kept.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature").collect()]
 
+    def _word_weights(self) -> tuple:
+        """Broadcast IDF of the sample's words over all documents, and that of a word of one document."""
+        sc = self.texts.sparkSession.sparkContext
+        if not self.features:
+            return sc.broadcast({}), 0.0
+        words = self.sample.select("text").mapInArrow(_words, "word string").distinct().toArrow().column(0).to_pylist()  # the vocabulary of most_examples texts
+        numbers = sc.broadcast({w: i for i, w in enumerate(words)})
+        counted = self.texts.select("text").mapInArrow(_document_counts(numbers), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        df = np.ones(len(words))
+        df[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
+        total = self.texts.count()
+        return sc.broadcast(dict(zip(words, np.log(1 + total / df).tolist(), strict=True))), float(np.log(1 + total))
+
     def _vectorised(self, texts: DataFrame, fields: str) -> DataFrame:
-        return texts.mapInArrow(_vectors({f: i for i, f in enumerate(self.features)}), f"{fields}, ids array<int>, counts array<int>")
+        return texts.mapInArrow(_vectors({f: i for i, f in enumerate(self.features)}, self.weights, self.unseen), f"{fields}, ids array<int>, counts array<int>, rest double")
 
     def _index(self) -> Index:
         n, counted = self.vectors.count(), self.vectors.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df"))
         idf = np.zeros(len(self.features))
         for id_, df in counted.collect():  # a row per selected feature: MOST_FEATURES at most
             idf[id_] = np.log(1 + n / df)
-        rows = self._vectorised(self.sample.select("name", "toxic", "text"), "name long, toxic double").select("name", "ids", "counts", "toxic").collect()  # most_examples at most
+        rows = self._vectorised(self.sample.select("name", "toxic", "text"), "name long, toxic double").select("name", "ids", "counts", "toxic", "rest").collect()  # most_examples at most
         return Index.build([tuple(r) for r in rows], idf, self.k)
 
     def score(self) -> DataFrame:

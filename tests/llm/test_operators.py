@@ -132,6 +132,16 @@ def test_toxicity_learns_and_leaves_the_rest(spark):
     assert score_documents(docs(spark, rows[:3]), labels.limit(0)).agg({"score": "max"}).first()[0] == 0
 
 
+def test_a_selected_word_tells_less_in_a_long_text(spark):
+    alike = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)]
+    rows = [(i, f"plain words number {alike[i]} " + ("you moronic fool" if i % 4 == 0 else "kind friend moronic" if i % 40 == 1 else "kind friend")) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    long = "moronic " + " ".join(f"{a}{b}" for a in alike[:40] for b in alike[:20])
+    out = {r.doc_id: r for r in score_documents(docs(spark, [*rows, (900, "moronic"), (901, long)]), labels).collect()}
+    assert out[901].cosines and max(out[901].cosines) < out[900].cosines[0] / 2
+    assert out[900].predicted == 1 and out[901].predicted == 0
+
+
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(6)
     vectors = rng.standard_normal((300, 16))
