@@ -6,9 +6,9 @@ lower-cased) that stand within ``reach`` code points of an entity are tested for
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t))),    disclosure(e, t) = PMI(e, t) / IC(e),    IC(e) = log2(N / n(e))
 
 N, n(e) and n(t) count all documents, those with the entity and those with the term; n(e, t) counts documents where the
-term stands near the entity. A term seen near an entity of ``support`` documents in as many different contexts, whose
-disclosure reaches ``generalise`` is replaced by a hypernym of its shape, from ``remove`` on it is removed. Exact copies of a passage
-are one context, so copying a document does not make its words disclosive.
+term stands near the entity. A term seen near an entity in ``support`` documents of different text, whose
+disclosure reaches ``generalise`` is replaced by a hypernym of its shape, from ``remove`` on it is removed. Exact copies of a
+document count once for support, so copying one does not make its words disclosive; a passage repeated in different documents does.
 
 Plan: one pass over the texts finds entities and their near terms (narrow rows, written); pair counts are shuffled by
 (entity, term), pre-aggregated; document frequencies of all terms are counted over the whole corpus by 64-bit term hash,
@@ -68,7 +68,7 @@ def base_spans(text: Column) -> Column:
 def near_terms(text: Column, base: Column, reach: int) -> Column:
     """Terms that lie wholly within ``reach`` code points of a base span and touch no base span.
 
-    array<struct<entity, context, term, start, end>>; context is a hash of the words around the entity.
+    array<struct<entity, term, start, end>>.
     """
 
     def around(s: Column) -> Column:
@@ -77,8 +77,7 @@ def near_terms(text: Column, base: Column, reach: int) -> Column:
         right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach))
         cut_right = F.when(F.length(right) == reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
         entity = F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits_of(s["value"])))
-        context = F.xxhash64(cut_left, cut_right)
-        row = lambda t, at: F.struct(entity.alias("entity"), context.alias("context"), F.lower(t["value"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end"))
+        row = lambda t, at: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end"))
         return F.concat(
             F.transform(find_spans(cut_left, TERM, "term"), lambda t: row(t, s["start"] - F.length(cut_left))),
             F.transform(find_spans(cut_right, TERM, "term"), lambda t: row(t, s["end"])),
@@ -98,7 +97,7 @@ class Sanitiser:
         self.support, self.generalise, self.remove = support, generalise, remove
         self.texts = docs.select("doc_id", text.alias("text"))
         with_base = self.texts.select("doc_id", *self.key(), "text", base_spans(F.col("text")).alias("base"))
-        near = F.when(F.size("base") > 0, near_terms(F.col("text"), F.col("base"), reach)).otherwise(F.array().cast("array<struct<entity:string,context:bigint,term:string,start:bigint,end:bigint>>"))
+        near = F.when(F.size("base") > 0, near_terms(F.col("text"), F.col("base"), reach)).otherwise(F.array().cast("array<struct<entity:string,term:string,start:bigint,end:bigint>>"))
         self.base = saved(with_base.select("doc_id", "row_key", "text_key", "base", near.alias("near")), "private")
 
     @staticmethod
@@ -114,11 +113,12 @@ class Sanitiser:
     def disclosing(self) -> DataFrame:
         """Pairs entity, term, disclosure that reach the lower threshold."""
         seen = self.base.filter(F.size("near") > 0)
-        support = seen.select(F.explode("near").alias("o")).groupBy("o.entity", "o.term").agg(F.count_distinct("o.context").alias("support")).filter(F.col("support") >= self.support)
-        pairs = seen.select(F.explode(F.array_distinct(F.transform("near", lambda o: F.struct(o["entity"].alias("entity"), o["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_et"))
+        pair = F.explode(F.array_distinct(F.transform("near", lambda o: F.struct(o["entity"].alias("entity"), o["term"].alias("term"))))).alias("p")
+        # n_et counts every document, support each text once
+        pairs = seen.select("text_key", pair).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("text_key").alias("support")).filter(F.col("support") >= self.support).drop("support")
         entity = F.explode(F.array_distinct(F.transform("near", lambda o: o["entity"])))
         entities = seen.select(entity.alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= self.support)
-        wanted = saved(pairs.join(support, ["entity", "term"]).join(entities, "entity").withColumn("term_hash", F.xxhash64("term")), "pairs")
+        wanted = saved(pairs.join(entities, "entity").withColumn("term_hash", F.xxhash64("term")), "pairs")
         counts = self.term_counts().join(wanted.select("term_hash").distinct(), "term_hash")
         total = F.lit(float(self.base.count()))
         ic = F.log2(total / F.col("n_e"))

@@ -52,6 +52,18 @@ def test_terms_that_reveal_an_entity_are_found(spark):
     assert all("term:" in spans[i] for i in range(3)) and all(spans[100 + i] == "" for i in range(60))
 
 
+def test_repeated_signatures_disclose_and_copied_documents_do_not(spark):
+    signature = "regards Zorblax <zor@mail.example.com> " + "of the usual company and its many good friends in town and elsewhere on the coast"
+    lead = "and so on and on as ever in the usual way until the very end of the usual letter which says so, "
+    letters = [(i, f"letter {chr(97 + i) * 4} " + lead + signature) for i in range(5)]
+    rest = [(100 + i, f"letter and so on as ever in the usual way until the very end which says of company its many good friends town elsewhere coast regards {i}") for i in range(60)]
+    spans = {r.doc_id: r.spans for r in find_private(docs(spark, letters + rest)).collect()}
+    at = letters[0][1].index("Zorblax")
+    assert all(f"term:{at}:{at + 7}" in spans[i] for i in range(5)) and all(spans[100 + i] == "" for i in range(60))
+    copies = [(i, letters[0][1]) for i in range(5)]
+    assert all("term" not in r.spans for r in find_private(docs(spark, copies + rest)).collect())
+
+
 def test_secrets_and_trigram_queries(spark):
     text = 'x api_key = "abcdefghijkl" AKIAABCDEFGHIJKLMN 0123456789abcdef TOKEN:short'
     row = find_secrets(docs(spark, [(1, text)])).first()
