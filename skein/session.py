@@ -16,29 +16,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor and the driver share, taken from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder made and set.
+    Only a session on one machine (master ``local``) may leave the setting out; a temporary folder is made and set then.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        jvm_dir = sc._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        path = tempfile.mkdtemp(prefix="spark-skein-")
-        sc.setCheckpointDir(path)
+    if path:
+        return path
+    jvm_dir = sc._jsc.sc().getCheckpointDir()
+    if jvm_dir.isDefined():
+        return jvm_dir.get()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = tempfile.mkdtemp(prefix="spark-skein-")
+    sc.setCheckpointDir(path)
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def _filesystem(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def saved(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts lineage in a form that survives losing executors, and lets several later jobs read a result without
-    computing it again. Each call writes a new folder.
+    computing it again. Each call writes a new folder. ``instead_of`` is an earlier saved frame that nothing needs once
+    this one is written, such as the last round of a loop: its files are deleted. The rest goes when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skein-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark).rstrip('/')}/skein-{spark.sparkContext.applicationId}"
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, root = _filesystem(spark, home)
+    files.deleteOnExit(root)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    if instead_of is not None and getattr(instead_of, "_skein_path", None):
+        files, old = _filesystem(spark, instead_of._skein_path)
+        files.delete(old, True)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
