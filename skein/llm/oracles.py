@@ -109,20 +109,15 @@ OP1 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
 b0 AS (SELECT doc_id, text, rid, {" || ".join(_spans(k, keep) for k, (_, keep) in _PRIVATE.items())} AS raw FROM (SELECT *, {_cut("text", {k: p for k, (p, _) in _PRIVATE.items()})} FROM d)),
 b AS (SELECT doc_id, text, rid, {_ordered("raw", (*_PRIVATE, "term", "name"))} AS base FROM b0),
-e AS (SELECT rid, text, base, s, CASE s.kind WHEN 'email' THEN 'email:' || lower(s.value) ELSE s.kind || ':' || regexp_replace(s.value, '[^0-9]', '', 'g') END AS entity,
-        s.start AS s0, s.start + length(s.value) AS s1 FROM (SELECT rid, text, base, unnest(base) AS s FROM b)),
-c AS (SELECT *, CASE WHEN s0 > 80 THEN regexp_replace(text[s0 - 79 : s0], '^\p{{L}}+', '') ELSE text[:s0] END AS l,
-        CASE WHEN length(text[s1 + 1 : s1 + 80]) = 80 THEN regexp_replace(text[s1 + 1 : s1 + 80], '\p{{L}}+$', '') ELSE text[s1 + 1 : s1 + 80] END AS r FROM e),
-t AS (SELECT rid, base, entity, l || chr(1) || r AS context, lower(u.value) AS term, u.start AS start, u.start + length(u.value) AS stop FROM (
-        SELECT rid, base, entity, l, r, unnest(list_transform({_spans("term", "true", "l")}, lambda v: {{'start': v.start + s0 - length(l), 'value': v.value}}) || list_transform({_spans("term", "true", "r")}, lambda v: {{'start': v.start + s1, 'value': v.value}})) AS u
-        FROM (SELECT *, {_cut("l", {"l": r"\p{L}{3,}"})}, {_cut("r", {"r": r"\p{L}{3,}"})} FROM c))),
-o AS (SELECT * FROM t WHERE len(list_filter(base, lambda x: x.start < stop AND start < x.start + length(x.value))) = 0),
-p AS (SELECT entity, term, count(DISTINCT rid) AS n_et FROM o GROUP BY ALL HAVING count(DISTINCT context) >= 2),
-ne AS (SELECT entity, count(DISTINCT rid) AS n_e FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 2),
-nt AS (SELECT term, count(DISTINCT rid) AS n_t FROM (SELECT rid, unnest(regexp_extract_all(lower(text), '\p{{L}}{{3,}}')) AS term FROM d) WHERE term IN (SELECT term FROM p) GROUP BY ALL),
-f AS (SELECT entity, term, log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e) AS disclosure FROM p JOIN ne USING (entity) JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e),
-g AS (SELECT rid, start, stop, max(disclosure) AS disclosure FROM o JOIN f USING (entity, term) WHERE disclosure >= 0.8 GROUP BY ALL),
-h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.95 THEN 'term' ELSE 'name' END, 'value': repeat('x', (stop - start)::INT)}}) AS terms FROM g GROUP BY rid)
+o AS (SELECT rid, text, CASE WHEN len(base) = 0 THEN text ELSE array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c, i: CASE WHEN len(list_filter(base, lambda x: x.start < i AND i <= x.start + length(x.value))) > 0 THEN '0' ELSE c END), '') END AS outside FROM b),
+e AS (SELECT DISTINCT rid, text, CASE s.kind WHEN 'email' THEN 'email:' || lower(s.value) ELSE s.kind || ':' || regexp_replace(s.value, '[^0-9]', '', 'g') END AS entity FROM (SELECT rid, text, unnest(base) AS s FROM b)),
+ne AS (SELECT entity, count(*) AS n_e FROM e GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+t AS (SELECT DISTINCT rid, unnest(regexp_extract_all(lower(outside), '\p{{L}}{{3,}}')) AS term FROM o),
+nt AS (SELECT term, count(*) AS n_t FROM t GROUP BY ALL),
+p AS (SELECT entity, n_e, term, count(*) AS n_et FROM e JOIN ne USING (entity) JOIN t USING (rid) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+f AS (SELECT term, max(log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e)) AS disclosure FROM p JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e GROUP BY term HAVING disclosure >= 0.9),
+w AS (SELECT rid, u.start AS start, u.value AS value FROM (SELECT rid, unnest({_spans("term", "true", "o")}) AS u FROM (SELECT rid, {_cut("outside", {"o": r"\p{L}{3,}"})} FROM o WHERE rid IN (SELECT rid FROM t JOIN f USING (term))))),
+h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.98 THEN 'term' ELSE 'name' END, 'value': value}}) AS terms FROM w JOIN f ON term = lower(value) GROUP BY rid)
 SELECT doc_id, {", ".join(f"len(list_filter(base, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}" for k in _PRIVATE)}, coalesce(len(terms), 0)::BIGINT AS n_term,
   sha256({_digest("base")}) AS base_sha256, {_digest(_ordered("base || coalesce(terms, [])", (*_PRIVATE, "term", "name")))} AS spans
 FROM b LEFT JOIN h USING (rid)

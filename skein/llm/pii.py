@@ -1,23 +1,25 @@
 """Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
 Protected entities are the values of formal identifiers (email, ip, card, phone). Terms (runs of three or more letters,
-lower-cased) that stand within ``reach`` code points of an entity are tested for what they disclose about it:
+lower-cased, outside identifiers) are tested for what their presence in a document discloses about an entity in it:
 
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t))),    disclosure(e, t) = PMI(e, t) / IC(e),    IC(e) = log2(N / n(e))
 
-N, n(e) and n(t) count all documents, those with the entity and those with the term; n(e, t) counts documents where the
-term stands near the entity. A term seen near an entity in ``support`` documents of different text, whose
-disclosure reaches ``generalise`` is replaced by a hypernym of its shape, from ``remove`` on it is removed. Exact copies of a
-document count once for support, so copying one does not make its words disclosive; a passage repeated in different documents does.
+N, n(e), n(t) and n(e, t) count documents: all, those with the entity, with the term, with both. A pair needs ``support``
+documents of different text, so copying one document does not make its words disclosive. Terms whose disclosure of some
+entity reaches ``generalise`` are replaced by a hypernym of their shape, from ``remove`` on they are removed, wherever they
+stand in the corpus: a term that tells of an entity does so in documents that do not name it as well.
 
-Plan: one pass over the texts finds entities and their near terms (narrow rows, written); pair counts are shuffled by
-(entity, term), pre-aggregated; document frequencies of all terms are counted over the whole corpus by 64-bit term hash,
-pre-aggregated, and joined to the candidate terms. Nothing is broadcast by hand. An entity or a document that holds a
-third of all rows meets aggregations and joins with one row per key only.
+Plan: entities are counted first, and only those of ``support`` different texts can make a pair. Document frequencies of all
+terms are counted over the whole corpus by 64-bit term hash, pre-aggregated. As n(e, t) <= n(e), a pair can reach the
+threshold only if n(t) <= N * (n(e) / N) ** generalise, so pairs are made of rare terms alone. Entities that occur in the
+very same documents share all counts and are one class, and so are terms: a passage that several documents repeat gives
+one pair of classes, however many entities and terms it holds. Pairs are pre-aggregated by class; documents are met by their
+key. Nothing is broadcast by hand, and no group is gathered but the spans of one text.
 
 Defined cases: null text is the empty text; rows with a null doc_id are rows like any other; repeated rows (equal doc_id
 and text) each count and share their spans; an empty table gives an empty result; other columns are ignored by
-``find_private`` and kept by ``sanitise``.
+``find_private`` and kept by ``sanitise``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.spans import count_of, find_spans, in_order, joined, no_spans, rewritten
+from skein.llm.spans import count_of, find_spans, in_order, joined, masked, no_spans, rewritten
 from skein.session import saved
 
 BASE = ("email", "ip", "card", "phone")
@@ -65,75 +67,84 @@ def base_spans(text: Column) -> Column:
     return in_order(F.concat(email, ip, card, phone), KINDS)
 
 
-def near_terms(text: Column, base: Column, reach: int) -> Column:
-    """Terms that lie wholly within ``reach`` code points of a base span and touch no base span.
+def entity_of(span: Column) -> Column:
+    """What a span names: its kind and its value without regard to case and punctuation."""
+    return F.concat_ws(":", span["kind"], F.when(span["kind"] == "email", F.lower(span["value"])).otherwise(digits_of(span["value"])))
 
-    array<struct<entity, term, start, end>>.
-    """
 
-    def around(s: Column) -> Column:
-        lo = F.greatest(s["start"] - reach, F.lit(0))
-        cut_left = F.when(lo > 0, F.regexp_replace(F.substring(text, (lo + 1).cast("int"), (s["start"] - lo).cast("int")), r"^\p{L}+", "")).otherwise(F.substring(text, F.lit(1), s["start"].cast("int")))
-        right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach))
-        cut_right = F.when(F.length(right) == reach, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        entity = F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(digits_of(s["value"])))
-        row = lambda t, at: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + at).alias("start"), (t["end"] + at).alias("end"))
-        return F.concat(
-            F.transform(find_spans(cut_left, TERM, "term"), lambda t: row(t, s["start"] - F.length(cut_left))),
-            F.transform(find_spans(cut_right, TERM, "term"), lambda t: row(t, s["end"])),
-        )
+def row_keys() -> list[Column]:
+    """A row's identity: equal for rows with equal doc_id and text; and the text's."""
+    return [F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64("text").alias("text_key")]
+
+
+def without_base(texts: DataFrame) -> DataFrame:
+    """Adds ``outside``: the text with its formal identifiers masked."""
+    return texts.withColumn("base", base_spans(F.col("text"))).withColumn("outside", masked(F.col("text"), F.col("base"))).drop("base")
+
 
-    every = F.flatten(F.transform(base, around))
-    return F.filter(every, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+def held_by() -> list[Column]:
+    """Count of the rows of a group, and two sums of their keys' halves that tell sets of rows apart."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.col("row_key").bitwiseAND(F.lit(2**32 - 1))).alias("low"), F.sum(F.shiftrightunsigned("row_key", 32)).alias("high")]
 
 
 class Sanitiser:
     """Spans of one table of documents; ``found`` has a row for each row of the table."""
 
-    def __init__(self, docs: DataFrame, reach: int = 80, support: int = 2, generalise: float = 0.8, remove: float = 0.95):
+    def __init__(self, docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.98):
         if not 0 < generalise <= remove:
             raise ValueError("generalise must be positive and at most remove")
-        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         self.support, self.generalise, self.remove = support, generalise, remove
-        self.texts = docs.select("doc_id", text.alias("text"))
-        with_base = self.texts.select("doc_id", *self.key(), "text", base_spans(F.col("text")).alias("base"))
-        near = F.when(F.size("base") > 0, near_terms(F.col("text"), F.col("base"), reach)).otherwise(F.array().cast("array<struct<entity:string,term:string,start:bigint,end:bigint>>"))
-        self.base = saved(with_base.select("doc_id", "row_key", "text_key", "base", near.alias("near")), "private")
-
-    @staticmethod
-    def key() -> list[Column]:
-        """A row's identity: equal for rows with equal doc_id and text."""
-        return [F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64("text").alias("text_key")]
-
-    def term_counts(self) -> DataFrame:
-        """Documents that hold each term, over the whole corpus: term_hash, n_t."""
-        terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-        return self.texts.select(F.explode(terms).alias("term")).groupBy(F.xxhash64("term").alias("term_hash")).agg(F.count(F.lit(1)).alias("n_t"))
-
-    def disclosing(self) -> DataFrame:
-        """Pairs entity, term, disclosure that reach the lower threshold."""
-        seen = self.base.filter(F.size("near") > 0)
-        pair = F.explode(F.array_distinct(F.transform("near", lambda o: F.struct(o["entity"].alias("entity"), o["term"].alias("term"))))).alias("p")
-        # n_et counts every document, support each text once
-        pairs = seen.select("text_key", pair).groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("text_key").alias("support")).filter(F.col("support") >= self.support).drop("support")
-        entity = F.explode(F.array_distinct(F.transform("near", lambda o: o["entity"])))
-        entities = seen.select(entity.alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= self.support)
-        wanted = saved(pairs.join(entities, "entity").withColumn("term_hash", F.xxhash64("term")), "pairs")
-        counts = self.term_counts().join(wanted.select("term_hash").distinct(), "term_hash")
-        total = F.lit(float(self.base.count()))
-        ic = F.log2(total / F.col("n_e"))
+        self.texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", *row_keys(), "text")
+        self.base = saved(self.texts.select("doc_id", "row_key", "text_key", base_spans(F.col("text")).alias("base")), "private")
+        self.total = self.base.count()
+
+    def terms(self, texts: DataFrame) -> DataFrame:
+        """Distinct terms of each row of texts: row_key, text_key, term_hash."""
+        words = F.array_distinct(F.regexp_extract_all(F.lower("outside"), F.lit(TERM), F.lit(0)))
+        return without_base(texts).select("row_key", "text_key", F.explode(words).alias("term")).select("row_key", "text_key", F.xxhash64("term").alias("term_hash"))
+
+    def entities(self) -> DataFrame:
+        """Rows of the entities that can make a pair, by class: row_key, text_key, entity_class, n_e, m (rows of that key)."""
+        named = self.base.filter(F.size("base") > 0).select("row_key", "text_key", F.explode(F.array_distinct(F.transform("base", entity_of))).alias("entity"))
+        texts = named.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= self.support).select("entity")
+        kept = named.groupBy("entity").agg(*held_by()).join(texts, "entity").filter(F.col("n") < self.total)
+        of_class = kept.groupBy("n", "low", "high").agg(F.min("entity").alias("entity")).withColumnRenamed("n", "n_e")
+        rows = named.join(of_class.select("entity", "n_e"), "entity").groupBy("row_key", "text_key", F.col("entity").alias("entity_class"), "n_e").agg(F.count(F.lit(1)).alias("m"))
+        return saved(rows, "entities")
+
+    def disclosing(self) -> DataFrame | None:
+        """Terms that disclose an entity, with their greatest disclosure: term_hash, disclosure. None if no entity can make a pair."""
+        rows = self.entities()
+        widest = rows.agg(F.max("n_e")).first()[0]
+        if widest is None:
+            return None
+        total = F.lit(float(max(self.total, 1)))
+        limit = lambda n_e: total * F.pow(n_e / total, F.lit(self.generalise)) * (1 + 1e-9)
+        # terms of the texts that name such an entity, each row of equal texts and ids once
+        met = self.texts.join(rows.select(F.col("row_key").alias("with_key")).distinct(), F.col("row_key") == F.col("with_key"), "left_semi").dropDuplicates(["row_key"])
+        counts = self.terms(self.texts).groupBy("term_hash").agg(*held_by()).withColumnRenamed("n", "n_t").filter((F.col("n_t") >= self.support) & (F.col("n_t") <= limit(F.lit(widest))))
+        own = saved(self.terms(met).select("row_key", "term_hash").join(counts, "term_hash"), "own-terms")
+        named = own.groupBy("n_t", "low", "high").agg(F.min("term_hash").alias("term_class"))
+        classes = own.select("term_hash", "n_t", "low", "high").distinct().join(named, ["n_t", "low", "high"]).select("term_hash", "term_class")
+        pairs = own.join(named.select(F.col("term_class").alias("term_hash")), "term_hash", "left_semi").join(rows, "row_key").filter(F.col("n_t") <= limit(F.col("n_e")))
+        by_text = pairs.groupBy("entity_class", "term_hash", "n_e", "n_t", "text_key").agg(F.sum("m").alias("m"))
+        counted = by_text.groupBy("entity_class", "term_hash", "n_e", "n_t").agg(F.sum("m").alias("n_et"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= self.support)
         pmi = F.log2(total * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-        return wanted.join(counts, "term_hash").filter(total > F.col("n_e")).select("entity", "term", (pmi / ic).alias("disclosure")).filter(F.col("disclosure") >= self.generalise)
+        told = counted.groupBy(F.col("term_hash").alias("term_class")).agg(F.max(pmi / F.log2(total / F.col("n_e"))).alias("disclosure")).filter(F.col("disclosure") >= self.generalise)
+        return saved(classes.join(told, "term_class").select("term_hash", "disclosure"), "disclosing")
 
     def found(self) -> DataFrame:
         """doc_id, row_key, text_key, base, spans (base and disclosing terms, in order)."""
-        occurrences = self.base.select("row_key", "text_key", F.explode("near").alias("o")).select("row_key", "text_key", "o.*")
+        disclosing = self.disclosing()
+        if disclosing is None or disclosing.isEmpty():  # no term to look for
+            return self.base.select("doc_id", "row_key", "text_key", "base", F.col("base").alias("spans"))
+        told = saved(self.terms(self.texts).select("row_key", "term_hash").join(disclosing, "term_hash").dropDuplicates(["row_key", "term_hash"]), "told")
+        held = self.texts.join(told.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+        words = without_base(held).select("row_key", F.explode(find_spans(F.col("outside"), TERM, "term")).alias("s")).withColumn("term_hash", F.xxhash64(F.lower("s.value")))
         kind = F.when(F.col("disclosure") >= self.remove, "term").otherwise("name")
-        # a term near several entities takes the stronger measure
-        told = occurrences.join(self.disclosing(), ["entity", "term"]).groupBy("row_key", "text_key", "start", "end", F.col("term").alias("value")).agg(F.max("disclosure").alias("disclosure"))
-        span = F.struct("start", "end", kind.alias("kind"), "value")
-        terms = told.groupBy("row_key", "text_key").agg(F.collect_list(span).alias("terms"))
-        return self.base.join(terms, ["row_key", "text_key"], "left").select("doc_id", "row_key", "text_key", "base", in_order(F.concat("base", F.coalesce("terms", no_spans())), KINDS).alias("spans"))
+        span = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), kind.alias("kind"), F.col("s.value").alias("value"))
+        terms = words.join(told, ["row_key", "term_hash"]).groupBy("row_key").agg(F.collect_list(span).alias("terms"))
+        return self.base.join(terms, "row_key", "left").select("doc_id", "row_key", "text_key", "base", in_order(F.concat("base", F.coalesce("terms", no_spans())), KINDS).alias("spans"))
 
 
 def find_private(docs: DataFrame, **options) -> DataFrame:
@@ -154,15 +165,15 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     Columns stay; n_chars, where present, is counted again. A null text stays null.
     """
-    found = Sanitiser(docs, **options).found().filter(F.size("spans") > 0).select(F.col("row_key").alias("pii_row"), F.col("text_key").alias("pii_text"), F.col("spans").alias("pii_spans")).dropDuplicates(["pii_row", "pii_text"])
+    found = Sanitiser(docs, **options).found().filter(F.size("spans") > 0).select("row_key", "text_key", "spans").dropDuplicates(["row_key", "text_key"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"pii_row": F.xxhash64(F.col("doc_id"), text), "pii_text": F.xxhash64(text)}).join(found, ["pii_row", "pii_text"], "left")
+    # the row is nested, so that no column of it can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), F.xxhash64(text).alias("text_key")).join(found, ["row_key", "text_key"], "left")
 
     def replacement(s: Column) -> Column:
-        own = F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return F.when(s["kind"] == "term", F.lit("")).when(s["kind"] == "name", hypernym(own)).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        return F.when(s["kind"] == "term", F.lit("")).when(s["kind"] == "name", hypernym(s["value"])).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    clean = keyed.withColumn("text", F.when(F.col("pii_spans").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("pii_spans"), replacement)))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    old = F.col("row.text").cast("string")
+    clean = keyed.withColumn("clean", F.when(F.col("spans").isNull(), old).otherwise(rewritten(old, F.col("spans"), replacement)))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return clean.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

@@ -33,12 +33,17 @@ MOST_STRINGS = 64  # of one exact set; larger sets are cut into clauses before t
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``least`` bounds the length of capture ``group`` of a match (0: the whole match)."""
+    """A kind of secret. ``least`` bounds the length of capture ``group`` of a match (0: the whole match).
+
+    Patterns repeat single character classes only, never groups, so that matching takes no stack, however long the text.
+    ``alone``, a class of characters, says that a match starts a run of these: it is not looked for inside one.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
+    alone: str = ""
 
 
 BASE = ("assign", "access", "hex")
@@ -51,8 +56,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, alone="[A-Za-z0-9_-]"),
 )
 
 
@@ -131,7 +136,7 @@ def fast(rule: Rule) -> str:
     """The rule's pattern, anchored where a plain run of one class lets long runs be read once."""
     if run := re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern):
         return f"(?<!{run[1]}){run[1]}{{{max(rule.least, 1)},}}+"
-    return rule.pattern
+    return (f"(?<!{rule.alone})" if rule.alone else "") + rule.pattern
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
