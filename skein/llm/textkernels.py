@@ -6,6 +6,8 @@ multi-byte UTF-8 sequence, cutting bytes cuts code points correctly. A null text
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE_CODES = np.random.default_rng(20240501).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE_A, BASE_B, BASE_WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F
+LONG = 256
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -90,8 +93,21 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, off - off[0]
 
 
+def slices_of(values: np.ndarray, most: int):
+    """Row numbers of each run of at most ``most`` rows of one value."""
+    order = np.argsort(values, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(values[order])) + 1):
+        for at in range(0, len(group), most):
+            yield group[at : at + most]
+
+
 class Words:
-    """Words of a run of rows: byte bounds, 64-bit ids, and the first word of each row."""
+    """Words of a run of rows: byte bounds, 64-bit ids, and the first word of each row.
+
+    A word's id is a polynomial modulo 2**64 over random odd codes of its bytes. Such sums are weak for long words of few
+    different bytes (a Thue-Morse word and its complement agree from 2,048 bytes on), so words longer than ``LONG`` bytes take
+    their id from a cryptographic digest.
+    """
 
     def __init__(self, texts: pa.Array, lower: bool = False, ids: bool = True):
         body, off = raw(texts)
@@ -110,10 +126,22 @@ class Words:
         self.ends = np.flatnonzero(~blank & after) + 1
         self.first = np.searchsorted(self.starts, off)  # rows + 1 entries
         if ids:
-            up, down = powers(BASE_WORD, n + 1)
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_CODES[body] * up[:n], out=total[1:])
-            self.ids = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+            self.ids = self._ids(body)
+
+    def _ids(self, body: np.ndarray) -> np.ndarray:
+        if not len(self.starts):
+            return np.empty(0, dtype=np.uint64)
+        lengths = self.ends - self.starts
+        at = np.arange(len(body), dtype=np.int32 if len(body) < 2**31 else np.int64)
+        at[self.starts[0] :] -= np.repeat(self.starts.astype(at.dtype), np.diff(np.r_[self.starts, len(body)]))
+        np.minimum(at, LONG, out=at)
+        values = _BYTE_CODES[body]
+        values *= powers(BASE_WORD, LONG + 1)[0][at]
+        values[_BLANK[body]] = 0
+        ids = mix(np.add.reduceat(values, self.starts) + lengths.astype(np.uint64))
+        for n in np.flatnonzero(lengths > LONG):
+            ids[n] = int.from_bytes(hashlib.blake2b(body[self.starts[n] : self.ends[n]].tobytes(), digest_size=8).digest(), "little")
+        return ids
 
     def __len__(self) -> int:
         return len(self.first) - 1
