@@ -1,23 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Features are words (runs of letters, lower-cased) and their starts of four to six letters. Those that mark toxic examples
-are selected on a bounded sample of labelled texts (``most_examples``, by least hash of the text): a feature counts if its
-share of toxic examples exceeds the base share significantly and reaches ``purity``. Document frequencies of the selected
-features are counted over all documents, and texts become TF-IDF vectors over them, whose norm takes in all of a text's words:
-words without a selected feature weigh with their own document frequency, counted over all documents for the words of the
-sample (other words weigh as those of one document). So a selected word in a long text tells less than one that stands alone.
-
-The index holds the sample's vectors, sorted by their strongest feature and cut into blocks of ``BLOCK``; each posting
-list carries the largest weight in each block. A search visits blocks in order of their upper bound and stops when no
-block can reach the k-th cosine, so the k nearest are exact. An example without a selected feature
-has cosine 0 to every text and no vote, but takes part in calibration. Labels vote, weighted by cosine and smoothed towards
-the base share; votes are calibrated by isotonic regression on leave-one-out votes of the sample. Texts without a selected
-feature score the share of toxic examples among such texts. Neighbours and cosines are kept as evidence.
-
-The sample (at most ``most_examples`` rows), its vocabulary and the index built from it are of bounded size whatever the
-corpus, save for the length of single texts; everything else is a pass over the texts, pre-aggregated counts, and a pass over narrow feature rows.
-
-Defined cases: null and empty texts have no features; labels that are null or not 0 or 1 are ignored; several labels of
+Words are runs of letters, lower-cased. A text's vector holds every word of the examples that it has, at weight
+
+    (1 + log tf) * idf(w) * rf(w),    idf(w) = log(1 + N / df(w)),    rf(w) = log2(2 + toxic(w) / max(1, other(w)))
+
+df counts all documents of the corpus; toxic and other count examples of either label that have the word (the relevance
+frequency of Lan et al., 2009: a word that tells nothing keeps a factor near 1, none is left out). The norm takes in all of a
+text's words; those no example has weigh as words of one document without relevance.
+
+The index holds the examples' vectors, sorted by their strongest word and cut into blocks of ``BLOCK``. Words that many
+examples have (``HEAD`` of them or more) are kept as columns with their largest weight in each block; all others as posting
+lists. A search adds up the posting lists, bounds each example from above by the block maxima of the text's head words, and
+adds the true head weights only for examples whose bound reaches the k-th best, so the k nearest are exact. They vote,
+weighted by cosine; votes are smoothed towards the base share and calibrated by isotonic regression on a quarter of the
+examples, which the index does not hold. Neighbours and cosines are the evidence. Texts without any word of the examples have
+no evidence, and score the toxic share of calibration examples of that sort, shrunk to 0.
+
+The sample (at most ``most_examples`` rows, by least hash of the text), its vocabulary and the index are of bounded size
+whatever the corpus, save for the length of single texts. All else is one pass over the texts that counts the sample's words
+(pre-aggregated to one row a word and task), and one that scores each text where it is read.
+
+Defined cases: null and empty texts have no words; labels that are null or not 0 or 1 are ignored; several labels of
 one text are averaged; rows with a null doc_id are scored and not held out; without any labelled example all scores are 0;
 an empty table gives an empty result; other columns are ignored. Labels, lang, source and doc_id are no inputs of a score.
 """
@@ -28,7 +31,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,9 @@ from pyspark.sql import functions as F
 
 from skein.session import saved
 
-MOST_EXAMPLES, MOST_FEATURES = 20_000, 2_000
-STARTS = (4, 5, 6)
-BLOCK = 64
+MOST_EXAMPLES = 4_000
+BLOCK, HEAD = 64, 0.15  # examples of a block; share of the examples that makes a head word
+LEAST_CALIBRATION = 50  # examples; with fewer, votes are taken as they are
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -47,195 +50,157 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features_of(word: str) -> list[str]:
-    """A whole word, written with a closing mark, and its starts."""
-    return [word + "$", *(word[:n] for n in STARTS if len(word) >= n)]
+def words_of(text: str | None) -> Counter:
+    return Counter(LETTERS.findall((text or "").lower()))
 
 
-def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples of each word by label: (word, toxic, other), of the examples in the index."""
+    toxic, other = Counter(), Counter()
     for batch in batches:
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = {f for w in set(LETTERS.findall(text.lower())) for f in features_of(w)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(np.full(len(found), y))], ["feature", "toxic"])
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: set[str] = set()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            found.update(LETTERS.findall(text.lower()))
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["word"])
+            (toxic if y >= 0.5 else other).update(words_of(text).keys())
+    found = sorted(toxic.keys() | other.keys())
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic[w] for w in found], pa.int64()), pa.array([other[w] for w in found], pa.int64())], ["word", "toxic", "other"])
 
 
 def _document_counts(numbers):
-    """Documents of a task that hold each word of a broadcast vocabulary: (id, n)."""
+    """Documents of a task that hold each word of a broadcast vocabulary: (id, n), and their number under id -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = numbers.value
-        n = np.zeros(len(known), dtype=np.int64)
+        n, rows = np.zeros(len(known), dtype=np.int64), 0
         for batch in batches:
+            rows += len(batch)
             for text in batch.column("text").to_pylist():
                 n[[known[w] for w in set(LETTERS.findall(text.lower())) if w in known]] += 1
         met = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, met].astype(np.int32)), pa.array(np.r_[rows, n[met]])], ["id", "n"])
 
     return run
 
 
-def _vectors(numbers: dict[str, int], weights, unseen: float):
-    """Counts of selected features of each text and the squared weight of its other words: (feature numbers, counts, rest).
+@dataclass
+class Vectoriser:
+    """Weights of words: ``numbers`` names them, ``weights`` has idf * rf, ``unseen`` is the weight of all other words."""
 
-    weights: broadcast IDF of words; unseen: that of words not among them.
-    """
+    numbers: dict[str, int]
+    weights: np.ndarray
+    unseen: float
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = weights.value
-        seen: dict[str, tuple[int, ...] | float] = {}
-        for batch in batches:
-            ids, counts, rests = [], [], []
-            for text in batch.column("text").to_pylist():
-                own: dict[int, int] = {}
-                rest = 0.0
-                for word, n in Counter(LETTERS.findall((text or "").lower())).items():
-                    marks = seen.get(word)
-                    if marks is None:
-                        if len(seen) > 500_000:  # a memory of words, not of results
-                            seen.clear()
-                        marks = seen[word] = tuple(numbers[f] for f in features_of(word) if f in numbers) or idf.get(word, unseen) ** 2
-                    if isinstance(marks, float):
-                        rest += marks if n == 1 else marks * (1 + math.log(n)) ** 2
-                    else:
-                        for m in marks:
-                            own[m] = own.get(m, 0) + n
-                ids.append(list(own))
-                counts.append(list(own.values()))
-                rests.append(rest)
-            kept = [n for n in batch.schema.names if n != "text"]
-            arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(rests, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *arrays], [*kept, "ids", "counts", "rest"])
-
-    return run
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and weights of a text, at norm 1 over all its words."""
+        known = [(self.numbers[w], n) for w, n in counts.items() if w in self.numbers]
+        if not known:
+            return np.empty(0, np.int64), np.empty(0)
+        ids, tf = np.array(known, dtype=np.int64).T
+        w = (1 + np.log(tf)) * self.weights[ids]
+        rest = sum((1 + math.log(n)) ** 2 if n > 1 else 1.0 for word, n in counts.items() if word not in self.numbers)
+        return ids, w / math.sqrt((w * w).sum() + rest * self.unseen**2)
 
 
 @dataclass
 class Index:
     """Block-max inverted index of labelled examples."""
 
-    idf: np.ndarray
     labels: np.ndarray
     names: np.ndarray
-    rows: dict[int, np.ndarray] = field(default_factory=dict)
-    weights: dict[int, np.ndarray] = field(default_factory=dict)
-    tops: np.ndarray | None = None
-    base: float = 0.0
+    base: float
+    start: np.ndarray  # of each word's posting list
+    rows: np.ndarray
+    weights: np.ndarray
+    head: np.ndarray  # column of each head word, -1 for others
+    columns: np.ndarray  # examples x head words
+    tops: np.ndarray  # head words x blocks
     blank: float = 0.0
-    steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0]), np.array([0.0]))
-
-    def vector(self, ids, counts, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and weights; rest is the squared weight of the text's other words."""
-        ids = np.asarray(ids, dtype=np.int64)
-        w = (1 + np.log(np.asarray(counts, dtype=np.float64))) * self.idf[ids]
-        return ids, w / np.sqrt((w * w).sum() + rest)
+    steps: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
-    def build(cls, examples: list[tuple], idf: np.ndarray, k: int) -> Index:
-        """examples: (name, feature numbers, counts, label) and, where it has other words, their squared weight."""
-        index = cls(idf, np.empty(0), np.empty(0, np.int64))
-        marked = []
-        for name, ids, counts, y, *rest in examples:
-            if ids:
-                at, w = index.vector(ids, counts, *rest)
-                marked.append((int(at[w.argmax()]), name, at, w, y))
-        marked.sort(key=lambda m: m[:2])
-        index.labels, index.names = np.array([m[4] for m in marked]), np.array([m[1] for m in marked], dtype=np.int64)
-        index.base = float(np.mean([e[3] for e in examples])) if examples else 0.0
-        blank = [e[3] for e in examples if not e[1]]
-        index.blank = (sum(blank) + index.base) / (len(blank) + 1)
-        n_blocks = -(-len(marked) // BLOCK)
-        index.tops = np.zeros((len(idf), n_blocks), dtype=np.float64)
-        lists: dict[int, tuple[list, list]] = {}
-        for row, m in enumerate(marked):
-            for f, w in zip(m[2].tolist(), m[3].tolist(), strict=True):
-                r, ws = lists.setdefault(f, ([], []))
-                r.append(row)
-                ws.append(w)
-                index.tops[f, row // BLOCK] = max(index.tops[f, row // BLOCK], w)
-        index.rows = {f: np.array(r) for f, (r, _) in lists.items()}
-        index.weights = {f: np.array(w) for f, (_, w) in lists.items()}
-        index.calibrate([(m[2], m[3], m[4], row) for row, m in enumerate(marked)], k, blank)
-        return index
-
-    def search(self, ids: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples, exactly; ties go to the lower row."""
-        bounds = w @ self.tops[ids]
-        best_rows, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            lo = block * BLOCK
-            for f, q in zip(ids.tolist(), w.tolist(), strict=True):
-                rows = self.rows.get(f)
-                if rows is not None:
-                    a, b = np.searchsorted(rows, (lo, lo + BLOCK))
-                    scores[rows[a:b] - lo] += q * self.weights[f][a:b]
-            if lo <= without < lo + BLOCK:
-                scores[without - lo] = 0
-            hit = np.flatnonzero(scores > 0)
-            rows, found = np.r_[best_rows, hit + lo], np.r_[best, scores[hit]]
-            order = np.lexsort((rows, -np.round(found, 12)))[:k]
-            best_rows, best = rows[order], found[order]
-        return best_rows, best
+    def build(cls, examples: list[tuple[int, float, np.ndarray, np.ndarray]], n_words: int, head_share: float = HEAD) -> Index:
+        """examples: (name, label, word numbers, weights) in any order."""
+        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][e[3].argmax()]), e[0]))
+        base = float(np.mean([e[1] for e in examples])) if examples else 0.0
+        rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples]).astype(np.int64)
+        ids = np.concatenate([np.empty(0, np.int64), *(e[2] for e in examples)])
+        weights = np.concatenate([np.empty(0), *(e[3] for e in examples)])
+        held = np.bincount(ids, minlength=n_words)
+        heads = np.flatnonzero((held >= max(head_share * len(examples), 1)) & (held > BLOCK))
+        head = np.full(n_words, -1, dtype=np.int32)
+        head[heads] = np.arange(len(heads))
+        n_blocks = -(-len(examples) // BLOCK)
+        columns = np.zeros((n_blocks * BLOCK, len(heads)))
+        at_head = head[ids] >= 0
+        columns[rows[at_head], head[ids[at_head]]] = weights[at_head]
+        tops = columns.reshape(n_blocks, BLOCK, len(heads)).max(axis=1).T if n_blocks else np.zeros((0, 0))
+        order = np.argsort(ids[~at_head], kind="stable")
+        start = np.searchsorted(ids[~at_head][order], np.arange(n_words + 1))
+        return cls(np.array([e[1] for e in examples]), np.array([e[0] for e in examples], dtype=np.int64), base, start, rows[~at_head][order], weights[~at_head][order], head, columns, np.ascontiguousarray(tops))
+
+    def search(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples, exactly; ties go to the lower row. Examples of cosine 0 are none."""
+        n = len(self.labels)
+        if not n or not len(ids):
+            return np.empty(0, np.int64), np.empty(0)
+        at = self.head[ids]
+        tail, heads, q = ids[at < 0], at[at >= 0], w[at >= 0]
+        lo, hi = self.start[tail], self.start[tail + 1]
+        lists = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        rows = np.concatenate([np.empty(0, np.int64), *(self.rows[s] for s in lists)])
+        part = np.bincount(rows, np.concatenate([np.empty(0), *(self.weights[s] for s in lists)]) * np.repeat(w[at < 0], hi - lo), minlength=n)
+        bound = part + np.repeat(q @ self.tops[heads], BLOCK)[:n]
+        seed = np.argpartition(-bound, k - 1)[:k] if n > k else np.arange(n)
+        least = (part[seed] + self.columns[np.ix_(seed, heads)] @ q).min() if n > k else 0.0
+        pick = np.flatnonzero((bound >= least - 1e-12) & (bound > 0))
+        cosines = part[pick] + self.columns[np.ix_(pick, heads)] @ q
+        order = np.lexsort((pick, -np.round(cosines, 12)))[:k]
+        order = order[cosines[order] > 0]
+        return pick[order], cosines[order]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        return float(((cosines * self.labels[rows]).sum() + self.base) / (cosines.sum() + 1))
-
-    def calibrate(self, marked: list, k: int, blank: list[float] = ()) -> None:
-        """Isotonic steps from leave-one-out votes to labels, pooled to 5 examples at least.
-
-        blank: labels of the examples that meet no other; theirs is the base share's vote, which vanishing cosines come to.
-        """
-        if not marked:
+        """Share of toxic neighbours by cosine, with the base share as a neighbour of a tenth of the nearest one's weight."""
+        if not len(rows):
+            return self.base
+        prior = cosines[0] / 10
+        return float(((cosines * self.labels[rows]).sum() + prior * self.base) / (cosines.sum() + prior))
+
+    def calibrate(self, votes: list[tuple[float, float, bool]]) -> None:
+        """Isotonic steps from votes to labels, pooled to 5 examples at least, of (vote, label, whether there was evidence)."""
+        blank = [y for _, y, told in votes if not told]
+        self.blank = sum(blank) / (len(blank) + 1)
+        pairs = sorted((v, y) for v, y, told in votes if told)
+        toxic = sum(y for _, y in pairs)
+        if len(pairs) < LEAST_CALIBRATION or min(toxic, len(pairs) - toxic) < 5:
             return
-        pairs = sorted((self.vote(*self.search(ids, w, k, row)), y) for ids, w, y, row in marked)
         parts = [pairs[at : at + 5] for at in range(0, len(pairs), 5)]
-        steps = [[sum(v for v, _ in part) / len(part), sum(y for _, y in part), len(part)] for part in parts]
-        if len(blank):
-            steps.append([self.base, sum(blank), len(blank)])
         pools: list[list[float]] = []
-        for step in sorted(steps, key=lambda p: p[0]):
-            pools.append(step)
+        for part in parts:
+            pools.append([sum(v for v, _ in part) / len(part), sum(y for _, y in part), len(part)])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
                 v, y, n = pools.pop()
                 v0, y0, n0 = pools[-1]
                 pools[-1] = [(v0 * n0 + v * n) / (n0 + n), y0 + y, n0 + n]
         self.steps = np.array([p[0] for p in pools]), np.array([(y + self.base) / (n + 1) for _, y, n in pools])
 
-    def score(self, ids, counts, k: int, rest: float = 0.0) -> tuple[float, list[int], list[float]]:
-        if not len(ids):
-            return self.blank, [], []
-        rows, cosines = self.search(*self.vector(ids, counts, rest), k)
+    def score(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[float, list[int], list[float]]:
+        rows, cosines = self.search(ids, w, k)
         if not len(rows):
             return self.blank, [], []
         vote = self.vote(rows, cosines)
-        calibrated = float(np.interp(vote, *self.steps))
         # the vote breaks ties between texts of one calibrated level
-        return min(1.0, 0.99 * calibrated + 0.01 * vote), self.names[rows].tolist(), cosines.tolist()
+        score = vote if self.steps is None else 0.99 * float(np.interp(vote, *self.steps)) + 0.01 * vote
+        return min(1.0, score), self.names[rows].tolist(), cosines.tolist()
+
 
+def _scored(model, k: int):
+    """Scores of texts: the other columns, score, evidence, cosines."""
 
-def _scored(index: Index, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        vectoriser, index = model.value
         for batch in batches:
-            out = []
-            for ids, counts, rest in zip(*(batch.column(n).to_pylist() for n in ("ids", "counts", "rest")), strict=True):
-                key = tuple(sorted(zip(ids, counts, strict=True))), rest if ids else 0.0
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = index.score([i for i, _ in key[0]], [c for _, c in key[0]], k, rest)
-                out.append(known[key])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))))], ["doc_id", "row_key", "score", "evidence", "cosines"])
+            out = [index.score(*vectoriser.vector(words_of(text)), k) for text in batch.column("text").to_pylist()]
+            kept = [n for n in batch.schema.names if n != "text"]
+            arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *arrays], [*kept, "score", "evidence", "cosines"])
 
     return run
 
@@ -243,11 +208,10 @@ def _scored(index: Index, k: int):
 class ToxicityScorer:
     """Learns from labelled documents; ``score`` gives a row per document.
 
-    purity: least share of toxic examples of a selected feature; least_z: its least distance from the base share, in
-    standard deviations; k: neighbours that vote.
+    k: neighbours that vote; most_examples: bound on the labelled texts, a quarter of which calibrates.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, k: int = 15, purity: float = 0.5, least_z: float = 5.0, most_examples: int = MOST_EXAMPLES):
+    def __init__(self, docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = MOST_EXAMPLES):
         self.k = k
         self.texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         marks = labels.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("label_id")).agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
@@ -258,48 +222,37 @@ class ToxicityScorer:
         chosen = saved(chosen.withColumnRenamed("name", "example"), "chosen")
         # most_examples rows of three numbers bound what is broadcast
         met = self.texts.select("doc_id", name, "text").join(F.broadcast(chosen), (F.col("name") == F.col("example")) & (F.col("doc_id") == F.col("example_id")))
-        self.sample = saved(met.dropDuplicates(["name"]).select("name", "toxic", "text"), "examples")
-        self.features = self._select(purity, least_z)
-        self.weights, self.unseen = self._word_weights()
-        self.vectors = saved(self._vectorised(self.texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text"), "doc_id long, row_key long"), "vectors")
-        self.index = self._index()
-
-    def _select(self, purity: float, least_z: float) -> list[str]:
-        n, toxic = self.sample.agg(F.count(F.lit(1)), F.avg("toxic")).first()
-        if not n or not 0 < toxic < 1:
-            return []
-        counted = self.sample.mapInArrow(_distinct_features, "feature string, toxic double").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-        z = (F.col("t") - F.col("n") * toxic) / F.sqrt(F.col("n") * F.lit(toxic * (1 - toxic)))
-        kept = counted.withColumn("z", z).filter((F.col("t") >= purity * F.col("n")) & (F.col("z") >= least_z) & (F.col("n") >= 4))
-        return [r[0] for r in kept.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature").collect()]
-
-    def _word_weights(self) -> tuple:
-        """Broadcast IDF of the sample's words over all documents, and that of a word of one document."""
+        sample = met.dropDuplicates(["name"]).select("name", "toxic", "text", (F.pmod(F.xxhash64("name"), F.lit(4)) == 0).alias("calibrates"))
+        self.sample = saved(sample, "examples")
+        self.model = self._learn()
+
+    def _learn(self):
+        """Broadcast (vectoriser, index), or None without an example. What the driver takes is the sample's words and counts."""
         sc = self.texts.sparkSession.sparkContext
-        if not self.features:
-            return sc.broadcast({}), 0.0
-        words = self.sample.select("text").mapInArrow(_words, "word string").distinct().toArrow().column(0).to_pylist()  # the vocabulary of most_examples texts
-        numbers = sc.broadcast({w: i for i, w in enumerate(words)})
-        counted = self.texts.select("text").mapInArrow(_document_counts(numbers), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-        df = np.ones(len(words))
-        df[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
-        total = self.texts.count()
-        return sc.broadcast(dict(zip(words, np.log(1 + total / df).tolist(), strict=True))), float(np.log(1 + total))
-
-    def _vectorised(self, texts: DataFrame, fields: str) -> DataFrame:
-        return texts.mapInArrow(_vectors({f: i for i, f in enumerate(self.features)}, self.weights, self.unseen), f"{fields}, ids array<int>, counts array<int>, rest double")
-
-    def _index(self) -> Index:
-        n, counted = self.vectors.count(), self.vectors.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("df"))
-        idf = np.zeros(len(self.features))
-        for id_, df in counted.collect():  # a row per selected feature: MOST_FEATURES at most
-            idf[id_] = np.log(1 + n / df)
-        rows = self._vectorised(self.sample.select("name", "toxic", "text"), "name long, toxic double").select("name", "ids", "counts", "toxic", "rest").collect()  # most_examples at most
-        return Index.build([tuple(r) for r in rows], idf, self.k)
+        counted = self.sample.filter("not calibrates").select("text", "toxic").mapInArrow(_example_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
+        words = counted.column("word").to_pylist()
+        if not words:
+            return None
+        numbers = {w: i for i, w in enumerate(words)}
+        held = self.texts.select("text").mapInArrow(_document_counts(sc.broadcast(numbers)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        ids, n = held.column("id").to_numpy(), held.column("n").to_numpy()
+        total, df = n[ids < 0].sum(), np.ones(len(words))
+        df[ids[ids >= 0]] = n[ids >= 0]
+        relevance = np.log2(2 + counted.column("toxic").to_numpy() / np.maximum(1, counted.column("other").to_numpy()))
+        vectoriser = Vectoriser(numbers, np.log(1 + total / df) * relevance, float(np.log(1 + total)))
+        rows = self.sample.filter("not calibrates").select("name", "toxic", "text").toLocalIterator()  # most_examples at most, a partition at a time
+        index = Index.build([(r.name, r.toxic, *vectoriser.vector(words_of(r.text))) for r in rows], len(words))
+        votes = self.sample.filter("calibrates").select("toxic", "text").mapInArrow(_scored(sc.broadcast((vectoriser, index)), self.k), "toxic double, score double, evidence array<long>, cosines array<double>")
+        index.calibrate([(r.score, r.toxic, r.told) for r in votes.select("score", "toxic", (F.size("evidence") > 0).alias("told")).collect()])
+        return sc.broadcast((vectoriser, index))
 
     def score(self) -> DataFrame:
         """doc_id, row_key (a hash of doc_id and text), score, evidence (hashes of the nearest example texts), cosines."""
-        return self.vectors.mapInArrow(_scored(self.index, self.k), "doc_id long, row_key long, score double, evidence array<long>, cosines array<double>")
+        keyed = self.texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64("text").alias("text_key"), "text")
+        schema = "score double, evidence array<long>, cosines array<double>"
+        if self.model is None:
+            return keyed.select("doc_id", "row_key", "text_key", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<double>").alias("cosines"))
+        return keyed.mapInArrow(_scored(self.model, self.k), "doc_id long, row_key long, text_key long, " + schema)
 
 
 def predicted(score: Column, threshold: float) -> Column:
@@ -313,7 +266,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Rows of ``docs`` that are not predicted toxic, with their columns."""
-    rejected = ToxicityScorer(docs, labels, **options).score().filter(predicted(F.col("score"), threshold) == 1).select(F.col("row_key").alias("tox_key")).distinct()
+    """Rows of ``docs`` that are not predicted toxic, with their columns. A text without evidence is never dropped."""
+    scored = ToxicityScorer(docs, labels, **options).score()
+    rejected = scored.filter((predicted(F.col("score"), threshold) == 1) & (F.size("evidence") > 0)).select("row_key", "text_key").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("tox_key", F.xxhash64(F.col("doc_id"), text)).join(rejected, "tox_key", "left_anti").select(*docs.columns)
+    # the row is nested, so that no column of it can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), F.xxhash64(text).alias("text_key"))
+    return keyed.join(rejected, ["row_key", "text_key"], "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
