@@ -115,9 +115,9 @@ ne AS (SELECT entity, count(*) AS n_e FROM e GROUP BY ALL HAVING count(DISTINCT
 t AS (SELECT DISTINCT rid, unnest(regexp_extract_all(lower(outside), '\p{{L}}{{3,}}')) AS term FROM o),
 nt AS (SELECT term, count(*) AS n_t FROM t GROUP BY ALL),
 p AS (SELECT entity, n_e, term, count(*) AS n_et FROM e JOIN ne USING (entity) JOIN t USING (rid) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-f AS (SELECT term, max(log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e)) AS disclosure FROM p JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e GROUP BY term HAVING disclosure >= 0.9),
+f AS (SELECT term, max(log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e)) AS disclosure FROM p JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e GROUP BY term HAVING disclosure >= 0.95),
 w AS (SELECT rid, u.start AS start, u.value AS value FROM (SELECT rid, unnest({_spans("term", "true", "o")}) AS u FROM (SELECT rid, {_cut("outside", {"o": r"\p{L}{3,}"})} FROM o WHERE rid IN (SELECT rid FROM t JOIN f USING (term))))),
-h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.98 THEN 'term' ELSE 'name' END, 'value': value}}) AS terms FROM w JOIN f ON term = lower(value) GROUP BY rid)
+h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.99 THEN 'term' ELSE 'name' END, 'value': value}}) AS terms FROM w JOIN f ON term = lower(value) GROUP BY rid)
 SELECT doc_id, {", ".join(f"len(list_filter(base, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}" for k in _PRIVATE)}, coalesce(len(terms), 0)::BIGINT AS n_term,
   sha256({_digest("base")}) AS base_sha256, {_digest(_ordered("base || coalesce(terms, [])", (*_PRIVATE, "term", "name")))} AS spans
 FROM b LEFT JOIN h USING (rid)

@@ -90,7 +90,7 @@ def held_by() -> list[Column]:
 class Sanitiser:
     """Spans of one table of documents; ``found`` has a row for each row of the table."""
 
-    def __init__(self, docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.98):
+    def __init__(self, docs: DataFrame, support: int = 3, generalise: float = 0.95, remove: float = 0.99):
         if not 0 < generalise <= remove:
             raise ValueError("generalise must be positive and at most remove")
         self.support, self.generalise, self.remove = support, generalise, remove
@@ -139,11 +139,15 @@ class Sanitiser:
         if disclosing is None or disclosing.isEmpty():  # no term to look for
             return self.base.select("doc_id", "row_key", "text_key", "base", F.col("base").alias("spans"))
         told = saved(self.terms(self.texts).select("row_key", "term_hash").join(disclosing, "term_hash").dropDuplicates(["row_key", "term_hash"]), "told")
-        held = self.texts.join(told.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-        words = without_base(held).select("row_key", F.explode(find_spans(F.col("outside"), TERM, "term")).alias("s")).withColumn("term_hash", F.xxhash64(F.lower("s.value")))
-        kind = F.when(F.col("disclosure") >= self.remove, "term").otherwise("name")
-        span = F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), kind.alias("kind"), F.col("s.value").alias("value"))
-        terms = words.join(told, ["row_key", "term_hash"]).groupBy("row_key").agg(F.collect_list(span).alias("terms"))
+        removed = F.col("disclosure") >= self.remove
+        lists = told.groupBy("row_key").agg(F.collect_list(F.when(removed, F.col("term_hash"))).alias("gone"), F.collect_list(F.when(~removed, F.col("term_hash"))).alias("vague"))
+        spans = without_base(self.texts.join(lists, "row_key").dropDuplicates(["row_key"])).select("row_key", "gone", "vague", find_spans(F.col("outside"), TERM, "term").alias("words"))
+
+        def own(terms: str, kind: str) -> Column:
+            mine = F.filter("words", lambda s: F.array_contains(terms, F.xxhash64(F.lower(s["value"]))))
+            return F.transform(mine, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
+
+        terms = spans.select("row_key", F.concat(own("gone", "term"), own("vague", "name")).alias("terms"))
         return self.base.join(terms, "row_key", "left").select("doc_id", "row_key", "text_key", "base", in_order(F.concat("base", F.coalesce("terms", no_spans())), KINDS).alias("spans"))
 
 
