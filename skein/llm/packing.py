@@ -20,10 +20,10 @@ interchangeable, and placement is a function of sizes and ids alone, so reruns a
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,11 +89,15 @@ def pack_sizes(sizes: np.ndarray, capacities: tuple[int, ...], quadratic: float)
 
 
 def _pack_shard(capacities: tuple[int, ...], quadratic: float):
-    def run(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        f = frames.sort_values(["length", "doc_id", "copy", "piece"], ascending=[False, True, True, True], na_position="first", kind="stable")
-        at, offset, final = pack_sizes(f["length"].to_numpy(dtype=np.int64), capacities, quadratic)
-        used = np.bincount(at, weights=f["length"].to_numpy(), minlength=len(final)).astype(np.int64)
-        return f.assign(bin=at, at=offset, capacity=final[at], in_bin=used[at])
+    def run(shard: pa.Table) -> pa.Table:
+        # Arrow keeps ids next to nulls as they are; nulls come first among equal sizes
+        shard = shard.take(pc.sort_indices(shard, [("length", "descending"), ("doc_id", "ascending"), ("copy", "ascending"), ("piece", "ascending")], null_placement="at_start"))
+        length = shard["length"].to_numpy()
+        at, offset, final = pack_sizes(length, capacities, quadratic)
+        used = np.bincount(at, weights=length, minlength=len(final)).astype(np.int64)
+        for name, values in (("bin", at), ("at", offset), ("capacity", final[at]), ("in_bin", used[at])):
+            shard = shard.append_column(name, pa.array(values, pa.int64()))
+        return shard
 
     return run
 
@@ -119,4 +123,4 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, qu
     start = F.col("piece") * largest
     dealt = cut.select("doc_id", "copy", "piece", start.alias("start"), F.least(F.lit(largest), F.col("size") - start).alias("length"), F.pmod(F.xxhash64("doc_id", "size", "copy", "piece"), F.lit(shards)).alias("shard"))
     out = "doc_id long, copy long, piece long, start long, length long, shard long, bin long, at long, capacity long, in_bin long"
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacities, quadratic), out)
+    return dealt.groupBy("shard").applyInArrow(_pack_shard(capacities, quadratic), out)
