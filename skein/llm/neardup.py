@@ -20,8 +20,9 @@ With 32 bands of 4 rows, a pair at similarity 0.85 shares no band with probabili
 64-bit hashes of word runs; set comparisons are exact but for hash collisions.
 
 Defined cases: texts without words link with nothing and represent themselves; rows with a null doc_id get a null
-component and are not kept; rows that share a doc_id are one node, and all its rows agree in component and kept; an empty
-table gives an empty result; extra columns are ignored.
+component and are not kept; rows that share a doc_id are one node, linked with whatever one of its texts is linked with, and
+all its rows agree in component and kept (n_shingles is each row's own); an empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -258,16 +259,28 @@ class NearDuplicates:
         apart = met.join(of("rep", "own"), "rep", "left").join(of("hub", "hub_own"), "hub", "left")
         apart = apart.select(F.col("bucket").alias("place"), "rep", F.coalesce("own", "rep").alias("own"), F.coalesce("hub_own", "hub").alias("hub_own"))
         across = self.blocks(apart, lambda _: sig.withColumnRenamed("sig", "payload"), _cross(self.least))
-        links = saved(stars.unionByName(within).unionByName(self.confirmed(saved(across, "across"))), "links")
+        links = saved(stars.unionByName(within).unionByName(self.confirmed(saved(across, "across"))).unionByName(self.shared_ids()), "links")
         return links, connected_components(links)
 
+    def shared_ids(self) -> DataFrame:
+        """Links (a, b) between the classes of texts that share a doc_id."""
+        worded = self.signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_hi", "set_lo", "n_shingles").distinct()
+        repeated = worded.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+        reps = worded.join(repeated, "doc_id", "left_semi").join(self.classes.drop("sig"), ["set_hi", "set_lo", "n_shingles"]).select("doc_id", "rep")
+        least = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        return reps.join(least, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+
     def labelled(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
         _, found = self.links()
         reps = self.classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
-        rows = self.signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo", "n_shingles"], "left")
+        rows = saved(self.signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(reps, ["set_hi", "set_lo", "n_shingles"], "left").select("doc_id", "n_shingles", "class_component"), "labelled")
+        # a row without words takes the component of another text of its doc_id, if there is one
+        blank = rows.filter("n_shingles = 0").select("doc_id", "n_shingles")
+        other = rows.filter("n_shingles > 0").join(blank.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "class_component").distinct()
+        every = rows.filter("n_shingles > 0").unionByName(blank.join(other, "doc_id", "left"))
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-        return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(False))).alias("kept"))
+        return every.select("doc_id", "n_shingles", component.alias("component_id"), (F.coalesce(component == F.col("doc_id"), F.lit(False))).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
@@ -275,7 +288,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """Rows of ``docs``, one of each group: the least doc_id. Of repeated rows of that doc_id one stays; rows with a null doc_id stay."""
-    kept = near_duplicates(docs, percent, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """Rows of ``docs``, one of each group: the least doc_id. Of its repeated rows the one of least hash stays; rows with a null doc_id stay."""
+    kept = near_duplicates(docs, percent, **options).filter("kept").select("doc_id").distinct()
+    # the row is nested, so that no column of it can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*(docs[c] for c in docs.columns)).alias("hash"), F.struct(*docs.columns).alias("row"))
+    one = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "hash").alias("row"))
+    every = one.select("row").unionByName(rows.filter("doc_id is null").select("row"))
+    return every.select(*(F.col("row")[c].alias(c) for c in docs.columns))
