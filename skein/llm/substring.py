@@ -14,7 +14,8 @@ Plan
    intervals.
 
 Every step is keyed by a hash or by a document, so no group grows with the corpus but the rows of one window hash, which
-are only ever aggregated or joined with a single row (such joins Spark splits when skewed).
+are only ever aggregated or joined with a single row. First documents of windows that hold more than a 1,024th of all are
+broadcast for that join (fewer than 1,024 rows), so a passage that very many documents share meets in no single task.
 
 Defined cases: null or blank text has no words; a text shorter than the window keeps all; rows with a null doc_id rank
 after all others and so never cause a removal, but lose what earlier documents hold; repeated rows (same doc_id) do not
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.skew import spread_join
 from skein.llm.textkernels import BASE_A, BASE_B, Words, mix, rolling, sliding_min, slices
 from skein.session import saved
 
@@ -52,13 +54,15 @@ def _anchors(width: int, gram: int):
         for batch in batches:
             texts, at, key = batch.column("text"), batch.column("at").to_numpy(), batch.column("key").to_numpy()
             for lo, hi in slices(texts):
-                rows, found = [], []
+                rows, found, total = [], [], 0
                 for row, _, lows in _windows(Words(texts.slice(lo, hi - lo)), width, gram):
+                    total += len(lows)
                     found.append(np.unique(lows))
                     rows.append(np.full(len(found[-1]), lo + row))
                 if found:
                     r = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(at[r]), pa.array(key[r])], ["anchor", "at", "key"])
+                    # and one row with the number of windows
+                    yield pa.RecordBatch.from_arrays([pa.array([*np.concatenate(found).view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[at[r], total]), pa.array(np.r_[key[r], 0])], ["anchor", "at", "key"])
 
     return run
 
@@ -134,7 +138,8 @@ def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 16) -> DataFr
     # every use below has these three columns, so the texts are shuffled once and that shuffle is reused
     keyed = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("at"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
 
-    anchors = saved(keyed.select("at", "key", "text").mapInArrow(_anchors(width, gram), "anchor long, at long, key long"), "anchors")
+    hashed = saved(keyed.select("at", "key", "text").mapInArrow(_anchors(width, gram), "anchor long, at long, key long"), "anchors")
+    anchors, total = hashed.filter("anchor is not null"), hashed.filter("anchor is null").agg(F.sum("at")).first()[0] or 0
     repeated = anchors.groupBy("anchor").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").select("anchor")
     # exact copies of an earlier document need no windows: all of theirs start there
     texts = keyed.select("at", "key", F.hash("text").alias("key2"))
@@ -144,8 +149,9 @@ def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 16) -> DataFr
 
     # not written: hashing again costs less than keeping every window twice
     windows = keyed.join(own, ["at", "key"]).mapInArrow(_candidates(width, gram), "h1 long, h2 int, at long, key long, pos int")
-    first = windows.groupBy("h1", "h2").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo < hi").drop("hi")
-    gone = windows.join(first, ["h1", "h2"]).filter("at > lo").groupBy("at", "key").agg(F.collect_list("pos").alias("positions"))
+    first = windows.groupBy("h1", "h2").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").drop("hi")
+    met = spread_join(windows, first, "h1", "lo", "n", total, F.xxhash64("at", "pos"), also=("h2",))
+    gone = met.filter("at > lo").groupBy("at", "key").agg(F.collect_list("pos").alias("positions"))
 
     kept = keyed.join(gone, ["at", "key"], "left").join(copies, ["at", "key"], "left").select(F.col("at").alias("doc_id"), "text", "positions", "copy").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string")
     return kept.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
