@@ -99,14 +99,14 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     Copies are decided on narrow rows and joined back by (doc_id, text and source hash); rows that agree in these are
     interchangeable and share their copies evenly.
     """
-    columns = docs.columns
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("mix_at")
-    key = F.xxhash64("text", "source", F.col("doc_id").isNull()).alias("mix_key")
-    sized = saved(docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), at, key).withColumn("tie", F.concat_ws(":", "mix_at", "mix_key")), "sizes")
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at")
+    key = F.xxhash64("text", "source", F.col("doc_id").isNull()).alias("key")
+    sized = saved(docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), at, key).withColumn("tie", F.concat_ws(":", "at", "key")), "sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    copies = systematic_copies(sized, targets).groupBy("mix_at", "mix_key").agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).filter("mix_copies > 0")
-    nth = F.row_number().over(Window.partitionBy("mix_at", "mix_key").orderBy("mix_at"))
-    upto = lambda k: F.floor(k * F.col("mix_copies") / F.col("mix_rows"))
-    joined = docs.withColumns({"mix_at": at, "mix_key": key}).join(copies, ["mix_at", "mix_key"]).withColumn("mix_nth", nth)
-    joined = joined.withColumn("mix_own", (upto(F.col("mix_nth")) - upto(F.col("mix_nth") - 1)).cast("int")).filter("mix_own > 0")
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_own")))).select(*columns)
+    copies = systematic_copies(sized, targets).groupBy("at", "key").agg(F.sum("copies").alias("all_copies"), F.count(F.lit(1)).alias("rows")).filter("all_copies > 0")
+    upto = lambda k: F.floor(k * F.col("all_copies") / F.col("rows"))
+    nth = F.row_number().over(Window.partitionBy("at", "key").orderBy("at"))
+    # the row is nested, so that no column of it can clash
+    joined = docs.select(F.struct(*docs.columns).alias("row"), at, key).join(copies, ["at", "key"]).withColumn("nth", nth)
+    own = joined.withColumn("own", (upto(F.col("nth")) - upto(F.col("nth") - 1)).cast("int")).filter("own > 0")
+    return own.select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select(*(F.col("row")[c].alias(c) for c in docs.columns))
