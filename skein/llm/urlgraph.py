@@ -48,26 +48,30 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return reduce(lambda rest, i: F.when(fits[i], results[i]).otherwise(rest), reversed(range(len(ordered))), F.lit(None))
 
 
-def propagate(hosts: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 12, tolerance: float = 1e-4) -> DataFrame:
-    """Scores (kind, host, seed, score) from seeds (kind, host, seed) and steps (kind, src, dst)."""
+def propagate(hosts: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """Scores (kind, host, seed, score) from seeds (kind, host, seed) and steps (kind, src, dst).
+
+    Rounds go on until the scores of all hosts together move by less than ``tolerance``. What moves shrinks by the damping
+    in each round, so that is certain to come, and no score is then off by more than damping / (1 - damping) times as much.
+    """
     degree = links.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("degree"))
     steps = saved(links.join(degree, ["kind", "src"]), "steps")
     state = saved(hosts.join(degree.withColumnRenamed("src", "host"), ["kind", "host"], "left").withColumn("score", F.col("seed")), "scores")
     if steps.isEmpty():
         return state
-    for _ in range(rounds):
+    while True:
         passed = steps.join(state.select("kind", F.col("host").alias("src"), (F.col("score") / F.col("degree")).alias("part")), ["kind", "src"])
         got = passed.groupBy("kind", F.col("dst").alias("host")).agg(F.sum("part").alias("got"))
         kept = F.coalesce("got", F.lit(0.0)) + F.when(F.col("degree").isNull(), F.col("score")).otherwise(0.0)
         stepped = state.join(got, ["kind", "host"], "left").withColumn("next", F.lit(1 - damping) * F.col("seed") + F.lit(damping) * kept)
-        stepped = saved(stepped.select("kind", "host", "seed", "degree", F.abs(F.col("next") - F.col("score")).alias("moved"), F.col("next").alias("score")), "scores")
-        state = stepped.drop("moved")
-        if (stepped.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
-            break
-    return state
+        stepped = saved(stepped.select("kind", "host", "seed", "degree", F.abs(F.col("next") - F.col("score")).alias("moved"), F.col("next").alias("score")), "scores", instead_of=state)
+        moved = stepped.agg(F.sum("moved")).first()[0] or 0.0
+        state = stepped
+        if moved < tolerance:
+            return state.drop("moved")
 
 
-def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every page."""
     host, path = url_parts(F.col("url").cast("string"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), F.regexp_extract_all(F.col("html").cast("string"), F.lit(LINK), F.lit(1)).alias("targets"))
@@ -79,7 +83,7 @@ def judge_pages(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping:
     own = judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked"))
     seen = own.unionByName(edges.select(F.col("dst").alias("host"), F.lit(0.0).alias("allowed"), F.lit(0.0).alias("blocked"))).groupBy("host").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
     seeds = seen.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("allowed").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))).alias("s")).select("s.kind", "host", "s.seed")
-    scores = propagate(seeds, steps, damping, rounds)
+    scores = propagate(seeds, steps, damping)
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score")))
     per_host = scores.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
     verdict = F.coalesce("ruled", F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow"))
