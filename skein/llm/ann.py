@@ -11,7 +11,7 @@ Plan
 1. Equal vectors form a class, of which the k + 1 least ids are kept, so a vector that a third of all rows share costs one
    search. Classes are encoded once; bits and scalars are saved apart from the vectors.
 2. Queries and codes are dealt into blocks of bounded size by hash; each pair of blocks is one bounded task that reads bits
-   only (64 bytes a row at 512 bits) and returns each query's k + 1 largest lower bounds. The best over all blocks get exact
+   only (128 bytes a row at 1,024 bits) and returns each query's k + 1 largest lower bounds. The best over all blocks get exact
    cosines; the least of these is the query's bar: its k-th neighbour is no farther.
 3. The bits are scanned again, now against the bars of all blocks together, and only rows whose upper bound reaches the bar
    return. Vectors are joined to these survivors alone, a number that does not grow with the blocks, and give exact cosines
@@ -37,7 +37,7 @@ from skein.llm.textkernels import slices_of
 from skein.session import saved
 
 BLOCK, QUERY_BLOCK, TILE = 8192, 16384, 256
-BITS = 512
+BITS = 1024
 
 
 @cache
@@ -58,13 +58,17 @@ def encode(vectors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(bits)
 
 
-def estimate(codes: np.ndarray, own: np.ndarray, queries: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines (queries x rows) from packed bits and scalars, and the error bound of each row."""
-    bits = codes.shape[1] * 8
+def signs(codes: np.ndarray) -> np.ndarray:
+    """Bits as columns of 0.0 and 1.0: bits x rows."""
+    return np.unpackbits(codes, axis=1).astype(np.float32).T
+
+
+def estimate(ones: np.ndarray, own: np.ndarray, queries: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated cosines (queries x rows) from bits and scalars, and the error bound of each row."""
+    bits = len(ones)
     turned = (unit(queries) @ rotation(queries.shape[1], bits).T / np.sqrt(bits)).astype(np.float32)
     # dot(code, q) = 2 * (sum of q where the bit is set) - sum of q
-    sums = turned @ np.unpackbits(codes, axis=1).astype(np.float32).T
-    near = (2 * sums - turned.sum(axis=1, keepdims=True)) / own[None, :].astype(np.float32)
+    near = (2 * (turned @ ones) - turned.sum(axis=1, keepdims=True)) / own[None, :].astype(np.float32)
     error = epsilon * np.sqrt(np.maximum(1 - own**2, 0) / own**2 / max(bits - 1, 1))
     return near, (error + 1e-5).astype(np.float32)
 
@@ -96,9 +100,10 @@ def _scan(k: int, epsilon: float, against_bar: bool):
         if left.num_rows and right.num_rows:
             queries, codes, own = _matrix(left["vector"]), np.frombuffer(b"".join(right["codes"].to_pylist()), dtype=np.uint8).reshape(right.num_rows, -1), right["own"].to_numpy()
             q_ids, q_class, r_class = (t[c].to_numpy() for t, c in ((left, "query_id"), (left, "class_id"), (right, "class_id")))
+            ones = signs(codes)
             lone, bars = right["lone"].to_numpy(zero_copy_only=False), left["bar"].to_numpy()
             for at in range(0, len(q_ids), TILE):
-                near, error = estimate(codes, own, queries[at : at + TILE], epsilon)
+                near, error = estimate(ones, own, queries[at : at + TILE], epsilon)
                 near[lone[None, :] & (r_class[None, :] == q_class[at : at + TILE, None])] = -np.inf  # a query is no neighbour of itself
                 for i in range(len(near)):
                     if against_bar:
@@ -132,7 +137,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("vector")).filter(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, epsilon: float = 5.0, bits: int = BITS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, epsilon: float = 3.0, bits: int = BITS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row whose id is divisible by ``every``. ``bits`` is a multiple of 8."""
     rows = usable(vectors, id_column, vector_column)
     same = F.xxhash64("vector").alias("h1"), F.xxhash64(F.reverse("vector"), F.size("vector")).alias("h2")
