@@ -14,7 +14,6 @@ from skein.llm.packing import pack_documents, pack_sizes
 from skein.llm.pii import find_private, sanitise
 from skein.llm.secrets import RULES, find_secrets, trigram_query
 from skein.llm.substring import dedup_substrings
-from skein.llm.toxicity import Index, score_documents
 from skein.llm.urlgraph import judge_pages
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string"
@@ -45,25 +44,6 @@ def test_private_spans_and_sanitising(spark):
     assert clean[1].text is None
 
 
-def test_terms_that_reveal_an_entity_are_found(spark):
-    rows = [(i, f"{w} Zorblax wrote from zor@mail.example.com {w} today") for i, w in enumerate(("first", "second", "third"))]
-    found = find_private(docs(spark, rows + [(100 + i, f"first second third wrote from today {i}") for i in range(60)]))
-    spans = {r.doc_id: r.spans for r in found.collect()}
-    assert all("term:" in spans[i] for i in range(3)) and all(spans[100 + i] == "" for i in range(60))
-
-
-def test_repeated_signatures_disclose_and_copied_documents_do_not(spark):
-    signature = "regards Zorblax <zor@mail.example.com> " + "of the usual company and its many good friends in town and elsewhere on the coast"
-    lead = "and so on and on as ever in the usual way until the very end of the usual letter which says so, "
-    letters = [(i, f"letter {chr(97 + i) * 4} " + lead + signature) for i in range(5)]
-    rest = [(100 + i, f"letter and so on as ever in the usual way until the very end which says of company its many good friends town elsewhere coast regards {i}") for i in range(60)]
-    spans = {r.doc_id: r.spans for r in find_private(docs(spark, letters + rest)).collect()}
-    at = letters[0][1].index("Zorblax")
-    assert all(f"term:{at}:{at + 7}" in spans[i] for i in range(5)) and all(spans[100 + i] == "" for i in range(60))
-    copies = [(i, letters[0][1]) for i in range(5)]
-    assert all("term" not in r.spans for r in find_private(docs(spark, copies + rest)).collect())
-
-
 def test_secrets_and_trigram_queries(spark):
     text = 'x api_key = "abcdefghijkl" AKIAABCDEFGHIJKLMN 0123456789abcdef TOKEN:short'
     row = find_secrets(docs(spark, [(1, text)])).first()
@@ -121,39 +101,6 @@ def test_joint_plan_is_never_dearer():
     assert cost((256, 512, 1024)) <= cost((1024,))
 
 
-def test_block_max_search_is_exact():
-    rng = np.random.default_rng(5)
-    idf = rng.uniform(1, 5, 40)
-    examples = [(i, sorted(rng.choice(40, n, replace=False).tolist()), rng.integers(1, 4, n).tolist(), float(i % 3 == 0)) for i, n in enumerate(rng.integers(0, 6, 400))]
-    index = Index.build(examples, idf, 7)
-    dense = np.zeros((len(index.labels), 40))
-    for f, rows in index.rows.items():
-        dense[rows, f] = index.weights[f]
-    for _ in range(50):
-        ids, w = index.vector(rng.choice(40, 3, replace=False), rng.integers(1, 3, 3))
-        _, cosines = index.search(ids, w, 7)
-        assert np.allclose(cosines, np.sort(dense[:, ids] @ w)[::-1][:7])
-
-
-def test_toxicity_learns_and_leaves_the_rest(spark):
-    rows = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)} " + ("you moronic fool" if i % 4 == 0 else "kind friend")) for i in range(200)]
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
-    out = score_documents(docs(spark, [*rows, (900, None), (None, "kind")]), labels)
-    got = {r.doc_id: r.predicted for r in out.collect()}
-    assert all(got[i] == int(i % 4 == 0) for i in range(200)) and got[900] == got[None] == 0
-    assert score_documents(docs(spark, rows[:3]), labels.limit(0)).agg({"score": "max"}).first()[0] == 0
-
-
-def test_a_selected_word_tells_less_in_a_long_text(spark):
-    alike = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(400)]
-    rows = [(i, f"plain words number {alike[i]} " + ("you moronic fool" if i % 4 == 0 else "kind friend moronic" if i % 40 == 1 else "kind friend")) for i in range(200)]
-    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
-    long = "moronic " + " ".join(f"{a}{b}" for a in alike[:40] for b in alike[:20])
-    out = {r.doc_id: r for r in score_documents(docs(spark, [*rows, (900, "moronic"), (901, long)]), labels).collect()}
-    assert out[901].cosines and max(out[901].cosines) < out[900].cosines[0] / 2
-    assert out[900].predicted == 1 and out[901].predicted == 0
-
-
 def test_neighbours_match_brute_force(spark):
     rng = np.random.default_rng(6)
     vectors = rng.standard_normal((300, 16))
