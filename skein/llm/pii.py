@@ -141,7 +141,8 @@ class Sanitiser:
         told = saved(self.terms(self.texts).select("row_key", "term_hash").join(disclosing, "term_hash").dropDuplicates(["row_key", "term_hash"]), "told")
         removed = F.col("disclosure") >= self.remove
         lists = told.groupBy("row_key").agg(F.collect_list(F.when(removed, F.col("term_hash"))).alias("gone"), F.collect_list(F.when(~removed, F.col("term_hash"))).alias("vague"))
-        spans = without_base(self.texts.join(lists, "row_key").dropDuplicates(["row_key"])).select("row_key", "gone", "vague", find_spans(F.col("outside"), TERM, "term").alias("words"))
+        # the rows to look in grow with the corpus, so texts meet them by a shuffle at every size
+        spans = without_base(self.texts.join(lists.hint("merge"), "row_key").dropDuplicates(["row_key"])).select("row_key", "gone", "vague", find_spans(F.col("outside"), TERM, "term").alias("words"))
 
         def own(terms: str, kind: str) -> Column:
             mine = F.filter("words", lambda s: F.array_contains(terms, F.xxhash64(F.lower(s["value"]))))
