@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.skew import spread_join
+from skein.llm.skew import HOT
 from skein.llm.textkernels import BASE_A, BASE_B, Words, mix, rolling, sliding_min, slices
 from skein.session import saved
 
@@ -149,9 +149,13 @@ def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 16) -> DataFr
 
     # not written: hashing again costs less than keeping every window twice
     windows = keyed.join(own, ["at", "key"]).mapInArrow(_candidates(width, gram), "h1 long, h2 int, at long, key long, pos int")
-    first = windows.groupBy("h1", "h2").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").drop("hi")
-    met = spread_join(windows, first, "h1", "lo", "n", total, F.xxhash64("at", "pos"), also=("h2",))
-    gone = met.filter("at > lo").groupBy("at", "key").agg(F.collect_list("pos").alias("positions"))
+    first = windows.groupBy("h1", "h2").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # windows that hold more than a 1,024th of all: fewer than 1,024 rows. Theirs are settled where they are made, and go on
+    # under keys that spread them, as the null in h2 lets them meet nothing
+    hot = first.filter(F.col("n") * HOT > total).select("h1", "h2", F.col("lo").alias("hot_lo"))
+    made = windows.join(F.broadcast(hot), ["h1", "h2"], "left").filter("hot_lo is null or at > hot_lo")
+    met = made.select(F.when(F.col("hot_lo").isNull(), F.col("h1")).otherwise(F.xxhash64("at", "pos")).alias("h1"), F.when(F.col("hot_lo").isNull(), F.col("h2")).alias("h2"), "at", "key", "pos").join(first.drop("n"), ["h1", "h2"], "left")
+    gone = met.filter("h2 is null or at > lo").groupBy("at", "key").agg(F.collect_list("pos").alias("positions"))
 
     kept = keyed.join(gone, ["at", "key"], "left").join(copies, ["at", "key"], "left").select(F.col("at").alias("doc_id"), "text", "positions", "copy").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string")
     return kept.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
