@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 HOT = 1024  # a key is hot if it holds more than one row in HOT, so there are fewer than HOT hot keys
 
 
-def spread_join(rows: DataFrame, unique: DataFrame, key: str, value: str, count: str, total: int | Column, spread: Column, also: tuple[str, ...] = ()) -> DataFrame:
-    """Left join of ``rows`` with ``unique`` (key, also..., value, count), whose ``count`` says how many rows have the key.
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, value: str, count: str, total: int, spread: Column) -> DataFrame:
+    """Left join of ``rows`` with ``unique`` (key, value, count), whose ``count`` says how many rows have the key.
 
     ``total`` is at least the number of rows. The values of hot keys are broadcast (fewer than HOT rows), and their rows are
     dealt by ``spread`` instead of the key, so no task gets a hot key whole. All other rows meet their value by a shuffle.
     """
-    keys = [key, *also]
-    hot = unique.filter(F.col(count) * HOT > total).select(*keys, F.col(value).alias("_hot_value"))
-    met = rows.join(F.broadcast(hot), keys, "left").withColumn("_cold", F.col("_hot_value").isNull())
+    hot = unique.filter(F.col(count) * HOT > total).select(key, F.col(value).alias("_hot_value"))
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("_cold", F.col("_hot_value").isNull())
     met = met.withColumn("_at", F.when(F.col("_cold"), F.col(key)).otherwise(spread))
-    cold = unique.select(F.col(key).alias("_at"), *also, F.lit(True).alias("_cold"), F.col(value).alias("_cold_value"))
-    out = met.join(cold, ["_at", *also, "_cold"], "left")
+    cold = unique.select(F.col(key).alias("_at"), F.lit(True).alias("_cold"), F.col(value).alias("_cold_value"))
+    out = met.join(cold, ["_at", "_cold"], "left")
     return out.select(*rows.columns, F.coalesce("_hot_value", "_cold_value").alias(value))

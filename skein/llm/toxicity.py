@@ -12,7 +12,7 @@ The index holds the examples' vectors, sorted by their strongest word and cut in
 examples have (``HEAD`` of them or more) are kept as columns with their largest weight in each block; all others as posting
 lists. A search adds up the posting lists, bounds each example from above by the block maxima of the text's head words, and
 adds the true head weights only for examples whose bound reaches the k-th best, so the k nearest are exact. They vote,
-weighted by cosine; votes are smoothed towards the base share and calibrated by isotonic regression on a quarter of the
+weighted by cosine; votes are smoothed towards the base share and calibrated by isotonic regression on an eighth of the
 examples, which the index does not hold. Neighbours and cosines are the evidence. Texts without any word of the examples have
 no evidence, and score the toxic share of calibration examples of that sort, shrunk to 0.
 
@@ -99,6 +99,18 @@ class Vectoriser:
         return ids, w / math.sqrt((w * w).sum() + rest * self.unseen**2)
 
 
+def _vectors(words):
+    """Vectors of texts: the other columns, ids, weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [words.value.vector(words_of(text)) for text in batch.column("text").to_pylist()]
+            kept = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float64()))], [*kept, "ids", "weights"])
+
+    return run
+
+
 @dataclass
 class Index:
     """Block-max inverted index of labelled examples."""
@@ -116,13 +128,20 @@ class Index:
     steps: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
-    def build(cls, examples: list[tuple[int, float, np.ndarray, np.ndarray]], n_words: int, head_share: float = HEAD) -> Index:
-        """examples: (name, label, word numbers, weights) in any order."""
-        examples = sorted((e for e in examples if len(e[2])), key=lambda e: (int(e[2][e[3].argmax()]), e[0]))
-        base = float(np.mean([e[1] for e in examples])) if examples else 0.0
-        rows = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples]).astype(np.int64)
-        ids = np.concatenate([np.empty(0, np.int64), *(e[2] for e in examples)])
-        weights = np.concatenate([np.empty(0), *(e[3] for e in examples)])
+    def build(cls, vectors: pa.Table, n_words: int, head_share: float = HEAD) -> Index:
+        """vectors: name, toxic, ids, weights (word numbers and weights of each example), in any order."""
+        lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (vectors["ids"], vectors["weights"])]
+        sizes = np.diff(lists[0].offsets.to_numpy())
+        flat_ids, flat_weights = lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
+        names, labels = vectors["name"].to_numpy(), vectors["toxic"].to_numpy()
+        ends = np.cumsum(sizes)
+        strongest = np.array([flat_ids[e - n + flat_weights[e - n : e].argmax()] if n else -1 for e, n in zip(ends, sizes, strict=True)], dtype=np.int64)
+        order = np.lexsort((names, strongest))
+        order = order[sizes[order] > 0]
+        at = np.concatenate([np.empty(0, np.int64), *(np.arange(ends[e] - sizes[e], ends[e]) for e in order)])
+        ids, weights, rows = flat_ids[at].astype(np.int64), flat_weights[at], np.repeat(np.arange(len(order)), sizes[order])
+        examples, labels, names = order, labels[order].astype(np.float64), names[order].astype(np.int64)
+        base = float(labels.mean()) if len(labels) else 0.0
         held = np.bincount(ids, minlength=n_words)
         heads = np.flatnonzero((held >= max(head_share * len(examples), 1)) & (held > BLOCK))
         head = np.full(n_words, -1, dtype=np.int32)
@@ -132,9 +151,9 @@ class Index:
         at_head = head[ids] >= 0
         columns[rows[at_head], head[ids[at_head]]] = weights[at_head]
         tops = columns.reshape(n_blocks, BLOCK, len(heads)).max(axis=1).T if n_blocks else np.zeros((0, 0))
-        order = np.argsort(ids[~at_head], kind="stable")
-        start = np.searchsorted(ids[~at_head][order], np.arange(n_words + 1))
-        return cls(np.array([e[1] for e in examples]), np.array([e[0] for e in examples], dtype=np.int64), base, start, rows[~at_head][order], weights[~at_head][order], head, columns, np.ascontiguousarray(tops))
+        by_word = np.argsort(ids[~at_head], kind="stable")
+        start = np.searchsorted(ids[~at_head][by_word], np.arange(n_words + 1))
+        return cls(labels, names, base, start, rows[~at_head][by_word].astype(np.int32), weights[~at_head][by_word], head, columns, np.ascontiguousarray(tops))
 
     def search(self, ids: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples, exactly; ties go to the lower row. Examples of cosine 0 are none."""
@@ -208,7 +227,7 @@ def _scored(model, k: int):
 class ToxicityScorer:
     """Learns from labelled documents; ``score`` gives a row per document.
 
-    k: neighbours that vote; most_examples: bound on the labelled texts, a quarter of which calibrates.
+    k: neighbours that vote; most_examples: bound on the labelled texts, an eighth of which calibrates.
     """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = MOST_EXAMPLES):
@@ -222,30 +241,39 @@ class ToxicityScorer:
         chosen = saved(chosen.withColumnRenamed("name", "example"), "chosen")
         # most_examples rows of three numbers bound what is broadcast
         met = self.texts.select("doc_id", name, "text").join(F.broadcast(chosen), (F.col("name") == F.col("example")) & (F.col("doc_id") == F.col("example_id")))
-        sample = met.dropDuplicates(["name"]).select("name", "toxic", "text", (F.pmod(F.xxhash64("name"), F.lit(4)) == 0).alias("calibrates"))
+        sample = met.dropDuplicates(["name"]).select("name", "toxic", "text", (F.pmod(F.xxhash64("name"), F.lit(8)) == 0).alias("calibrates"))
         self.sample = saved(sample, "examples")
         self.model = self._learn()
 
     def _learn(self):
-        """Broadcast (vectoriser, index), or None without an example. What the driver takes is the sample's words and counts."""
-        sc = self.texts.sparkSession.sparkContext
-        counted = self.sample.filter("not calibrates").select("text", "toxic").mapInArrow(_example_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
-        words = counted.column("word").to_pylist()
-        if not words:
+        """Broadcast (vectoriser, index), or None without an example. What the driver takes is the sample's words and weights, as arrays."""
+        sc, indexed = self.texts.sparkSession.sparkContext, self.sample.filter("not calibrates")
+        counted = indexed.select("text", "toxic").mapInArrow(_example_words, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()
+        if not counted.num_rows:
             return None
-        numbers = {w: i for i, w in enumerate(words)}
-        held = self.texts.select("text").mapInArrow(_document_counts(sc.broadcast(numbers)), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+        numbers = sc.broadcast({w: i for i, w in enumerate(counted.column("word").to_pylist())})
+        held = self.texts.select("text").mapInArrow(_document_counts(numbers), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
         ids, n = held.column("id").to_numpy(), held.column("n").to_numpy()
-        total, df = n[ids < 0].sum(), np.ones(len(words))
+        total, df = n[ids < 0].sum(), np.ones(counted.num_rows)
         df[ids[ids >= 0]] = n[ids >= 0]
         relevance = np.log2(2 + counted.column("toxic").to_numpy() / np.maximum(1, counted.column("other").to_numpy()))
-        vectoriser = Vectoriser(numbers, np.log(1 + total / df) * relevance, float(np.log(1 + total)))
-        rows = self.sample.filter("not calibrates").select("name", "toxic", "text").toLocalIterator()  # most_examples at most, a partition at a time
-        index = Index.build([(r.name, r.toxic, *vectoriser.vector(words_of(r.text))) for r in rows], len(words))
-        votes = self.sample.filter("calibrates").select("toxic", "text").mapInArrow(_scored(sc.broadcast((vectoriser, index)), self.k), "toxic double, score double, evidence array<long>, cosines array<double>")
+        vectoriser = Vectoriser(numbers.value, np.log(1 + total / df) * relevance, float(np.log(1 + total)))
+        words = sc.broadcast(vectoriser)
+        vectors = indexed.select("name", "toxic", "text").mapInArrow(_vectors(words), "name long, toxic double, ids array<int>, weights array<double>").toArrow()  # most_examples rows
+        index = Index.build(vectors, len(df))
+        model = sc.broadcast((vectoriser, index))
+        votes = self.sample.filter("calibrates").select("toxic", "text").mapInArrow(_scored(model, self.k), "toxic double, score double, evidence array<long>, cosines array<double>")
         index.calibrate([(r.score, r.toxic, r.told) for r in votes.select("score", "toxic", (F.size("evidence") > 0).alias("told")).collect()])
+        for old in (numbers, words, model):
+            old.destroy()
         return sc.broadcast((vectoriser, index))
 
+    def release(self) -> None:
+        """Frees the index on the driver and the executors; nothing can be scored after it."""
+        if self.model is not None:
+            self.model.destroy()
+            self.model = None
+
     def score(self) -> DataFrame:
         """doc_id, row_key (a hash of doc_id and text), score, evidence (hashes of the nearest example texts), cosines."""
         keyed = self.texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64("text").alias("text_key"), "text")
@@ -267,8 +295,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic, with their columns. A text without evidence is never dropped."""
-    scored = ToxicityScorer(docs, labels, **options).score()
-    rejected = scored.filter((predicted(F.col("score"), threshold) == 1) & (F.size("evidence") > 0)).select("row_key", "text_key").distinct()
+    scorer = ToxicityScorer(docs, labels, **options)
+    rejected = scorer.score().filter((predicted(F.col("score"), threshold) == 1) & (F.size("evidence") > 0)).select("row_key", "text_key").distinct()
+    rejected = saved(rejected, "rejected")
+    scorer.release()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the row is nested, so that no column of it can clash
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id"), text).alias("row_key"), F.xxhash64(text).alias("text_key"))

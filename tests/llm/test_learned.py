@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import fingerprint as fp
@@ -64,7 +65,9 @@ def test_block_max_search_is_exact_with_and_without_head_words():
             ids = np.unique(np.minimum(rng.geometric(0.05, rng.integers(1, 30)), 79))
             w = rng.uniform(0.1, 1, len(ids))
             examples.append((name, float(name % 3 == 0), ids, w / np.sqrt((w * w).sum())))
-        index = tx.Index.build(examples, 80, share)
+        columns = zip(*examples, strict=True)
+        table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)], ["name", "toxic", "ids", "weights"])
+        index = tx.Index.build(table, 80, share)
         dense = np.zeros((500, 80))
         for name, _, ids, w in examples:
             dense[name, ids] = w
