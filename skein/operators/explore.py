@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.guards import is_root
 from skein.operators.graph import reach
-from skein.session import cut
+from skein.session import saved
 
 
 def siblings(edges: DataFrame, node: str, etype: str) -> DataFrame:
@@ -22,12 +23,12 @@ def closure(parents: DataFrame, max_depth: int = 30) -> DataFrame:
 
     Pairs seen before are dropped, so cycles end; each round joins only the pairs found last.
     """
-    links = parents.filter("child is not null and parent is not null").select("child", "parent").distinct()
+    links = saved(parents.filter("child is not null and parent is not null").select("child", "parent").distinct(), "links")
     nodes = links.select(F.col("child").alias("id")).union(links.select(F.col("parent").alias("id"))).distinct()
     seen = frontier = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
         up = frontier.join(links.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("id", F.col("parent").alias("ancestor")).distinct()
-        frontier = cut(up.join(seen.select("id", "ancestor"), ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = saved(up.join(seen.select("id", "ancestor"), ["id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -49,8 +50,12 @@ def descendants(parents: DataFrame, root: str, max_depth: int = 30, limit: int =
 
 
 def expand_deep(vertices: DataFrame, edges: DataFrame, node: str, depth: int = 3, limit: int = 500) -> DataFrame:
-    """Read and write edges met within 1 to 10 undirected steps of a node over tables and statements: src, dst, etype."""
-    allowed = vertices.filter(F.col("vtype").isin("Table", "Statement")).select("id")
+    """Read and write edges met within 1 to 10 undirected steps of a node over tables and root statements: src, dst, etype.
+
+    Where vertices have no column ``parent``, all statements are roots.
+    """
+    parent = F.col("parent") if "parent" in vertices.columns else F.lit(None)
+    allowed = vertices.filter(F.col("vtype").isin("Table", "Statement") & is_root(F.col("vtype"), parent)).select("id")
     used = edges.filter(F.col("etype").isin("READS_FROM", "WRITES_TO"))
     used = used.join(allowed.withColumnRenamed("id", "src"), "src", "left_semi").join(allowed.withColumnRenamed("id", "dst"), "dst", "left_semi")
     both = used.select("src", "dst").unionByName(used.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import cut
+from skein.session import saved
 
 FLOW = ("DATA_FLOW", "FILTER_FLOW", "JOIN_FLOW", "ATOM_REF_COLUMN")
 
@@ -13,26 +13,35 @@ FLOW = ("DATA_FLOW", "FILTER_FLOW", "JOIN_FLOW", "ATOM_REF_COLUMN")
 def reach(edges: DataFrame, start: DataFrame, max_hops: int, reverse: bool = False) -> DataFrame:
     """Least depth (id, depth) of every node within 1..max_hops steps of the ids in ``start`` (id).
 
-    Each hop joins the frontier with the edges and drops nodes seen before; the start itself is never returned.
+    The steps are written once, so no hop reads the source tables again; each hop meets its frontier with them, drops nodes
+    seen before and is written. The start itself is never returned.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far"))
+    steps = saved(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near is not null and far is not null"), "steps")
     seen = start.select("id", F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, max_hops + 1):
         met = steps.join(frontier.select(F.col("id").alias("near")), "near", "left_semi").select(F.col("far").alias("id")).distinct()
-        frontier = cut(met.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = saved(met.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen.filter("depth > 0")
 
 
-def impact(vertices: DataFrame, edges: DataFrame, node: str, downstream: bool = True, max_hops: int = 5, types: tuple[str, ...] = ("Routine", "Statement", "Table"), limit: int = 500) -> DataFrame:
-    """Nodes of the wanted types that flow edges reach from one node, nearest first: id, vtype, label, depth."""
+IMPACT_TYPES = ("Column", "Routine", "Statement", "Table")
+
+
+def impact(vertices: DataFrame, edges: DataFrame, node: str, downstream: bool = True, max_hops: int = 5, types: tuple[str, ...] = IMPACT_TYPES, limit: int = 500) -> DataFrame:
+    """Nodes of the wanted types that flow edges reach from one node, nearest first: id, vtype, label, depth, has_more.
+
+    ``has_more`` says that the result has ``limit`` rows, also where there are exactly so many.
+    """
     start = vertices.filter(F.col("id") == node).select("id")
     found = reach(edges.filter(F.col("etype").isin(*FLOW)), start, max_hops, reverse=not downstream)
-    return vertices.filter(F.col("vtype").isin(*types)).join(found, "id").select("id", "vtype", "label", "depth").orderBy("depth", "id").limit(limit)
+    found = vertices.filter(F.col("vtype").isin(*types)).join(found, "id").select("id", "vtype", "label", "depth")
+    total = found.select(F.count(F.lit(1)).alias("n"))  # one row
+    return found.orderBy("depth", "id").limit(limit).join(F.broadcast(total)).select("id", "vtype", "label", "depth", (F.col("n") >= limit).alias("has_more"))
 
 
 def lineage(vertices: DataFrame, edges: DataFrame, node: str, direction: str = "both", max_hops: int = 10) -> DataFrame:

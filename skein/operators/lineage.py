@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.explore import last_segment
+from skein.operators.graph import reach
 from skein.session import saved
 
 HIDDEN = ("Constraint", "PrimaryKey", "ForeignKey", "Atom")  # types that no view shows
@@ -101,9 +102,9 @@ def no_handles(df: DataFrame) -> DataFrame:
 
 def below(graph: Graph, node: str) -> tuple[DataFrame, DataFrame]:
     """(sub, root) of the descendants of a root statement, without and with itself; none where the node is no root."""
-    own = graph.roots("root").filter(F.col("root") == node)
-    under = saved(root_of(graph).filter(F.col("root") == node), "under")
-    return under, under.unionByName(own.select(F.col("root").alias("sub"), "root"))
+    own = graph.roots("id").filter(F.col("id") == node)
+    under = reach(graph.of("CHILD_OF"), own, 30, reverse=True).select(F.col("id").alias("sub"), F.lit(node).alias("root"))
+    return under, under.unionByName(own.select(F.col("id").alias("sub"), F.col("id").alias("root")))
 
 
 def upstream(graph: Graph, node: str, limit: int = 2000) -> DataFrame:
@@ -295,8 +296,6 @@ def flattened(graph: Graph, node: str, max_depth: int = 30) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.orderBy("path"))  # one tree of the view, not the graph
     return seen.select("id", (F.size("path") - 1).alias("depth"), place.alias("place"))
 

@@ -118,20 +118,33 @@ def chain_breaks(df: DataFrame, key: str, order: str, payload: Column, previous:
     return df.withColumn("_broken", (fresh != F.col(stored)) | (F.col(previous) != before)).filter("_broken").drop("_broken")
 
 
-def page_rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """Scores (id, score) after a fixed number of rounds over distinct edges (src, dst); dangling scores are not dealt out.
+def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """Scores (id, score) over distinct edges (src, dst), at a mean of 1: what dangling nodes hold is dealt out evenly.
 
-    The edges carry their share and are written once; each round is one join and one aggregate, written so that no plan
-    grows with the rounds.
+    Rounds go on until scores move by less than ``tolerance`` on the mean, or for a given number. The edges carry their share,
+    lie partitioned by src and are written once; each round is one join and one aggregate, and replaces the one before.
     """
     from skein.session import saved
 
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     links = saved(links.join(out, "src"), "links")
-    nodes = saved(links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct(), "nodes")
-    scores = nodes.withColumn("score", F.lit(1.0))
-    for _ in range(rounds):
-        given = links.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("n_out")).alias("given"))
-        scores = saved(nodes.join(given, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("given", F.lit(0.0))).alias("score")), "scores")
-    return scores
+    linked = links.select(F.col("src").alias("id"), F.lit(False).alias("dangles")).unionByName(links.select(F.col("dst").alias("id"), F.lit(True).alias("dangles")))
+    scores = saved(linked.groupBy("id").agg(F.bool_and("dangles").alias("dangles")).withColumn("score", F.lit(1.0)), "scores")
+    n, k = scores.count(), 0
+    while n and (rounds is None or k < rounds):
+        k += 1
+        lost = F.lit((scores.filter("dangles").agg(F.sum("score")).first()[0] or 0.0) / n)
+        given = links.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("n_out")).alias("given"))
+        fresh = scores.join(given, "id", "left").select("id", "dangles", F.col("score").alias("was"), (F.lit(1 - damping) + damping * (F.coalesce("given", F.lit(0.0)) + lost)).alias("score"))
+        scores = saved(fresh.select("id", "dangles", "score", F.abs(F.col("score") - F.col("was")).alias("moved")), "scores", instead_of=scores)
+        if rounds is None and scores.agg(F.sum("moved")).first()[0] < tolerance * n:
+            break
+        scores = _without(scores, "moved")
+    return scores.select("id", "score")
+
+
+def _without(df: DataFrame, column: str) -> DataFrame:
+    out = df.drop(column)
+    out._skein_path = getattr(df, "_skein_path", None)
+    return out

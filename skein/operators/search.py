@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.guards import CYPHER_WRITES, SQL_WRITES
 from skein.operators import graph as traversals
-from skein.operators.lineage import Graph, root_of
+from skein.operators.lineage import Graph, below, root_of
 
 # How much a match counts by the type of what it names.
 SCORES = {"Table": 1.0, "Column": 0.9, "OutputColumn": 0.9, "Package": 0.8, "Routine": 0.8, "Parameter": 0.75, "Variable": 0.75, "Statement": 0.7, "Schema": 0.7, "Database": 0.7, "Application": 0.7, "Session": 0.5}
@@ -116,7 +116,7 @@ def statement_sources(graph: Graph, node: str) -> DataFrame:
     """Tables a root statement reads: DIRECT where it reads them itself, else SUBQUERY: tbl, how."""
     reads = graph.link("READS_FROM", "stmt", "tbl")
     direct = reads.filter(F.col("stmt") == node).select("tbl", F.lit(0).alias("rank"))
-    under = root_of(graph).filter(F.col("root") == node).select(F.col("sub").alias("stmt"))
+    under = below(graph, node)[0].select(F.col("sub").alias("stmt"))
     deep = reads.join(under, "stmt", "left_semi").select("tbl", F.lit(1).alias("rank"))
     first = direct.unionByName(deep).groupBy("tbl").agg(F.min("rank").alias("rank"))
     return first.select("tbl", F.when(F.col("rank") == 0, "DIRECT").otherwise("SUBQUERY").alias("how"))

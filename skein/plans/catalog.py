@@ -2,7 +2,7 @@
 
 The driver's tables are bound to a metadata graph: regions are schemas, customers and parts are tables, orders are
 statements and suppliers routines. Orders write to their customer and read the parts of their lines; parts flow to their
-suppliers, and suppliers to the customers of the same nation.
+suppliers, and suppliers to the customers of the orders whose first line they supply.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def bound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("orders").select("o_orderkey", "o_custkey"), ("orders", "o_orderkey"), ("customer", "o_custkey"), "WRITES_TO"),
         edge(lines.select("l_orderkey", "l_partkey").distinct(), ("orders", "l_orderkey"), ("part", "l_partkey"), "READS_FROM"),
         edge(lines.select("l_partkey", "l_suppkey").distinct(), ("part", "l_partkey"), ("supplier", "l_suppkey"), "DATA_FLOW"),
-        edge(t("supplier").select("s_suppkey", "s_nationkey").join(customers, F.col("s_nationkey") == F.col("c_nationkey")), ("supplier", "s_suppkey"), ("customer", "c_custkey"), "DATA_FLOW"),
+        edge(t("lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct(), ("supplier", "l_suppkey"), ("customer", "o_custkey"), "DATA_FLOW"),
     ))
 
 
@@ -66,7 +66,7 @@ QUERIES = {
 }
 
 _V = "v AS (SELECT 'region:' || r_regionkey AS id, 'Schema' AS vtype, r_name AS label FROM region UNION ALL SELECT 'customer:' || c_custkey, 'Table', c_name FROM customer UNION ALL SELECT 'part:' || p_partkey, 'Table', p_name FROM part UNION ALL SELECT 'supplier:' || s_suppkey, 'Routine', s_name FROM supplier UNION ALL SELECT 'orders:' || o_orderkey, 'Statement', o_orderpriority FROM orders)"
-_E = "e AS (SELECT 'region:' || n_regionkey AS src, 'customer:' || c_custkey AS dst, 'CONTAINS_TABLE' AS etype FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey, 'WRITES_TO' FROM orders UNION ALL SELECT DISTINCT 'orders:' || l_orderkey, 'part:' || l_partkey, 'READS_FROM' FROM lineitem UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'DATA_FLOW' FROM lineitem UNION ALL SELECT 'supplier:' || s_suppkey, 'customer:' || c_custkey, 'DATA_FLOW' FROM supplier JOIN customer ON s_nationkey = c_nationkey)"
+_E = "e AS (SELECT 'region:' || n_regionkey AS src, 'customer:' || c_custkey AS dst, 'CONTAINS_TABLE' AS etype FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey, 'WRITES_TO' FROM orders UNION ALL SELECT DISTINCT 'orders:' || l_orderkey, 'part:' || l_partkey, 'READS_FROM' FROM lineitem UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'DATA_FLOW' FROM lineitem UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'customer:' || o_custkey, 'DATA_FLOW' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"
 _W = f"WITH RECURSIVE {_V}, {_E}, "
 
 
@@ -77,7 +77,7 @@ def _walk(name: str, node: str, hops: int, near: str = "src", far: str = "dst")
 _DEGREES = "g AS (SELECT dst AS id, count(*) FILTER (etype = 'READS_FROM') AS read_by, count(*) FILTER (etype = 'WRITES_TO') AS written_by FROM e WHERE etype IN ('READS_FROM', 'WRITES_TO') GROUP BY dst)"
 
 ORACLES = {
-    "p1_impact": _W + _walk("w", "part:1", 5) + " SELECT id, vtype, label, min(depth) AS depth FROM w JOIN v USING (id) WHERE depth > 0 AND id <> 'part:1' AND vtype IN ('Routine', 'Statement', 'Table') GROUP BY ALL ORDER BY depth, id LIMIT 500",
+    "p1_impact": _W + _walk("w", "part:1", 5) + " SELECT id, vtype, label, min(depth) AS depth, count(*) OVER () >= 500 AS has_more FROM w JOIN v USING (id) WHERE depth > 0 AND id <> 'part:1' AND vtype IN ('Column', 'Routine', 'Statement', 'Table') GROUP BY id, vtype, label ORDER BY depth, id LIMIT 500",
     "p2_lineage": _W + _walk("u", "supplier:1", 10, "dst", "src") + ", " + _walk("w", "supplier:1", 10) + " SELECT id, vtype, 'upstream' AS direction, min(depth) AS depth FROM u JOIN v USING (id) WHERE depth > 0 GROUP BY ALL UNION ALL SELECT id, vtype, 'downstream', min(depth) FROM w JOIN v USING (id) WHERE depth > 0 GROUP BY ALL",
     "j1_expand": _W + "o AS (SELECT src, dst, etype, vtype AS other_type FROM e JOIN v ON v.id = e.dst WHERE src = 'customer:1' ORDER BY 1, 2, 3 LIMIT 200), i AS (SELECT src, dst, etype, vtype AS other_type FROM e JOIN v ON v.id = e.src WHERE dst = 'customer:1' ORDER BY 1, 2, 3 LIMIT 200) SELECT * FROM o UNION ALL SELECT * FROM i",
     "j6_orphan_tables": _W + "x AS (SELECT dst FROM e WHERE etype IN ('READS_FROM', 'WRITES_TO')) SELECT id, label FROM v WHERE vtype = 'Table' AND id NOT IN (SELECT dst FROM x)",

@@ -51,7 +51,7 @@ QUERIES = {
     "r4_hot_nodes": _events(lambda d: feeds.hot_keys(feeds.recent_window(d.select("event_id", "ts", "props"), "event_id", "ts"), _K())),
     "r6_tenant_counters": _events(lambda d: feeds.tenant_counters(d, F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 7), F.col("event_type"), RULES)),
     "r7_fence_gate": _events(lambda d: feeds.fence_gate(d.select("event_id", "user_id", (_K() % 10).alias("token")), "user_id", "token", "event_id").select("event_id", "decision")),
-    "r9_first_writes": _events(lambda d: feeds.first_writes(d, "user_id").select("user_id")),
+    "r9_first_writes": _events(lambda d: feeds.first_writes(d, "user_id").select("user_id", "event_id", "event_type")),
     "r10_poll": _events(lambda d: feeds.poll(d.select("event_id", "ts"), "ts", "event_id", None)),
     "r13_visible": _events(lambda d: feeds.visible_to(d, F.when(F.col("user_id") % 7 > 0, F.col("user_id") % 7), 3).select("event_id")),
     "r15_purge": _events(lambda d: feeds.kept_after_purge(d, "ts", F.lit("2024-01-15").cast("timestamp")).select("event_id")),
@@ -72,7 +72,7 @@ ORACLES = {
     "r4_hot_nodes": f"WITH {_WINDOW} SELECT (props ->> '$.k')::BIGINT AS key, count(*) AS n FROM w GROUP BY 1 HAVING key IS NOT NULL ORDER BY n DESC, key LIMIT 10",
     "r6_tenant_counters": "SELECT tenant, counter, count(*) AS n FROM (SELECT CASE WHEN user_id % 7 > 0 THEN (user_id % 7)::VARCHAR ELSE '_platform' END AS tenant, CASE WHEN event_type LIKE '%chase%' THEN 'bought' WHEN event_type LIKE '%c%' THEN 'clicked' WHEN event_type LIKE '%v%' THEN 'viewed' END AS counter FROM events) WHERE counter IS NOT NULL GROUP BY ALL",
     "r7_fence_gate": "SELECT event_id, CASE WHEN coalesce(k, 0) = 0 THEN 'LEGACY' WHEN k > m THEN 'APPLY' WHEN k = m THEN 'REPLAY' ELSE 'STALE' END AS decision FROM (SELECT event_id, k, coalesce(max(k) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM (SELECT event_id, user_id, (props ->> '$.k')::BIGINT % 10 AS k FROM events))",
-    "r9_first_writes": "SELECT DISTINCT user_id FROM events",
+    "r9_first_writes": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "r10_poll": "SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 100",
     "r13_visible": "SELECT event_id FROM events WHERE user_id % 7 IN (0, 3)",
     "r15_purge": "SELECT event_id FROM events WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-15'",

@@ -40,11 +40,13 @@ def fence_gate(events: DataFrame, key: str, token: str, order: str) -> DataFrame
     return events.withColumn("decision", decision)
 
 
-def first_writes(events: DataFrame, key: str, late: str | None = None, at: str = "ts") -> DataFrame:
-    """One row of each key. On streams ``late`` bounds the state by event time; which of equal keys stays follows arrival."""
+def first_writes(events: DataFrame, key: str, order: str = "event_id", late: str | None = None, at: str = "ts") -> DataFrame:
+    """The row of each key that was written first, by ``order``. On streams, where arrival is the order, ``late`` bounds the state by event time."""
     if late:
         return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
-    return events.dropDuplicates([key])
+    rest = [c for c in events.columns if c not in (key, order)]
+    first = events.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("_first"))
+    return first.select(key, "_first.*").select(*events.columns)
 
 
 def poll(events: DataFrame, at: str, order: str, since: tuple | None, page: int = 100) -> DataFrame:
