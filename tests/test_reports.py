@@ -48,3 +48,15 @@ def test_chain_breaks_where_a_link_was_altered(spark):
 def test_file_names(spark):
     row = spark.range(1).select(rp.file_name(F.lit(None).cast("string"), F.lit("A b-C"), F.lit("VIEW")).alias("f")).first()
     assert row.f == "default__a_b_c.view.sql"
+
+
+def test_page_rank_converges_and_deals_out_what_dangles(spark):
+    pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("c", "e"), ("d", "c")]
+    nodes, links = sorted({n for p in pairs for n in p}), set(pairs)
+    score = dict.fromkeys(nodes, 1.0)
+    for _ in range(300):
+        lost = sum(score[n] for n in nodes if not any(a == n for a, _ in links)) / len(nodes)
+        score = {n: 0.15 + 0.85 * (lost + sum(score[a] / sum(x == a for x, _ in links) for a, b in links if b == n)) for n in nodes}
+    got = {r.id: r.score for r in rp.page_rank(spark.createDataFrame(pairs, "src string, dst string"), tolerance=1e-4).collect()}
+    assert set(got) == set(nodes) and all(abs(got[n] - score[n]) < 1e-2 for n in nodes) and abs(sum(got.values()) - len(nodes)) < 1e-6
+    assert rp.page_rank(spark.createDataFrame([], "src string, dst string")).count() == 0
