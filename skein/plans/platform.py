@@ -78,7 +78,7 @@ _BATCH = "CASE WHEN event_id < 500 THEN '120:' || event_id // 120 ELSE '7:' || e
 ORACLES = {
     "b10_assistant_guard": "WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '') || CASE WHEN turn % 2 = 0 THEN ' limit 5' ELSE '' END) AS q FROM conversations) SELECT conv_id, turn, NOT regexp_matches(q, '(insert|update|delete|drop|create|truncate|alter|merge) ') AND contains(q, 'limit') AS ok FROM t",
     "b13_valid_batches": f"WITH t AS (SELECT event_id, event_type, user_id, {_BATCH} AS batch, coalesce({_KSQL} <> 13, false) AS well FROM events), g AS (SELECT batch FROM t GROUP BY batch HAVING count(*) <= 100 AND bool_and(well)) SELECT event_id, batch FROM t WHERE batch IN (SELECT batch FROM g) AND (event_type = 'click' OR user_id % 5 > 0)",
-    "b14_stamped": "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN epoch_ms(ts) ELSE 77 END::BIGINT AS at FROM events",
+    "b14_stamped": "SELECT event_id, CASE WHEN event_id % 4 > 0 THEN epoch_us(ts) // 1000 ELSE 77 END::BIGINT AS at FROM events",
     "r3_replayed": "SELECT event_id, event_type FROM events WHERE event_type = 'view' AND event_id >= 800",
     "r5_counters": "WITH t AS (SELECT count(*) FILTER (event_type = 'view') AS files, count(*) FILTER (event_type = 'click') AS resolutions, greatest(0, sum(CASE WHEN event_type = 'click' THEN -5 ELSE 1 END))::BIGINT AS queue FROM events) SELECT *, resolutions * 100.0::DOUBLE / files AS rate FROM t",
     "r4_level_counts": "SELECT CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n FROM events GROUP BY 1",
