@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.skew import spread_join
 from skein.session import saved
 
 
@@ -13,18 +12,22 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Link every larger neighbour of a node to the least of the node and its neighbours."""
+def large_star(edges: DataFrame) -> DataFrame:
+    """Link every larger neighbour of a node to the least of the node and its neighbours.
+
+    The least neighbours are written before they are joined, so that join stands alone in its stage and Spark may split the
+    rows of a hub over tasks.
+    """
     near = _both(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return spread_join(near.filter("v > u"), least, "u", "m", "n", 2 * n_edges, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = saved(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def small_star(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Link every smaller neighbour of a node, and the node, to the least of them."""
+def small_star(edges: DataFrame) -> DataFrame:
+    """Link every smaller neighbour of a node, and the node, to the least of them. After a large star a node has few of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = spread_join(down, least, "u", "m", "n", n_edges, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -32,15 +35,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """Component (least node) of every node in links (a, b): node, component.
 
     Each round is written to the shared folder and the one before deleted, so nothing is recomputed and lost executors cost
-    one round at most. Links gather at hubs, whose rows are spread. Every round but the last lowers a label, so rounds end.
+    one round at most. Every round but the last lowers a label, so rounds end.
     """
     edges = saved(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
-    n_edges, mark = edges.count(), None
+    mark = None
     while True:
-        edges = saved(small_star(large_star(edges, n_edges), n_edges), "edges", instead_of=edges)
+        edges = saved(small_star(large_star(edges)), "edges", instead_of=edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark, n_edges = now, now[0]
+        mark = now
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.skew import HOT
 from skein.llm.textkernels import BASE_A, BASE_B, Words, mix, rolling, sliding_min, slices
 from skein.session import saved
 
 LAST = 2**63 - 1  # stands for a null doc_id
+HOT = 1024  # a window is hot if it is more than one of so many, so there are fewer than HOT hot windows
 
 
 def _windows(words: Words, width: int, gram: int):
