@@ -28,15 +28,14 @@ def hits(edges: DataFrame, rounds: int) -> DataFrame:
     return nodes.join(named(hub, "hub"), "id", "left").join(named(authority, "authority"), "id", "left").select("id", zero("hub"), zero("authority"))
 
 
-def spread_least(links: DataFrame, labels: DataFrame, most: int = 1000) -> DataFrame:
-    """Least label that reaches each node along (src, dst), by rounds until nothing changes: id, label."""
-    for _ in range(most):
-        met = links.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("met"))
-        fresh = saved(labels.join(met, "id", "left").select("id", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")), "labels")
-        labels = fresh.select("id", "label")
+def spread_least(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Least label that reaches each node along (src, dst), by rounds until nothing changes: id, label. Labels only fall, so rounds end."""
+    while True:
+        met = links.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("met"))
+        fresh = saved(labels.join(met, "id", "left").select("id", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")), "labels", instead_of=labels)
         if fresh.filter("moved").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still move after {most} rounds")
+            return fresh.select("id", "label")
+        labels = fresh
 
 
 def weak_components(edges: DataFrame) -> DataFrame:

@@ -98,11 +98,23 @@ def ordinals(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
     return seen.select(key, name, F.row_number().over(Window.partitionBy(key).orderBy("at", name)).alias("ordinal"))
 
 
-def clipped_depth(df: DataFrame, key: str, order: str, step: Column) -> DataFrame:
-    """Adds ``depth``: the running sum of steps that never falls below zero."""
-    so_far = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumn("_sum", F.sum(step).over(so_far))
-    return summed.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(so_far))).drop("_sum")
+def clipped_depth(df: DataFrame, key: str, order: str, step: Column, cell: int = 100_000) -> DataFrame:
+    """Adds ``depth``: the running sum of steps that never falls below zero, by a numeric order.
+
+    The order is cut into cells, so no task orders a whole key: sums and least sums of a key's earlier cells, one row each,
+    carry over to the rows of a cell.
+    """
+    rows = df.withColumn("_step", step).withColumn("_cell", F.floor(F.col(order) / cell))
+    so_far = Window.partitionBy(key, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("_sum", F.sum("_step").over(so_far))
+    cells = summed.groupBy(key, "_cell").agg(F.sum("_step").alias("_total"), F.min("_sum").alias("_low"))
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    cells = cells.withColumn("_least", F.min(F.col("_before") + F.col("_low")).over(earlier))
+    met = summed.join(cells.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), "_before", "_least"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_at")))
+    total = F.col("_before") + F.col("_sum")
+    least = F.least(F.lit(0), F.col("_least"), F.min(total).over(so_far))
+    return met.withColumn("depth", total - least).drop("_step", "_cell", "_sum", "_key", "_at", "_before", "_least")
 
 
 def rate_limited(df: DataFrame, key: str, order: str, at: str, unit: str, most: int) -> DataFrame:

@@ -47,26 +47,33 @@ def with_database(files: DataFrame, root: str, single: str = "default") -> DataF
     return kept.withColumn("db_name", F.coalesce("_folder", F.lit(single))).drop("_folder", "_any")
 
 
+def _members(path: str, raw: bytes, extensions: tuple[str, ...], most_files: int, most_bytes: int) -> list[tuple]:
+    """(path, member, text, error) of an archive's scripts, or one row that says what is wrong with it."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(raw)) as archive:
+            members = [m for m in archive.infolist() if not m.is_dir() and m.filename.rsplit(".", 1)[-1].lower() in extensions]
+            if not members:
+                return [(path, None, None, "holds no script")]
+            if len(members) > most_files or sum(m.file_size for m in members) > most_bytes:
+                return [(path, None, None, f"exceeds {most_files} files or {most_bytes} bytes")]
+            return [(path, m.filename, decoded(archive.read(m)), None) for m in members]
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError) as error:
+        return [(path, None, None, f"cannot be read: {error}")]
+
+
 def _unzip(extensions: tuple[str, ...], most_files: int, most_bytes: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, raw in zip(f["path"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(raw)) as archive:
-                    members = [m for m in archive.infolist() if not m.is_dir() and m.filename.rsplit(".", 1)[-1].lower() in extensions]
-                    if not members:
-                        raise ValueError(f"{path} holds no script")
-                    if len(members) > most_files or sum(m.file_size for m in members) > most_bytes:
-                        raise ValueError(f"{path} exceeds {most_files} files or {most_bytes} bytes")
-                    for m in members:
-                        yield pd.DataFrame({"path": [path], "member": [m.filename], "text": [decoded(archive.read(m))]})
+                yield pd.DataFrame(_members(path, raw, extensions, most_files, most_bytes), columns=["path", "member", "text", "error"], dtype=object)
 
     return run
 
 
 def unzip(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Scripts of the zip files below a folder: path, member, text. An archive without scripts or above the limits is an error."""
+    """Scripts of the zip files below a folder: path, member, text, error. An archive that is broken, without scripts or above the limits is one row with its error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
-    return files.select("path", "content").mapInPandas(_unzip(extensions, most_files, most_bytes), "path string, member string, text string")
+    return files.select("path", "content").mapInPandas(_unzip(extensions, most_files, most_bytes), "path string, member string, text string, error string")
 
 
 def new_sources(incoming: DataFrame, archived: DataFrame, key: str, text: str = "text") -> DataFrame:

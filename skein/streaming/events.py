@@ -24,10 +24,26 @@ def event_filter(events: DataFrame, least_level: str | None = None, **equal) ->
     return events.filter(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
-def fence_decisions(events: DataFrame, key: str, token: str, order: str) -> DataFrame:
+CELL = 100_000  # of the order, so that no task orders a whole key
+
+
+def prior_max(df: DataFrame, key: str, value: str, order: str, cell: int = CELL) -> DataFrame:
+    """Adds ``_prior``: the largest value of the key before a row, null where there is none.
+
+    The order (a number) is cut into cells: the rows of one key and cell are ordered, and what came before is the maximum of
+    the key's earlier cells, of which there is one row each. A key with a third of all rows is spread over its cells.
+    """
+    rows = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    cells = rows.groupBy(key, "_cell").agg(F.max(value).alias("_most"))
+    earlier = F.max("_most").over(Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.join(cells.select(F.col(key).alias("_key"), F.col("_cell").alias("_at"), earlier.alias("_earlier")), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_at")))
+    own = F.max(value).over(Window.partitionBy(key, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return met.withColumn("_prior", F.greatest("_earlier", own)).drop("_cell", "_key", "_at", "_earlier")
+
+
+def fence_decisions(events: DataFrame, key: str, token: str, order: str, cell: int = CELL) -> DataFrame:
     """Adds ``accepted``: whether a token is at least the largest one of its key so far."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("accepted", F.col(token) >= F.coalesce(F.max(token).over(before), F.col(token)))
+    return prior_max(events, key, token, order, cell).withColumn("accepted", F.col(token) >= F.coalesce("_prior", F.col(token))).drop("_prior")
 
 
 def top_and_rest(counts: DataFrame, key: str, value: str, top: int) -> DataFrame:

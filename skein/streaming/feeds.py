@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.streaming.events import CELL, prior_max
+
 RING = 10_000
 WINDOW_EVENTS = 5_000
 
@@ -32,12 +34,11 @@ def hot_keys(events: DataFrame, key: Column, most: int = 10) -> DataFrame:
     return events.filter(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(most)
 
 
-def fence_gate(events: DataFrame, key: str, token: str, order: str) -> DataFrame:
+def fence_gate(events: DataFrame, key: str, token: str, order: str, cell: int = CELL) -> DataFrame:
     """Adds ``decision``: LEGACY (no token or 0), APPLY (above all seen), REPLAY (equal to the last one) or STALE (below)."""
-    before = F.max(token).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    seen = F.coalesce(before, F.lit(0))
+    seen = F.coalesce("_prior", F.lit(0))
     decision = F.when(F.coalesce(F.col(token), F.lit(0)) == 0, "LEGACY").when(F.col(token) > seen, "APPLY").when(F.col(token) == seen, "REPLAY").otherwise("STALE")
-    return events.withColumn("decision", decision)
+    return prior_max(events, key, token, order, cell).withColumn("decision", decision).drop("_prior")
 
 
 def first_writes(events: DataFrame, key: str, order: str = "event_id", late: str | None = None, at: str = "ts") -> DataFrame:

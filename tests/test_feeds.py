@@ -79,8 +79,10 @@ def test_unzip_limits(spark, folder):
         z.writestr("p/q.sql", "select 2")
         z.writestr("readme.md", "no")
     assert [(r.member, r.text) for r in scripts.unzip(spark, str(folder)).collect()] == [("p/q.sql", "select 2")]
-    with pytest.raises(Exception, match="exceeds"):
-        scripts.unzip(spark, str(folder), most_bytes=3).collect()
+    assert [(r.member, r.error) for r in scripts.unzip(spark, str(folder), most_bytes=3).collect()] == [(None, "exceeds 2000 files or 3 bytes")]
+    (folder / "broken.zip").write_bytes(b"no archive")
+    errors = {r.path.rsplit("/", 1)[-1]: r.error for r in scripts.unzip(spark, str(folder)).collect()}
+    assert errors["x.zip"] is None and errors["broken.zip"].startswith("cannot be read")
 
 
 def test_archive_drops_blank_and_known_texts(spark):
@@ -103,3 +105,33 @@ def test_identifiers(spark):
     row = spark.range(1).select(tx.statement_line(F.lit("a:b:c:SELECT:x")).alias("bad"), tx.short_name(F.lit("a:b:c:d:5")).alias("short"), tx.atom_position(F.lit("x~3:9")).alias("at"), tx.atom_position(F.lit("x")).alias("none"), tx.text_list(F.lit('["a","b"]')).alias("list"), tx.text_list(F.lit("nonsense")).alias("empty"), tx.file_title(F.lit("c:\\d\\e.sql")).alias("title")).first()
     assert row.bad is None and row.short == "c:d:5" and tuple(row["at"]) == (3, 9) and tuple(row["none"]) == (None, None)
     assert row["list"] == ["a", "b"] and row["empty"] == [] and row.title == "e.sql"
+
+
+def test_running_states_are_the_same_in_cells_as_in_one(spark):
+    import random
+
+    from skein.operators import reports as rp
+
+    rng = random.Random(8)
+    rows = spark.createDataFrame([(i, rng.choice("ab"), rng.choice([None, *range(12)]), rng.choice([-1, 1])) for i in range(300)], "n int, k string, t long, s int")
+    of = lambda cell: [tuple(r) for r in rp.clipped_depth(feeds.fence_gate(ev.fence_decisions(rows, "k", "t", "n", cell), "k", "t", "n", cell), "k", "n", F.col("s"), cell).orderBy("n").collect()]
+    assert of(7) == of(10**9)
+
+
+def test_catalogs(spark):
+    from skein.sources import catalogs as ct
+
+    scripts_ = spark.createDataFrame([("hr", "p", "PACKAGE", at(1)), ("hr", "v", "VIEW", at(9)), ("fin", "f", "FUNCTION", at(9)), ("hr", "q", "package", None)], "owner string, name string, kind string, changed timestamp")
+    pick = lambda **c: sorted(r.name for r in ct.selected(scripts_, ct.Harvest(**c)).collect())
+    assert pick() == ["f", "p", "q", "v"] and pick(schema="HR", kinds=("package",)) == ["p", "q"] and pick(since=at(5)) == ["f", "q", "v"] and pick(limit=1) == ["f"]
+    spaces = spark.createDataFrame([(1, "public"), (2, "pg_catalog")], "oid long, nspname string")
+    procs = spark.createDataFrame([(10, "f", 1, "f", "body f"), (11, "p", 1, "p", "body p"), (12, "x", 2, "f", "no")], "oid long, proname string, pronamespace long, prokind string, src string")
+    classes = spark.createDataFrame([(20, "v", 1, "v", "select 1"), (21, "t", 1, "r", None)], "oid long, relname string, relnamespace long, relkind string, src string")
+    triggers = spark.createDataFrame([(21, "trg", "create trigger", False), (21, "inner", "no", True)], "tgrelid long, tgname string, src string, tgisinternal boolean")
+    assert {(r.owner, r.name, r.kind) for r in ct.postgres_objects(spaces, procs, classes, triggers).collect()} == {("public", "f", "FUNCTION"), ("public", "p", "PROCEDURE"), ("public", "v", "VIEW"), ("public", "trg", "TRIGGER")}
+    folder = tempfile.mkdtemp(prefix="spark-tsv-")
+    Path(folder, "f.tsv").write_text("f1\tCREATE FUNCTION f1\\tAS x\nbad\n")
+    assert sorted((r.name, r.text) for r in ct.tsv_functions(spark, folder).collect()) == [("bad", None), ("f1", "CREATE FUNCTION f1\tAS x")]
+    assert ct.jdbc_options("jdbc:postgresql://db.example.com/x", "select 1", 500)["fetchsize"] == "500"
+    with pytest.raises(ValueError):
+        ct.jdbc_options("jdbc:postgresql://127.0.0.1/x", "select 1")
