@@ -56,9 +56,3 @@ def saved(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Data
         files, old = _filesystem(spark, instead_of._skein_path)
         files.delete(old, True)
     return out
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small iterative frame (never a local one)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
