@@ -21,6 +21,7 @@ UNION ALL SELECT 'table:' || c_custkey, 'Table', c_name, 'schema:' || c_nationke
 UNION ALL SELECT 'routine:' || s_suppkey, 'Routine', s_name, 'schema:' || s_nationkey, NULL FROM {supplier}
 UNION ALL SELECT 'stmt:' || o_orderkey, 'Statement', o_orderpriority, NULL, CASE WHEN o_orderkey % 3 <> 0 THEN 'stmt:' || (o_orderkey - 1) END FROM {orders}
 UNION ALL SELECT 'col:' || p_partkey, 'Column', p_name, 'table:' || (p_partkey % 100), NULL FROM {part}
+UNION ALL SELECT 'col:x' || c_custkey, 'Column', 'spare', 'table:' || c_custkey, NULL FROM {customer} WHERE c_custkey % 10 = 0
 UNION ALL SELECT DISTINCT 'out:' || l_orderkey || '.' || l_linenumber, 'OutputColumn', 'x.C' || l_linenumber, NULL, NULL FROM {lineitem}
 UNION ALL SELECT DISTINCT 'aff:' || l_orderkey || '.' || l_linenumber, 'AffectedColumn', 't.c' || l_linenumber, NULL, NULL FROM {lineitem} WHERE l_linenumber <= 2 AND l_orderkey % 3 = 0
 """
@@ -34,11 +35,12 @@ UNION ALL SELECT DISTINCT 'stmt:' || l_orderkey, 'table:' || (l_partkey % 100),
 UNION ALL SELECT 'stmt:' || o_orderkey, 'table:' || o_custkey, 'WRITES_TO' FROM {orders}
 UNION ALL SELECT 'stmt:' || o_orderkey, 'stmt:' || (o_orderkey - 1), 'CHILD_OF' FROM {orders} WHERE o_orderkey % 3 <> 0
 UNION ALL SELECT 'table:' || (p_partkey % 100), 'col:' || p_partkey, 'HAS_COLUMN' FROM {part}
+UNION ALL SELECT 'table:' || c_custkey, 'col:x' || c_custkey, 'HAS_COLUMN' FROM {customer} WHERE c_custkey % 10 = 0
 UNION ALL SELECT DISTINCT 'stmt:' || l_orderkey, 'out:' || l_orderkey || '.' || l_linenumber, 'HAS_OUTPUT_COL' FROM {lineitem}
 UNION ALL SELECT DISTINCT 'stmt:' || l_orderkey, 'aff:' || l_orderkey || '.' || l_linenumber, 'HAS_AFFECTED_COL' FROM {lineitem} WHERE l_linenumber <= 2 AND l_orderkey % 3 = 0
 UNION ALL SELECT DISTINCT 'col:' || l_partkey, 'out:' || l_orderkey || '.' || l_linenumber, 'DATA_FLOW' FROM {lineitem}
 UNION ALL SELECT DISTINCT 'out:' || l_orderkey || '.' || l_linenumber, 'aff:' || l_orderkey || '.' || l_linenumber, 'DATA_FLOW' FROM {lineitem} WHERE l_linenumber <= 2 AND l_orderkey % 3 = 0
-UNION ALL SELECT DISTINCT 'col:' || l_partkey, 'stmt:' || l_orderkey, 'FILTER_FLOW' FROM {lineitem} WHERE l_returnflag = 'R'
+UNION ALL SELECT DISTINCT 'col:' || l_partkey, 'stmt:' || l_orderkey, 'FILTER_FLOW' FROM {lineitem} WHERE l_returnflag = 'R' AND l_tax < 0.05
 UNION ALL SELECT 'routine:' || s_suppkey, 'routine:' || (s_suppkey % 7), 'CALLS' FROM {supplier}
 """
 # Atoms: one per order line, with the statement it stands in and what it was resolved to.
