@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from skein.session import saved
 
-MOST_EXAMPLES = 4_000
+MOST_EXAMPLES = 3_400
 BLOCK, HEAD = 64, 0.15  # examples of a block; share of the examples that makes a head word
 LEAST_CALIBRATION = 50  # examples; with fewer, votes are taken as they are
 LETTERS = re.compile(r"[^\W\d_]+")
