@@ -1,9 +1,12 @@
-"""Registered queries of the ten corpus operators, and their SQL oracles."""
+"""Registered queries of the corpus operators, and their SQL oracles."""
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from skein.llm import oracles
 from skein.llm.ann import nearest
+from skein.llm.bpe import round_trip
 from skein.llm.fingerprint import neighbour_likeness
 from skein.llm.mixing import mix_documents
 from skein.llm.neardup import near_duplicates
@@ -58,7 +61,11 @@ def op10_url_filter(spark, sf_dir):
     return judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_lz_fingerprint, op3_best_fit_packing, op4_substring_dedup, op5_toxicity, op6_nearest_neighbours, op7_mix_sources, op8_minhash_neardup, op9_secrets, op10_url_filter)}
+def op11_bpe(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lz_fingerprint, op3_best_fit_packing, op4_substring_dedup, op5_toxicity, op6_nearest_neighbours, op7_mix_sources, op8_minhash_neardup, op9_secrets, op10_url_filter, op11_bpe)}
 ORACLES = {
     "op1_pii": oracles.OP1,
     "op4_substring_dedup": oracles.OP4,
