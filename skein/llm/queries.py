@@ -7,6 +7,7 @@ import public_tokenizers
 from skein.llm import oracles
 from skein.llm.ann import nearest
 from skein.llm.bpe import round_trip
+from skein.llm.divergence import divergence
 from skein.llm.fingerprint import neighbour_likeness
 from skein.llm.mixing import mix_documents
 from skein.llm.neardup import near_duplicates
@@ -65,7 +66,11 @@ def op11_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_lz_fingerprint, op3_best_fit_packing, op4_substring_dedup, op5_toxicity, op6_nearest_neighbours, op7_mix_sources, op8_minhash_neardup, op9_secrets, op10_url_filter, op11_bpe)}
+def op12_source_divergence(spark, sf_dir):
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lz_fingerprint, op3_best_fit_packing, op4_substring_dedup, op5_toxicity, op6_nearest_neighbours, op7_mix_sources, op8_minhash_neardup, op9_secrets, op10_url_filter, op11_bpe, op12_source_divergence)}
 ORACLES = {
     "op1_pii": oracles.OP1,
     "op4_substring_dedup": oracles.OP4,
@@ -74,4 +79,5 @@ ORACLES = {
     "op8_minhash_neardup": oracles.OP8,
     "op9_secrets": oracles.op9(RULES_9, BASE_9),
     "op10_url_filter": oracles.op10(RULES),
+    "op12_source_divergence": oracles.OP12,
 }
