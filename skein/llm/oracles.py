@@ -164,3 +164,39 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
 SELECT * FROM o WHERE part = 'pair' OR rank <= 50
 """
+
+OP13 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+named AS (SELECT conv_id, turn, coalesce('=' || conv_id, '') AS g, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+hit AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM named, tab),
+damaged AS (
+  SELECT g, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE kind <> 0),
+lined AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+r AS (
+  SELECT *, left(role, 1) AS initial, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS before FROM lined),
+n AS (SELECT g, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY g),
+gap(s, t, c, a, m) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (3, 2, 3, 'I', chr(10) || 'user:'),
+        (2, 3, 3, 'I', chr(10) || 'assistant:'), (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+move(s, t, a, c, initial, role) AS (VALUES (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL),
+        (0, 2, 'R', 3, NULL, 'user'), (1, 2, 'R', 3, NULL, 'user'), (2, 3, 'R', 3, NULL, 'assistant'), (3, 2, 'R', 3, NULL, 'user'),
+        (0, 0, 'D', 4, NULL, NULL), (1, 1, 'D', 4, NULL, NULL), (2, 2, 'D', 4, NULL, NULL), (3, 3, 'D', 4, NULL, NULL)),
+step AS (
+    SELECT g, 0::BIGINT AS i, 0 AS s, {'c': 0::BIGINT, 'a': '', 'm': ''} AS way FROM n
+  UNION ALL
+    SELECT r.g, r.i, move.t, min({'c': way.c + gap.c + move.c + CASE WHEN fault = 'truncated' AND move.a <> 'D' THEN 3 ELSE 0 END, 'a': way.a || gap.a || move.a,
+        'm': way.m || gap.m || CASE move.a WHEN 'D' THEN '' ELSE chr(10) || coalesce(move.role, r.role) || ':' || text END})
+    FROM step JOIN r ON r.g = step.g AND r.i = step.i + 1 JOIN gap ON gap.s = step.s JOIN move ON move.s = gap.t
+    WHERE (move.a = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (move.a <> 'K' OR move.initial = r.initial)
+    GROUP BY r.g, r.i, move.t),
+done AS (SELECT step.g, min({'c': way.c + gap.c, 'a': way.a || gap.a, 'm': way.m || gap.m}) AS way FROM step JOIN n ON n.g = step.g AND n.n = step.i JOIN gap ON gap.s = step.s WHERE gap.t IN (0, 3) GROUP BY step.g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(way.c, 0)::BIGINT AS cost, coalesce(way.a, '') AS audit, sha256(coalesce(substr(way.m, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, g FROM named) LEFT JOIN n USING (g) LEFT JOIN done USING (g)
+"""

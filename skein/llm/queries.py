@@ -13,6 +13,7 @@ from skein.llm.mixing import mix_documents
 from skein.llm.neardup import near_duplicates
 from skein.llm.packing import pack_documents
 from skein.llm.pii import find_private
+from skein.llm.repair import repair
 from skein.llm.secrets import BASE as BASE_9
 from skein.llm.secrets import RULES as RULES_9
 from skein.llm.secrets import find_secrets
@@ -70,7 +71,11 @@ def op12_source_divergence(spark, sf_dir):
     return divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_lz_fingerprint, op3_best_fit_packing, op4_substring_dedup, op5_toxicity, op6_nearest_neighbours, op7_mix_sources, op8_minhash_neardup, op9_secrets, op10_url_filter, op11_bpe, op12_source_divergence)}
+def op13_conversation_repair(spark, sf_dir):
+    return repair(table(spark, sf_dir, "conversations"), damaged=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_lz_fingerprint, op3_best_fit_packing, op4_substring_dedup, op5_toxicity, op6_nearest_neighbours, op7_mix_sources, op8_minhash_neardup, op9_secrets, op10_url_filter, op11_bpe, op12_source_divergence, op13_conversation_repair)}
 ORACLES = {
     "op1_pii": oracles.OP1,
     "op4_substring_dedup": oracles.OP4,
@@ -80,4 +85,5 @@ ORACLES = {
     "op9_secrets": oracles.op9(RULES_9, BASE_9),
     "op10_url_filter": oracles.op10(RULES),
     "op12_source_divergence": oracles.OP12,
+    "op13_conversation_repair": oracles.OP13,
 }
