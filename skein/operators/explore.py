@@ -44,7 +44,7 @@ def hoist(edges: DataFrame, parents: DataFrame, max_depth: int = 30) -> DataFram
 
 def descendants(parents: DataFrame, root: str, max_depth: int = 30, limit: int = 500) -> DataFrame:
     """Descendants of a node without itself, nearest first: id, depth."""
-    links = parents.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    links = saved(parents.select(F.col("parent").alias("src"), F.col("child").alias("dst")), "links")
     start = links.filter(F.col("src") == root).select(F.col("src").alias("id")).distinct()
     return reach(links, start, max_depth).select("id", "depth").orderBy("depth", "id").limit(limit)
 
@@ -58,6 +58,7 @@ def expand_deep(vertices: DataFrame, edges: DataFrame, node: str, depth: int = 3
     allowed = vertices.filter(F.col("vtype").isin("Table", "Statement") & is_root(F.col("vtype"), parent)).select("id")
     used = edges.filter(F.col("etype").isin("READS_FROM", "WRITES_TO"))
     used = used.join(allowed.withColumnRenamed("id", "src"), "src", "left_semi").join(allowed.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    used = saved(used, "used")
     both = used.select("src", "dst").unionByName(used.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     start = allowed.filter(F.col("id") == node)
     steps = min(max(depth, 1), 10)

@@ -13,11 +13,11 @@ FLOW = ("DATA_FLOW", "FILTER_FLOW", "JOIN_FLOW", "ATOM_REF_COLUMN")
 def reach(edges: DataFrame, start: DataFrame, max_hops: int, reverse: bool = False) -> DataFrame:
     """Least depth (id, depth) of every node within 1..max_hops steps of the ids in ``start`` (id).
 
-    The steps are written once, so no hop reads the source tables again; each hop meets its frontier with them, drops nodes
-    seen before and is written. The start itself is never returned.
+    Each hop meets its frontier with the edges, drops nodes seen before and is written. ``edges`` are read once a hop, so they
+    should be a stored graph's or another saved frame. The start itself is never returned.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = saved(edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near is not null and far is not null"), "steps")
+    steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near is not null and far is not null")
     seen = start.select("id", F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, max_hops + 1):
@@ -39,9 +39,8 @@ def impact(vertices: DataFrame, edges: DataFrame, node: str, downstream: bool =
     """
     start = vertices.filter(F.col("id") == node).select("id")
     found = reach(edges.filter(F.col("etype").isin(*FLOW)), start, max_hops, reverse=not downstream)
-    found = vertices.filter(F.col("vtype").isin(*types)).join(found, "id").select("id", "vtype", "label", "depth")
-    total = found.select(F.count(F.lit(1)).alias("n"))  # one row
-    return found.orderBy("depth", "id").limit(limit).join(F.broadcast(total)).select("id", "vtype", "label", "depth", (F.col("n") >= limit).alias("has_more"))
+    first = saved(vertices.filter(F.col("vtype").isin(*types)).join(found, "id").select("id", "vtype", "label", "depth").orderBy("depth", "id").limit(limit), "impact")
+    return first.withColumn("has_more", F.lit(first.count() >= limit))
 
 
 def lineage(vertices: DataFrame, edges: DataFrame, node: str, direction: str = "both", max_hops: int = 10) -> DataFrame:

@@ -24,8 +24,11 @@ USES = ("READS_FROM", "WRITES_TO")
 
 @dataclass(frozen=True)
 class Graph:
+    """A graph and, where they were written with it, the roots (sub, root) of its nested statements."""
+
     vertices: DataFrame
     edges: DataFrame
+    tops: DataFrame | None = None
 
     def of(self, *etypes: str) -> DataFrame:
         """Edges of types."""
@@ -53,7 +56,12 @@ def union(branches: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def root_of(graph: Graph, max_depth: int = 30) -> DataFrame:
+def root_of(graph: Graph) -> DataFrame:
+    """The root above each statement that has one: sub, root. Read where the graph carries it."""
+    return graph.tops if graph.tops is not None else climbed(graph)
+
+
+def climbed(graph: Graph, max_depth: int = 30) -> DataFrame:
     """The root above each statement that has one, by CHILD_OF: sub, root. A chain in a circle or longer than max_depth has none.
 
     Each round doubles what a statement has climbed, so chains of 30 take five.
@@ -126,7 +134,7 @@ def downstream(graph: Graph, node: str, limit: int = 500) -> DataFrame:
 
 def _schema_branches(graph: Graph, schemas: DataFrame, limits: dict[str, int]) -> list[DataFrame]:
     """The ten branches of a schema view; ``schemas`` has the column schema."""
-    roots, top = graph.roots("stmt"), saved(root_of(graph), "tops")
+    roots, top = graph.roots("stmt"), root_of(graph)
     tables = saved(schemas.join(graph.link("CONTAINS_TABLE", "schema", "tbl"), "schema"), "tables")
     held = schemas.join(graph.link("CONTAINS_ROUTINE", "schema", "child"), "schema")
     direct = held.join(graph.typed("child", "Routine"), "child", "left_semi").withColumnRenamed("child", "routine")
@@ -209,7 +217,7 @@ def explore_node(graph: Graph, node: str) -> DataFrame:
     outputs, mine = graph.link("HAS_OUTPUT_COL", "stmt", "out"), F.lit(node)
     siblings = lambda etype: edges_of(graph.link(etype, "up", "down").join(graph.link(etype, "up", "own").filter(F.col("own") == node).select("up"), "up", "left_semi"), "up", "down", etype, 100)
     hoisted = lambda etype: edges_of(graph.link(etype, "sub", "tbl").filter(F.col("tbl") == mine).join(top, "sub"), "root", "tbl", etype, 200)
-    top = saved(root_of(graph), "tops")
+    top = root_of(graph)
     return union([
         near("src", 300), near("dst", 300),
         edges_of(graph.link("CONTAINS_STMT", "own", "stmt").filter(F.col("own") == node).join(outputs, "stmt"), "stmt", "out", "HAS_OUTPUT_COL", 200),

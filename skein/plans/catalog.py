@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import graph
+from skein.operators.lineage import Graph
+from skein.plans.stored import stored_graph
 from skein.session import table
 from skein.streaming import events as ev
 
 
-def bound_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(name: str, key: str, label: str, vtype: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("id"), F.lit(vtype).alias("vtype"), F.col(label).cast("string").alias("label"))
 
@@ -25,7 +27,7 @@ def bound_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (one(*p) for p in parts))
 
 
-def bound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     end = lambda name, key: F.concat(F.lit(f"{name}:"), F.col(key).cast("string"))
     edge = lambda df, src, dst, etype: df.select(end(*src).alias("src"), end(*dst).alias("dst"), F.lit(etype).alias("etype"))
@@ -40,6 +42,20 @@ def bound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def bound_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph, from its store."""
+    tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    return stored_graph(spark, sf_dir, "links", tables, lambda: (_vertices(spark, sf_dir), _edges(spark, sf_dir)))
+
+
+def bound_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound_graph(spark, sf_dir).vertices
+
+
+def bound_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound_graph(spark, sf_dir).edges
+
+
 def _graph(f):
     return lambda spark, sf_dir: f(bound_vertices(spark, sf_dir), bound_edges(spark, sf_dir))
 

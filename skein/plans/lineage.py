@@ -69,7 +69,7 @@ QUERIES = {
     "p15_statement_tree": _graph(lambda g: ln.statement_tree(g, "stmt:0")),
     "p41_flattened": _graph(lambda g: ln.flattened(g, "stmt:0")),
     "s5_described": _graph(lambda g: ln.described(g, ln.routine_scope(g, "routine:4"))),
-    "p4_roots": _graph(ln.root_of),
+    "p4_roots": _graph(ln.climbed),
     "p39_column_flow": _graph(lambda g: ln.column_flow(g, g.roots("root").select(F.col("root").alias("sub"), "root"))),
     "g5_routine_uses": _graph(lambda g: ln.routine_uses(g, g.typed("routine", "Routine"))),
     "b15_enriched": _graph(_enriched),

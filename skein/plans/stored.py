@@ -1,0 +1,37 @@
+"""Graphs that are derived from the driver's tables once a session, written to a graph store and read from it by every query."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skein.operators.lineage import Graph, climbed
+from skein.session import saved, scratch
+from skein.sources.store import GraphStore
+
+BUCKETS = 4
+_GRAPHS: dict[tuple, Graph] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> tuple:
+    """Size and time of the tables' files: a changed table is another graph."""
+    out = []
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
+def stored_graph(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], tuple[DataFrame, DataFrame]], rooted: bool = False) -> Graph:
+    """The graph that ``build`` derives, from its store; ``rooted`` graphs carry the root of each nested statement."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, _state(spark, sf_dir, tables))
+    if key not in _GRAPHS:
+        store = GraphStore(spark, f"{scratch(spark)}/graph-{name}-{uuid.uuid4().hex}", BUCKETS)
+        store.commit(*build())
+        manifest = store.manifest()
+        graph = Graph(store.vertices(manifest=manifest), store.edges(manifest=manifest))
+        _GRAPHS[key] = Graph(graph.vertices, graph.edges, saved(climbed(graph), "roots")) if rooted else graph
+    return _GRAPHS[key]

@@ -37,6 +37,21 @@ def _filesystem(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def scratch(spark: SparkSession) -> str:
+    """This session's folder in the shared one; it goes when the session ends."""
+    home = f"{shared_dir(spark).rstrip('/')}/skein-{spark.sparkContext.applicationId}"
+    files, root = _filesystem(spark, home)
+    files.deleteOnExit(root)
+    return home
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a saved frame that nothing needs any more."""
+    if path := getattr(df, "_skein_path", None):
+        files, old = _filesystem(df.sparkSession, path)
+        files.delete(old, True)
+
+
 def saved(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -45,14 +60,10 @@ def saved(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Data
     this one is written, such as the last round of a loop: its files are deleted. The rest goes when the session ends.
     """
     spark = df.sparkSession
-    home = f"{shared_dir(spark).rstrip('/')}/skein-{spark.sparkContext.applicationId}"
-    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, root = _filesystem(spark, home)
-    files.deleteOnExit(root)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
-    if instead_of is not None and getattr(instead_of, "_skein_path", None):
-        files, old = _filesystem(spark, instead_of._skein_path)
-        files.delete(old, True)
+    if instead_of is not None:
+        dropped(instead_of)
     return out
