@@ -2,7 +2,9 @@
 
 A text is parsed into phrases as LZ78 does: each phrase is the shortest run, from where the last one ended, that is not
 yet in the dictionary (the last phrase of a text may be one that is). The set of phrases is hashed; one universal hash
-deals it into ``BINS`` bins and keeps the least 12-bit value of each (one-permutation minimum hashing). Two fingerprints
+deals it into ``BINS`` bins and keeps the least 40-bit value of each (one-permutation minimum hashing) as a floating number
+of 12 bits: 5 for its leading zeros, 7 for the digits after the first one (Yu and Weber, 2017). So minima stay apart however
+long a text is: unrelated bins agree about once in 300. Two fingerprints
 are alike in the share of equal bins among the bins that either fills, an estimate of the Jaccard likeness of the phrase
 sets. Equal texts have equal fingerprints; two texts without phrases are alike by 1, one such and another by 0.
 
@@ -33,6 +35,7 @@ from skein.session import saved
 BINS = 128
 BASE_CHAR = 0xC2B2AE3D27D4EB4F
 NONE = 0xFFF  # marks an empty bin; values end below it
+WIDTH, DIGITS = 40, 7  # bits of a hashed value, and of those kept after its first one
 
 
 def phrase_ends(text: str, root: dict, added: list | None = None) -> list[int]:
@@ -55,6 +58,14 @@ def phrase_ends(text: str, root: dict, added: list | None = None) -> list[int]:
     return ends
 
 
+def floating(values: np.ndarray) -> np.ndarray:
+    """Leading zeros (31 at most) and the digits after the first one of values of ``WIDTH`` bits; an order-reversing code."""
+    part, bits = np.frexp(values.astype(np.float64))
+    zeros = np.minimum(WIDTH - bits, 31)
+    digits = ((part * 2 - 1).clip(0) * (1 << DIGITS)).astype(np.int64)
+    return np.minimum(zeros << DIGITS | digits, NONE - 1).astype(np.uint16)
+
+
 def sketch(text: str, ends: list[int]) -> np.ndarray:
     """Bin minima of the phrases of a text, given the ends of the new ones."""
     bins = np.full(BINS, NONE, dtype=np.uint16)
@@ -66,7 +77,10 @@ def sketch(text: str, ends: list[int]) -> np.ndarray:
         to = np.asarray(ends if ends and ends[-1] == len(text) else [*ends, len(text)])
         start = np.r_[0, to[:-1]]
         hashes = mix((total[to] - total[start]) * down[start] + (to - start).astype(np.uint64))
-        np.minimum.at(bins, (hashes % np.uint64(BINS)).astype(np.int64), ((hashes >> np.uint64(32)) % np.uint64(NONE)).astype(np.uint16))
+        least = np.full(BINS, 1 << WIDTH, dtype=np.uint64)
+        np.minimum.at(least, (hashes % np.uint64(BINS)).astype(np.int64), hashes >> np.uint64(64 - WIDTH))
+        filled = least < 1 << WIDTH
+        bins[filled] = floating(least[filled])
     return bins
 
 

@@ -50,8 +50,8 @@ def op10(rules, rounds: int = 60, damping: float = 0.85, threshold: float = 0.5)
     rule = "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
     ruled = "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
     steps = ",\n".join(
-        f"r{k} AS MATERIALIZED (SELECT s.kind, s.host, s.seed, s.degree, {1 - damping!r}::DOUBLE * s.seed + {damping!r}::DOUBLE * (coalesce(g.got, 0) + CASE WHEN s.degree IS NULL THEN s.score ELSE 0 END) AS score "
-        f"FROM r{k - 1} s LEFT JOIN (SELECT st.kind, st.dst AS host, sum(p.score / p.degree) AS got FROM st JOIN r{k - 1} p ON p.kind = st.kind AND p.host = st.src GROUP BY ALL) g ON g.kind = s.kind AND g.host = s.host)"
+        f"r{k} AS MATERIALIZED (SELECT s.kind, s.host, s.seed, s.ends, CASE s.kind WHEN 'trust' THEN {1 - damping!r}::DOUBLE * s.seed + {damping!r}::DOUBLE * (coalesce(g.got, 0) + CASE WHEN s.ends THEN s.score ELSE 0 END) ELSE s.seed + {damping!r}::DOUBLE * coalesce(g.got, 0) END AS score "
+        f"FROM r{k - 1} s LEFT JOIN (SELECT st.kind, st.dst AS host, sum(p.score * st.weight) AS got FROM st JOIN r{k - 1} p ON p.kind = st.kind AND p.host = st.src GROUP BY ALL) g ON g.kind = s.kind AND g.host = s.host)"
         for k in range(1, rounds + 1)
     )
     return rf"""
@@ -60,12 +60,12 @@ h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFG
         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
 j AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM h),
 e AS MATERIALIZED (SELECT DISTINCT host AS src, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]+)', 1)) AS t FROM j) WHERE host <> '' AND host <> translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')),
-st AS MATERIALIZED (SELECT 'trust' AS kind, src, dst FROM e UNION ALL SELECT 'distrust', dst, src FROM e),
+dg AS MATERIALIZED (SELECT src, count(*) AS degree FROM e GROUP BY src),
+st AS MATERIALIZED (SELECT 'trust' AS kind, e.src, e.dst, 1.0::DOUBLE / degree AS weight FROM e JOIN dg USING (src) UNION ALL SELECT 'distrust', e.dst, e.src, 1.0::DOUBLE / degree FROM e JOIN dg USING (src)),
 own AS (SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS allowed, count(*) FILTER (ruled = 'block') / count(*) AS blocked FROM j GROUP BY host),
 seen AS (SELECT host, max(allowed) AS allowed, max(blocked) AS blocked FROM (SELECT * FROM own UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host),
 sd AS (SELECT 'trust' AS kind, host, allowed::DOUBLE AS seed FROM seen UNION ALL SELECT 'distrust', host, blocked::DOUBLE FROM seen),
-dg AS (SELECT kind, src, count(*) AS degree FROM st GROUP BY ALL),
-r0 AS MATERIALIZED (SELECT sd.kind, sd.host, sd.seed, dg.degree, sd.seed AS score FROM sd LEFT JOIN dg ON dg.kind = sd.kind AND dg.src = sd.host),
+r0 AS MATERIALIZED (SELECT sd.kind, sd.host, sd.seed, dg.degree IS NULL AS ends, sd.seed AS score FROM sd LEFT JOIN dg ON dg.src = sd.host),
 {steps},
 ph AS (SELECT host, max(CASE WHEN kind = 'trust' THEN score END) AS trust, max(CASE WHEN kind = 'distrust' THEN score END) AS distrust FROM r{rounds} GROUP BY host)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust - trust >= {threshold!r} THEN 'block' ELSE 'allow' END) AS verdict FROM j JOIN ph USING (host)
@@ -112,12 +112,12 @@ b AS (SELECT doc_id, text, rid, {_ordered("raw", (*_PRIVATE, "term", "name"))} A
 o AS (SELECT rid, text, CASE WHEN len(base) = 0 THEN text ELSE array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c, i: CASE WHEN len(list_filter(base, lambda x: x.start < i AND i <= x.start + length(x.value))) > 0 THEN '0' ELSE c END), '') END AS outside FROM b),
 e AS (SELECT DISTINCT rid, text, CASE s.kind WHEN 'email' THEN 'email:' || lower(s.value) ELSE s.kind || ':' || regexp_replace(s.value, '[^0-9]', '', 'g') END AS entity FROM (SELECT rid, text, unnest(base) AS s FROM b)),
 ne AS (SELECT entity, count(*) AS n_e FROM e GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-t AS (SELECT DISTINCT rid, unnest(regexp_extract_all(lower(outside), '\p{{L}}{{3,}}')) AS term FROM o),
+t AS (SELECT DISTINCT rid, lower(unnest(regexp_extract_all(outside, '[\p{{L}}\p{{M}}]{{3,}}'))) AS term FROM o),
 nt AS (SELECT term, count(*) AS n_t FROM t GROUP BY ALL),
 p AS (SELECT entity, n_e, term, count(*) AS n_et FROM e JOIN ne USING (entity) JOIN t USING (rid) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
-f AS (SELECT term, max(log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e)) AS disclosure FROM p JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e GROUP BY term HAVING disclosure >= 0.95),
-w AS (SELECT rid, u.start AS start, u.value AS value FROM (SELECT rid, unnest({_spans("term", "true", "o")}) AS u FROM (SELECT rid, {_cut("outside", {"o": r"\p{L}{3,}"})} FROM o WHERE rid IN (SELECT rid FROM t JOIN f USING (term))))),
-h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.99 THEN 'term' ELSE 'name' END, 'value': value}}) AS terms FROM w JOIN f ON term = lower(value) GROUP BY rid)
+f AS (SELECT term, max(log2(n::DOUBLE * n_et / (n_e::DOUBLE * n_t)) / log2(n::DOUBLE / n_e)) AS disclosure FROM p JOIN nt USING (term) CROSS JOIN (SELECT count(*) AS n FROM d) WHERE n > n_e GROUP BY term HAVING disclosure >= 0.9),
+w AS (SELECT rid, u.start AS start, u.value AS value FROM (SELECT rid, unnest({_spans("term", "true", "o")}) AS u FROM (SELECT rid, {_cut("outside", {"o": r"[\p{L}\p{M}]{3,}"})} FROM o WHERE rid IN (SELECT rid FROM t JOIN f USING (term))))),
+h AS (SELECT rid, list({{'start': start, 'kind': CASE WHEN disclosure >= 0.98 THEN 'term' ELSE 'name' END, 'value': value}}) AS terms FROM w JOIN f ON term = lower(value) GROUP BY rid)
 SELECT doc_id, {", ".join(f"len(list_filter(base, lambda s: s.kind = '{k}'))::BIGINT AS n_{k}" for k in _PRIVATE)}, coalesce(len(terms), 0)::BIGINT AS n_term,
   sha256({_digest("base")}) AS base_sha256, {_digest(_ordered("base || coalesce(terms, [])", (*_PRIVATE, "term", "name")))} AS spans
 FROM b LEFT JOIN h USING (rid)

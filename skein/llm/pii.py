@@ -1,7 +1,7 @@
 """Personal data by information-theoretic sanitisation, in DataFrame functions only.
 
-Protected entities are the values of formal identifiers (email, ip, card, phone). Terms (runs of three or more letters,
-lower-cased, outside identifiers) are tested for what their presence in a document discloses about an entity in it:
+Protected entities are the values of formal identifiers (email, ip, card, phone). Terms (runs of three or more letters and
+their combining marks, each lower-cased by itself, outside identifiers) are tested for what their presence in a document discloses about an entity in it:
 
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t))),    disclosure(e, t) = PMI(e, t) / IC(e),    IC(e) = log2(N / n(e))
 
@@ -38,7 +38,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"
-TERM = r"\p{L}{3,}"
+TERM = r"[\p{L}\p{M}]{3,}"
 
 
 def luhn(digits: Column) -> Column:
@@ -90,7 +90,7 @@ def held_by() -> list[Column]:
 class Sanitiser:
     """Spans of one table of documents; ``found`` has a row for each row of the table."""
 
-    def __init__(self, docs: DataFrame, support: int = 3, generalise: float = 0.95, remove: float = 0.99):
+    def __init__(self, docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.98):
         if not 0 < generalise <= remove:
             raise ValueError("generalise must be positive and at most remove")
         self.support, self.generalise, self.remove = support, generalise, remove
@@ -100,7 +100,7 @@ class Sanitiser:
 
     def terms(self, texts: DataFrame) -> DataFrame:
         """Distinct terms of each row of texts: row_key, text_key, term_hash."""
-        words = F.array_distinct(F.regexp_extract_all(F.lower("outside"), F.lit(TERM), F.lit(0)))
+        words = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("outside", F.lit(TERM), F.lit(0))), F.lower))
         return without_base(texts).select("row_key", "text_key", F.explode(words).alias("term")).select("row_key", "text_key", F.xxhash64("term").alias("term_hash"))
 
     def entities(self) -> DataFrame:

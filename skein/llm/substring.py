@@ -155,7 +155,7 @@ def dedup_substrings(docs: DataFrame, width: int = 50, gram: int = 16) -> DataFr
     hot = first.filter(F.col("n") * HOT > total).select("h1", "h2", F.col("lo").alias("hot_lo"))
     made = windows.join(F.broadcast(hot), ["h1", "h2"], "left").filter("hot_lo is null or at > hot_lo")
     met = made.select(F.when(F.col("hot_lo").isNull(), F.col("h1")).otherwise(F.xxhash64("at", "pos")).alias("h1"), F.when(F.col("hot_lo").isNull(), F.col("h2")).alias("h2"), "at", "key", "pos").join(first.drop("n"), ["h1", "h2"], "left")
-    gone = met.filter("h2 is null or at > lo").groupBy("at", "key").agg(F.collect_list("pos").alias("positions"))
+    gone = met.filter("h2 is null or at > lo").groupBy("at", "key").agg(F.collect_set("pos").alias("positions"))  # once each, however many rows repeat
 
     kept = keyed.join(gone, ["at", "key"], "left").join(copies, ["at", "key"], "left").select(F.col("at").alias("doc_id"), "text", "positions", "copy").mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>, kept_text string")
     return kept.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from skein.llm import neardup, urlgraph
 from skein.llm.components import connected_components
@@ -105,9 +106,9 @@ def test_link_graph_matches_power_iteration(spark):
             score = 0.15 * seed + 0.85 * moved
         return score
 
-    back = {h: [o for o in hosts if h in out[o]] for h in hosts}
     trust = rank(np.array([float(ruled[h] == "allow") for h in hosts]), out)
-    distrust = rank(np.array([float(ruled[h] == "block") for h in hosts]), back)
+    leads = np.array([[(t in out[h]) / max(1, len(out[h])) for t in hosts] for h in hosts])
+    distrust = np.linalg.solve(np.eye(len(hosts)) - 0.85 * leads, np.array([float(ruled[h] == "block") for h in hosts]))
     got = {r.page_id: r for r in urlgraph.judge_pages(pages, threshold=0.1).collect()}
     for n, h in enumerate(hosts):
         assert np.allclose((got[n].trust, got[n].distrust), (trust[index[h]], distrust[index[h]]), atol=1e-5)
@@ -117,6 +118,25 @@ def test_link_graph_matches_power_iteration(spark):
     assert urlgraph.judge_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [1, 3, 400])
+def test_farms_of_any_size_are_judged_by_where_their_links_lead(spark, linkers):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    rows = [(0, "http://bad.net/", None)] + [(1 + i, f"http://farm{i}.org/", link("bad.net")) for i in range(linkers)]
+    rows += [(900, "http://two.steps.org/", link("farm0.org")), (901, "http://portal.org/", link("bad.net", *(f"good{i}.org" for i in range(9)))), (902, "http://plain.org/", None)]
+    rows += [(None, "http://farm0.org/again", link("bad.net")), (None, "http://farm0.org/again", link("bad.net"))]
+    pages = spark.createDataFrame([(*r, "clash", 1.0, 2.0) for r in rows], "page_id long, url string, html string, host string, trust double, seed double")
+    got = [(r.page_id, r.verdict) for r in urlgraph.judge_pages(pages).collect()]
+    assert {v for i, v in got if i is not None and 1 <= i <= linkers} == {"block"} and len(got) == len(rows)
+    assert {i: v for i, v in got if i is None or i >= 900} == {900: "block", 901: "allow", 902: "allow", None: "block"}
+
+
+def test_rows_that_repeat_give_each_position_once(spark):
+    text = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, text + " a")] + [(2, text + " b")] * 300 + [(None, text + " d")] * 300
+    got = dedup_substrings(docs(spark, rows)).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 1), (2, 60, 300), (None, 60, 300)], key=str)
+
+
 def test_mixed_rows_keep_clashing_columns(spark):
     rows = [(i, "w " * (i % 9), "en", f"s{i % 3}", 0, "a", "b", "c", "d", "e", 1) for i in range(60)] + [(None, "x y", "en", None, 0, "a", "b", "c", "d", "e", 1)] * 3
     out = mixed_rows(spark.createDataFrame(rows, DOCS))

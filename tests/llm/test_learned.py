@@ -175,3 +175,16 @@ def test_packing_follows_the_rule_and_keeps_large_ids(spark):
     out = packing.pack_documents(docs(spark, rows)).collect()
     assert {(r.doc_id, r.length) for r in out} == {(9007199254740993, 3), (None, 2), (2**63 - 1, 1)}
     assert packing.pack_documents(docs(spark, [])).count() == 0
+
+
+def test_unrelated_long_texts_are_not_alike():
+    rng = np.random.default_rng(8)
+    texts = ["".join(map(chr, rng.integers(lo, lo + 60, 4_000_000))) for lo in (0x61, 0x400)]
+    a, b = map(fp.fingerprint, texts)
+    assert fp.likeness(a, b) < 0.02 and fp.likeness(a, a) == 1.0
+
+
+def test_floating_minima_keep_order_and_width():
+    values = np.unique(np.r_[np.arange(600), 1 << np.arange(40), (1 << np.arange(1, 40)) - 1]).astype(np.uint64)
+    codes = fp.floating(values).astype(int)
+    assert (np.diff(codes >> fp.DIGITS) <= 0).all() and codes.max() < fp.NONE and codes.min() >= 0
