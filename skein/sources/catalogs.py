@@ -64,3 +64,56 @@ def tsv_functions(spark: SparkSession, path: str) -> DataFrame:
     at = F.instr("value", "\t")
     text = F.when(at > 0, F.replace(F.replace(F.substring(F.col("value"), at + 1, F.length("value")), F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")))
     return lines.filter(F.col("value") != "").select(F.when(at > 0, F.substring(F.col("value"), F.lit(1), at - 1)).otherwise(F.col("value")).alias("name"), text.alias("text"))
+
+
+CHUNK = 1000  # lines that are joined at once
+
+
+def assembled(lines: DataFrame, keys: tuple[str, ...] = ("owner", "name", "kind"), chunk: int = CHUNK) -> DataFrame:
+    """Source lines (keys, line, text) as one text an object: keys, n_lines, text.
+
+    Lines are joined by chunks of their numbers and the chunks by object, so that no task gathers more than a chunk of rows and
+    one row a chunk. Lines end as they are stored; a line that lacks its end is given one, but for the last.
+    """
+    ended = F.when(F.col("text").endswith("\n"), F.col("text")).otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("\n")))
+    own = lines.select(*keys, "line", ended.alias("text"), F.floor(F.col("line") / chunk).alias("chunk"))
+    joined = lambda df, by, at: df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at, "text"))).alias("rows"), F.sum("n").alias("n"))
+    text = F.array_join(F.transform("rows", lambda r: r["text"]), "")
+    chunks = joined(own.withColumn("n", F.lit(1).cast("long")), (*keys, "chunk"), "line").select(*keys, "chunk", text.alias("text"), "n")
+    return joined(chunks, keys, "chunk").select(*keys, F.col("n").alias("n_lines"), F.regexp_replace(text, r"\n\z", "").alias("text"))
+
+
+def oracle_objects(objects: DataFrame, lines: DataFrame, views: DataFrame) -> DataFrame:
+    """Objects of an Oracle catalog with their texts: owner, name, kind, changed, text, error.
+
+    objects (owner, object_name, object_type, last_ddl_time, status), lines (owner, name, type, line, text), views (owner,
+    view_name, text). An object without a text has an error; invalid objects come as they are.
+    """
+    told = objects.select("owner", F.col("object_name").alias("name"), F.upper("object_type").alias("kind"), F.col("last_ddl_time").alias("changed")).filter(F.col("kind").isin(*KINDS))
+    texts = assembled(lines.select("owner", "name", F.upper("type").alias("kind"), "line", "text")).select("owner", "name", "kind", "text")
+    texts = texts.unionByName(views.select("owner", F.col("view_name").alias("name"), F.lit("VIEW").alias("kind"), "text"))
+    return told.join(texts, ["owner", "name", "kind"], "left").withColumn("error", F.when(F.col("text").isNull(), F.lit("no text returned")))
+
+
+def split_options(url: str, query: str, column: str, lower: int, upper: int, parts: int, **more: str) -> dict[str, str]:
+    """Options of a JDBC read of a query in ``parts`` ranges of a numeric column, each a task's own connection."""
+    if parts < 1 or upper < lower:
+        raise ValueError("a read needs a range and at least one part")
+    base = jdbc_options(url, query, **more)
+    return {k: v for k, v in base.items() if k != "query"} | {"dbtable": f"({query}) q", "partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(parts)}
+
+
+def fetched(adapter: str, catalog: dict[str, DataFrame], harvest: Harvest) -> DataFrame:
+    """Scripts of a database by its adapter (oracle, postgresql, clickhouse): owner, name, kind, text, error.
+
+    ``catalog`` has the frames that the adapter's function takes, by name.
+    """
+    if adapter == "oracle":
+        found = oracle_objects(**catalog)
+    elif adapter == "postgresql":
+        found = postgres_objects(**catalog).withColumns({"changed": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("string")})
+    elif adapter == "clickhouse":
+        found = catalog["functions"].select(F.lit(harvest.schema).cast("string").alias("owner"), "name", F.lit("FUNCTION").alias("kind"), "text").withColumns({"changed": F.lit(None).cast("timestamp"), "error": F.lit(None).cast("string")})
+    else:
+        raise ValueError(f"no adapter {adapter}")
+    return selected(found, harvest).select("owner", "name", "kind", "text", "error")
