@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import saved
+from skein.session import dropped, saved
+
 
+def hits(edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-8, most: int = 1000) -> DataFrame:
+    """Hub and authority scores with L2 norm 1: id, hub, authority, 0.0 where none.
 
-def hits(edges: DataFrame, rounds: int) -> DataFrame:
-    """Hub and authority scores with L2 norm 1 after a fixed number of rounds: id, hub, authority, 0.0 where none."""
+    Rounds go on until no score moves by ``tolerance`` or more, or for a given number. Where the two greatest singular values
+    are equal scores may not settle; after ``most`` rounds that is an error.
+    """
     links = saved(edges.select("src", "dst").distinct(), "links")
     nodes = saved(links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct(), "nodes")
 
-    def step(scores: DataFrame, near: str, far: str) -> DataFrame:
-        raw = saved(links.join(scores.withColumnRenamed("id", near), near).groupBy(F.col(far).alias("id")).agg(F.sum("score").alias("raw")), "raw")
-        norm = raw.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))  # one row
-        return raw.join(F.broadcast(norm)).select("id", F.when(F.col("norm") > 0, F.col("raw") / F.col("norm")).otherwise(F.lit(0.0)).alias("score"))
-
-    hub = nodes.withColumn("score", F.lit(1.0))
-    authority = hub
-    for _ in range(rounds):
-        authority = saved(step(hub, "src", "dst"), "authority")
-        hub = saved(step(authority, "dst", "src"), "hub")
-    named = lambda df, name: df.withColumnRenamed("score", name)
+    def step(scores: DataFrame, near: str, far: str, name: str, old: DataFrame) -> DataFrame:
+        raw = saved(links.join(scores.select(F.col("id").alias(near), "score"), near).groupBy(F.col(far).alias("id")).agg(F.sum("score").alias("raw")), "raw")
+        norm = raw.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw")))).first()[0] or 0.0
+        was = old.select("id", F.col("score").alias("was"))
+        scaled = raw.join(was, "id", "left").withColumn("score", F.col("raw") / F.lit(norm) if norm else F.lit(0.0))
+        out = saved(scaled.select("id", "score", F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))).alias("moved")), name, instead_of=old)
+        dropped(raw)
+        return out
+
+    hub, authority, done = saved(nodes.withColumn("score", F.lit(1.0)), "hub"), saved(nodes.withColumn("score", F.lit(1.0)), "authority"), 0
+    while rounds is None or done < rounds:
+        authority = step(hub, "src", "dst", "authority", authority)
+        hub = step(authority, "dst", "src", "hub", hub)
+        done += 1
+        if rounds is None and max(x.agg(F.max("moved")).first()[0] or 0.0 for x in (authority, hub)) < tolerance:
+            break
+        if rounds is None and done >= most:
+            raise RuntimeError(f"scores still moved after {most} rounds")
+    named = lambda df, name: df.select("id", F.col("score").alias(name))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     return nodes.join(named(hub, "hub"), "id", "left").join(named(authority, "authority"), "id", "left").select("id", zero("hub"), zero("authority"))
 
 
-def spread_least(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Least label that reaches each node along (src, dst), by rounds until nothing changes: id, label. Labels only fall, so rounds end."""
-    while True:
-        met = links.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("met"))
-        fresh = saved(labels.join(met, "id", "left").select("id", F.least("label", "met").alias("label"), (F.col("met") < F.col("label")).alias("moved")), "labels", instead_of=labels)
-        if fresh.filter("moved").isEmpty():
-            return fresh.select("id", "label")
-        labels = fresh
-
-
 def weak_components(edges: DataFrame) -> DataFrame:
     """Least node of each weakly connected component: id, component. Labels also jump to the label of their label each round.
 
@@ -45,7 +49,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.filter("src is not null and dst is not null").select("src", "dst")
     both = saved(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    labels = saved(both.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("label")), "labels")
+    labels = start = saved(both.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("label")), "labels")
     while True:
         met = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("met"))
         # a label's own label is no worse, and the node it named takes the least that its members met
@@ -55,32 +59,62 @@ def weak_components(edges: DataFrame) -> DataFrame:
         up = hooked.select(F.col("id").alias("label"), F.col("label").alias("up"))
         fresh = saved(hooked.join(up, "label").select("id", F.col("up").alias("label"), (F.col("up") < F.col("was")).alias("moved")), "jumped")
         labels = fresh.select("id", "label")
+        for old in (low, hooked, start):
+            dropped(old)
+        start = fresh
         if fresh.filter("moved").isEmpty():
+            dropped(both)
             return labels.withColumnRenamed("label", "component")
 
 
+def _least_both_ways(links: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """For each node the pivots of least rank that reach it and that it reaches: id, above, below.
+
+    Ranks are hashes. Labels (way, id, rank, pivot) only fall. Besides a neighbour's label a node takes the label of its own
+    pivot, as what reaches its pivot reaches it; so labels jump along chains and rounds grow with the logarithm of their length.
+    """
+    steps = saved(links.select(F.lit(0).alias("way"), "src", "dst").unionByName(links.select(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"))), "steps")
+    label = F.struct(F.xxhash64("id", F.lit(salt)).alias("rank"), F.col("id").alias("pivot"))
+    labels = saved(nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("way"), "id", label.alias("label")), "labels")
+    while True:
+        met = steps.join(labels.select("way", F.col("id").alias("src"), "label"), ["way", "src"]).groupBy("way", F.col("dst").alias("id")).agg(F.min("label").alias("met"))
+        near = labels.join(met, ["way", "id"], "left").select("way", "id", "label", F.least("label", "met").alias("low"))
+        up = labels.select("way", F.col("id").alias("pivot"), F.col("label").alias("up"))
+        jumped = near.withColumn("pivot", F.col("low.pivot")).join(up, ["way", "pivot"]).select("way", "id", F.least("low", "up").alias("fresh"), "label")
+        fresh = saved(jumped.select("way", "id", F.col("fresh").alias("label"), (F.col("fresh") < F.col("label")).alias("moved")), "labels", instead_of=labels)
+        labels = fresh
+        if fresh.filter("moved").isEmpty():
+            break
+    dropped(steps)
+    of = lambda way: F.max(F.when(F.col("way") == way, F.col("label.pivot")))
+    out = saved(labels.groupBy("id").agg(of(0).alias("above"), of(1).alias("below")), "pivots")
+    dropped(labels)
+    return out
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """Least node of each strongly connected component: id, component, by forward and backward colouring.
+    """Least node of each strongly connected component: id, component, by random pivots forward and backward.
 
-    Each round colours nodes forward with the least node that reaches them; the nodes of a colour that reach its root
-    backward within the colour are one component and leave. Edges across colours go as well, so what remains shrinks.
+    Nodes that no link enters or leaves are components of their own and leave first. Of the rest each finds the pivot of least
+    random rank that reaches it, and that it reaches: where these are the same, it is in the pivot's component. Nodes of one
+    component agree in both pivots, so links between nodes that differ in one go, and what is left falls apart like a random
+    search tree: rounds grow with the logarithm of the longest path.
     """
     links = saved(edges.filter("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "links")
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).filter("id is not null").distinct()
-    done = None
-    left = saved(nodes, "nodes")
-    while not left.isEmpty():
-        colour = saved(spread_least(links, left.select("id", F.col("id").alias("label"))), "colour")
-        of = lambda end: colour.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: B023, E731
-        same = saved(links.join(of("src"), "src").join(of("dst"), "dst").filter("src_label = dst_label").select("src", "dst"), "same")
-        frontier = found = colour.filter("id = label")
-        while True:
-            frontier = saved(same.join(frontier.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label").distinct().join(found.select("id"), "id", "left_anti"), "frontier")
-            if frontier.isEmpty():
-                break
-            found = found.unionByName(frontier)
-        found = saved(found.select("id", F.col("label").alias("component")), "found")
-        done = found if done is None else done.unionByName(found)
-        left = saved(left.join(found, "id", "left_anti"), "left")
-        links = saved(same.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"), "links")
-    return done if done is not None else left.select("id", F.col("id").alias("component"))
+    nodes = saved(edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).filter("id is not null").distinct(), "nodes")
+    found, left, number = [], nodes, 0
+    while not links.isEmpty():
+        number += 1
+        ends = links.select(F.col("src").alias("id")).distinct().join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        inner = saved(ends, "inner")
+        trimmed = saved(links.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "links", instead_of=links)
+        pivots = _least_both_ways(trimmed, inner, number)
+        found.append(saved(pivots.filter("above = below").select("id", F.col("above").alias("pivot")), "found"))
+        of = lambda end: pivots.filter("above <> below").select(F.col("id").alias(end), F.struct("above", "below").alias(f"{end}_pivots"))  # noqa: B023, E731
+        links = saved(trimmed.join(of("src"), "src").join(of("dst"), "dst").filter("src_pivots = dst_pivots").select("src", "dst"), "links", instead_of=trimmed)
+        dropped(inner)
+        dropped(pivots)
+    done = reduce(DataFrame.unionByName, found, left.limit(0).select("id", F.col("id").alias("pivot")))
+    least = done.groupBy("pivot").agg(F.min("id").alias("component"))
+    named = done.join(least, "pivot").select("id", "component")
+    return left.join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -98,6 +98,10 @@ QUERIES = {
     "p18_hits": _of("lineitem", lambda d: algorithms.hits(_LINKS(d), 2).select("id", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))),
     "p19_weak_components": _of("events", lambda d: algorithms.weak_components(_CHAIN(d))),
     "p20_strong_components": _of("events", lambda d: algorithms.strong_components(_RINGS(d))),
+    # over the whole graph, to convergence: tested by brute force
+    "p18_hits_settled": _of("lineitem", lambda d: algorithms.hits(_LINKS(d))),
+    "p19_graph_components": lambda spark, sf_dir: algorithms.weak_components(bound_edges(spark, sf_dir)),
+    "p20_graph_components": lambda spark, sf_dir: algorithms.strong_components(bound_edges(spark, sf_dir)),
 }
 
 _G = f"WITH {_V}, {_E}, "

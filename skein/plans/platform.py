@@ -22,7 +22,7 @@ _TAG = lambda: F.when(F.col("user_id") % 5 > 0, F.col("user_id").cast("string"))
 
 def _batches(events: DataFrame) -> DataFrame:
     size = F.when(F.col("event_id") < 500, 120).otherwise(7)
-    kind = F.when(F.col("event_type") == "click", F.lit("seer.audit.click")).otherwise(F.col("event_type"))
+    kind = F.when(F.col("event_type") == "click", F.lit("audit.click")).otherwise(F.col("event_type"))
     batched = events.withColumn("batch", F.concat_ws(":", size.cast("string"), F.floor(F.col("event_id") / size).cast("string")))
     return pf.valid_batches(batched, "batch", _K() != 13, pf.tagged(kind, F.lit("app"), _TAG())).select("event_id", "batch")
 

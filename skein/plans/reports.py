@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import reports as rp
 from skein.session import table
+from skein.streaming.platform import hash_chain
 
 
 def _of(name: str, f):
@@ -35,11 +36,12 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chain(events: DataFrame) -> DataFrame:
-    """Chains of one link each, of which every tenth event was altered after its hash was stored."""
+    """Users' chains, of which every tenth event and the stored hash of every fifteenth was altered afterwards."""
     payload = F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("event_type"))
-    made = events.select("event_id", "user_id", "event_type", F.lit("").alias("prev"), F.sha2(F.concat(F.lit("|"), payload), 256).alias("hash"))
-    altered = made.withColumn("event_type", F.when(F.col("event_id") % 10 == 0, F.lit("altered")).otherwise(F.col("event_type")))
-    return rp.chain_breaks(altered, "event_id", "event_id", payload, "prev", "hash").select("event_id")
+    made = hash_chain(events.select("event_id", "user_id", "event_type"), "user_id", "event_id", payload)
+    kind = F.when(F.col("event_id") % 10 == 0, F.lit("altered")).otherwise(F.col("event_type"))
+    stored = F.when(F.col("event_id") % 15 == 7, F.lit("altered")).otherwise(F.col("hash"))
+    return rp.chain_breaks(made.withColumns({"event_type": kind, "hash": stored}), "user_id", "event_id", payload, "prev", "hash").select("event_id")
 
 
 def _status(df: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ ORACLES = {
     "t4_scored_search": f"SELECT * FROM ({_NAMED}) ORDER BY score DESC, kind, name, id LIMIT 40",
     "t8_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "w2_first_wins": "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY ALL",
-    "w4_chain_breaks": "SELECT event_id FROM events WHERE event_id % 10 = 0",
+    "w4_chain_breaks": "SELECT event_id FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id % 10 = 0 OR event_id % 15 = 7 OR before % 15 = 7",
     "w5_clipped_depth": "WITH s AS (SELECT event_id, user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events) SELECT event_id, (t - least(0, min(t) OVER (PARTITION BY user_id ORDER BY event_id)))::BIGINT AS depth FROM s",
     "w6_ordinals": "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), event_type) AS ordinal FROM events GROUP BY user_id, event_type",
     "r14_rate_limit": "SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) <= 2 AS allowed FROM events",

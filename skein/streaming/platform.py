@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skein.operators.explore import snapshot_diff
 
 MOST_BATCH = 100
-# Event types that need no tenant.
-EXEMPT = ("seer.platform.%", "seer.audit.%")
+EXEMPT = ("platform.%", "audit.%")  # patterns of event types that need no tenant
 
 
 def stamped(events: DataFrame, at: str, now: Column) -> DataFrame:
@@ -17,10 +20,10 @@ def stamped(events: DataFrame, at: str, now: Column) -> DataFrame:
     return events.withColumn(at, F.when(F.col(at) > 0, F.col(at)).otherwise(now))
 
 
-def tagged(event_type: Column, component: Column, tenant: Column, internal: tuple[str, ...] = ()) -> Column:
-    """Whether an event names its tenant, or is of a type or an internal component that need not."""
+def tagged(event_type: Column, component: Column, tenant: Column, internal: tuple[str, ...] = (), exempt_types: tuple[str, ...] = EXEMPT) -> Column:
+    """Whether an event names its tenant, or is of a type (by LIKE patterns) or an internal component that need not."""
     exempt = F.coalesce(component.isin(*internal), F.lit(False)) if internal else F.lit(False)
-    for pattern in EXEMPT:
+    for pattern in exempt_types:
         exempt = exempt | F.coalesce(event_type.like(pattern), F.lit(False))
     return exempt | (F.trim(F.coalesce(tenant, F.lit(""))) != "")
 
@@ -93,32 +96,24 @@ def schema_version(payload: Column, default: int = 1) -> Column:
 def hash_chain(events: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
     """Adds ``prev`` and ``hash`` to the rows of each chain (key) in order: hash = sha256(prev | payload), prev of the first is ''.
 
-    A hash needs the one before it, so rounds go along the chains, all chains at once; each writes its links once.
+    A hash needs the one before it, so a chain is one task's: its rows are sorted, spilling where they must, and streamed once,
+    with one hash held between batches. A null payload has no hash, nor has what follows it.
     """
-    from pyspark.sql import Window
-
-    from skein.session import saved
-
-    rows = saved(events.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(order))).withColumn("_payload", payload), "chain")
-    head = rows.groupBy(key).agg(F.lit("").alias("prev"), F.lit(0).alias("_done"))
-    parts, at = [], 0
-    longest = rows.agg(F.max("_at")).first()[0] or 0
-    fold = 64  # links made in one pass over a chain's next rows
-    while at < longest:
-        step = rows.filter((F.col("_at") > at) & (F.col("_at") <= at + fold)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_at", "_payload"))).alias("links"))
-        start = F.struct(F.col("prev").alias("h"), F.array().cast("array<struct<at:int,prev:string,hash:string>>").alias("out"))
-
-        def link(acc: Column, x: Column) -> Column:
-            made = F.sha2(F.concat(acc["h"], F.lit("|"), x["_payload"]), 256)
-            return F.struct(made.alias("h"), F.concat(acc["out"], F.array(F.struct(x["_at"].alias("at"), acc["h"].alias("prev"), made.alias("hash")))).alias("out"))
-
-        done = saved(step.join(head.select(key, "prev"), key).withColumn("made", F.aggregate("links", start, link)).select(key, "made"), "links")
-        parts.append(done.select(key, F.explode("made.out").alias("l")).select(key, F.col("l.at").alias("_at"), "l.prev", "l.hash"))
-        head = done.select(key, F.col("made.h").alias("prev"))
-        at += fold
-    if not parts:
-        return rows.drop("_at", "_payload").withColumns({"prev": F.lit(""), "hash": F.lit("")})
-    links = parts[0]
-    for p in parts[1:]:
-        links = links.unionByName(p)
-    return rows.join(links, [key, "_at"]).drop("_at", "_payload")
+    sorted_ = events.withColumn("_payload", payload.cast("string")).repartition(key).sortWithinPartitions(key, order)
+    schema = StructType([*events.schema, StructField("prev", StringType()), StructField("hash", StringType())])
+    at = events.columns.index(key)
+
+    def run(batches):
+        chain, last = None, ""
+        for batch in batches:
+            before, hashes = [], []
+            for own, text in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if chain is None or own != chain[0]:
+                    chain, last = (own,), ""
+                before.append(last)
+                last = None if text is None or last is None else hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                hashes.append(last)
+            names = [*batch.schema.names[:-1], "prev", "hash"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.string()), pa.array(hashes, pa.string())], names)
+
+    return sorted_.mapInArrow(run, schema)

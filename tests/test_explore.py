@@ -3,6 +3,7 @@ import random
 import pytest
 
 from skein.operators import algorithms, diagnostics as dg, explore as ex
+from skein.session import saved
 
 V, E = "id string, vtype string, label string", "src string, dst string, etype string"
 
@@ -79,3 +80,26 @@ def test_diagnostics(spark):
     assert {(r.id, r.n_in, r.n_out) for r in dg.degrees(v, e).collect()} == {("t", 1, 0), ("u", 0, 0), ("r", 0, 1), ("q", 1, 0)}
     assert dg.health(v, e.filter("false")).first().flow_pct == pytest.approx(0.0)
     assert [r.id for r in dg.dead_tables(e).collect()] == ["t"]
+
+
+def test_strong_components_of_paths_and_rings_take_few_rounds(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(algorithms, "saved", lambda df, name, **k: (labels.append(name), saved(df, name, **k))[1])
+    path = [(i, i + 1) for i in range(1000)] + [(2000 + i, 2000 + (i + 1) % 30) for i in range(30)] + [(999, 2000)]
+    got = {r.id: r.component for r in algorithms.strong_components(spark.createDataFrame(path, "src long, dst long")).collect()}
+    assert got == {**{i: i for i in range(1001)}, **{2000 + i: 2000 for i in range(30)}}
+    assert labels.count("pivots") <= 25
+
+
+def test_settled_hits_match_the_singular_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    links = sorted({(int(a), int(b) + 100) for a, b in rng.integers(0, 12, (60, 2))})
+    matrix = np.zeros((12, 12))
+    for a, b in links:
+        matrix[a, b - 100] = 1
+    u, _, v = np.linalg.svd(matrix)
+    got = {r.id: (r.hub, r.authority) for r in algorithms.hits(spark.createDataFrame(links, "src long, dst long"), tolerance=1e-7).collect()}
+    for i in range(12):
+        assert abs(got.get(i, (0, 0))[0] - abs(u[i, 0])) < 1e-5 and abs(got.get(i + 100, (0, 0))[1] - abs(v[0, i])) < 1e-5
