@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skein.operators.explore import last_segment
 from skein.operators.graph import reach
 from skein.session import saved
+from skein.sources.store import GraphStore
 
 HIDDEN = ("Constraint", "PrimaryKey", "ForeignKey", "Atom")  # types that no view shows
 USES = ("READS_FROM", "WRITES_TO")
@@ -24,11 +25,12 @@ USES = ("READS_FROM", "WRITES_TO")
 
 @dataclass(frozen=True)
 class Graph:
-    """A graph and, where they were written with it, the roots (sub, root) of its nested statements."""
+    """A graph; where they were written with it, the roots (sub, root) of its nested statements, and the store it is read from."""
 
     vertices: DataFrame
     edges: DataFrame
     tops: DataFrame | None = None
+    store: GraphStore | None = None
 
     def of(self, *etypes: str) -> DataFrame:
         """Edges of types."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from skein.session import dropped, saved
+
 
 def value_counts(df: DataFrame, column: str, unknown: str = "UNKNOWN") -> DataFrame:
     """Rows of each value; null and blank values count as ``unknown``: name, n."""
@@ -136,27 +138,30 @@ def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85
     Rounds go on until scores move by less than ``tolerance`` on the mean, or for a given number. The edges carry their share,
     lie partitioned by src and are written once; each round is one join and one aggregate, and replaces the one before.
     """
-    from skein.session import saved
-
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     links = saved(links.join(out, "src"), "links")
     linked = links.select(F.col("src").alias("id"), F.lit(False).alias("dangles")).unionByName(links.select(F.col("dst").alias("id"), F.lit(True).alias("dangles")))
-    scores = saved(linked.groupBy("id").agg(F.bool_and("dangles").alias("dangles")).withColumn("score", F.lit(1.0)), "scores")
+    held, moved = F.sum(F.when(F.col("dangles"), F.col("score")).otherwise(0.0)).alias("held"), F.sum("moved").alias("moved")
+
+    def written(frame: DataFrame, instead_of: DataFrame | None = None) -> tuple[DataFrame, float, float]:
+        """The scores of a round, what dangling nodes hold and how far scores moved; both are observed by the write."""
+        told = Observation()
+        out = saved(frame.observe(told, held, moved), "scores", instead_of=instead_of)
+        return out, told.get["held"] or 0.0, told.get["moved"] or 0.0
+
+    first = linked.groupBy("id").agg(F.bool_and("dangles").alias("dangles"))
+    if links.isEmpty():
+        return first.select("id", F.lit(1.0).alias("score"))
+    scores, lost, _ = written(first.select("id", "dangles", F.lit(1.0).alias("score"), F.lit(0.0).alias("moved")))
     n, k = scores.count(), 0
-    while n and (rounds is None or k < rounds):
+    while rounds is None or k < rounds:
         k += 1
-        lost = F.lit((scores.filter("dangles").agg(F.sum("score")).first()[0] or 0.0) / n)
         given = links.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("n_out")).alias("given"))
-        fresh = scores.join(given, "id", "left").select("id", "dangles", F.col("score").alias("was"), (F.lit(1 - damping) + damping * (F.coalesce("given", F.lit(0.0)) + lost)).alias("score"))
-        scores = saved(fresh.select("id", "dangles", "score", F.abs(F.col("score") - F.col("was")).alias("moved")), "scores", instead_of=scores)
-        if rounds is None and scores.agg(F.sum("moved")).first()[0] < tolerance * n:
+        score = F.lit(1 - damping) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(lost / n))
+        fresh = scores.join(given, "id", "left").select("id", "dangles", score.alias("score"), F.abs(score - F.col("score")).alias("moved"))
+        scores, lost, change = written(fresh, scores)
+        if rounds is None and change < tolerance * n:
             break
-        scores = _without(scores, "moved")
+    dropped(links)
     return scores.select("id", "score")
-
-
-def _without(df: DataFrame, column: str) -> DataFrame:
-    out = df.drop(column)
-    out._skein_path = getattr(df, "_skein_path", None)
-    return out

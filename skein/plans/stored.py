@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,6 @@ def stored_graph(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str,
         store = GraphStore(spark, f"{scratch(spark)}/graph-{name}-{uuid.uuid4().hex}", BUCKETS)
         store.commit(*build())
         manifest = store.manifest()
-        graph = Graph(store.vertices(manifest=manifest), store.edges(manifest=manifest))
-        _GRAPHS[key] = Graph(graph.vertices, graph.edges, saved(climbed(graph), "roots")) if rooted else graph
+        graph = Graph(store.vertices(manifest=manifest), store.edges(manifest=manifest), store=store)
+        _GRAPHS[key] = replace(graph, tops=saved(climbed(graph), "roots")) if rooted else graph
     return _GRAPHS[key]

@@ -141,7 +141,7 @@ class GraphStore:
         """Upserts a batch: counts of vertices inserted and repeated, edges inserted, repeated and dropped for an unknown end.
 
         Of equal keys in a batch the row least in ``order`` stays. ``REMOTE`` and ``REMOTE_BATCH`` differ in how a caller cuts its
-        batches, not in what is written; ``DISABLED`` counts a batch without edges against the store and writes nothing.
+        batches, not in what is written; ``DISABLED`` writes and counts nothing.
         """
         if mode not in MODES:
             raise ValueError(f"unknown or unsupported mode {mode}")
@@ -150,11 +150,11 @@ class GraphStore:
             return {"vertices": 0, "repeated_vertices": 0, "edges": 0, "repeated_edges": 0, "dropped_edges": 0}
         asked, kept = {}, {}
         for kind, rows in batch.items():
-            own = saved(rows, f"batch-{kind}")
-            asked[kind] = own.count()
-            rest = [c for c in own.columns if c not in KEYS[kind] and c != order]
-            first = own.groupBy(*KEYS[kind]).agg(F.min(F.struct(*([order] if order in own.columns else []), *rest)).alias("row")) if rest else own.select(*KEYS[kind]).distinct()
-            kept[kind] = saved(first.select(*KEYS[kind], *(F.col("row")[c].alias(c) for c in rest)), f"first-{kind}", instead_of=own)
+            rest = [c for c in rows.columns if c not in KEYS[kind] and c != order]
+            least = F.min(F.struct(*([order] if order in rows.columns else []), *rest)) if rest else F.lit(None).cast("string")
+            counted = saved(rows.groupBy(*KEYS[kind]).agg(least.alias("row"), F.count(F.lit(1)).alias("asked")), f"batch-{kind}")
+            asked[kind] = counted.agg(F.sum("asked")).first()[0] or 0
+            kept[kind] = counted.select(*KEYS[kind], *(F.col("row")[c].alias(c) for c in rest))
         for _ in range(tries):
             if (counts := self._attempt(asked, kept)) is not None:
                 return counts
@@ -169,7 +169,7 @@ class GraphStore:
         for kind, rows in (("vertices", kept["vertices"]), ("edges", known)):
             there = [p for p in self._touched(kept[kind], kind) if p in base.parts[kind]] if base.number else []
             new = rows.join(self._read(kind, there, base).select(*KEYS[kind]), list(KEYS[kind]), "left_anti") if there else rows
-            self._write(new.select(*kept[kind].columns), kind, version)
+            self._write(new, kind, version)
             fresh[kind] = self._written(kind, version)
             counts[kind] = sum(fresh[kind].values())
         counts |= {"repeated_vertices": asked["vertices"] - counts["vertices"], "dropped_edges": kept["edges"].count() - (known.count() if base.number else counts["edges"])}

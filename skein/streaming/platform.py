@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from skein.operators.explore import snapshot_diff
 
@@ -117,3 +117,31 @@ def hash_chain(events: DataFrame, key: str, order: str, payload: Column) -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.string()), pa.array(hashes, pa.string())], names)
 
     return sorted_.mapInArrow(run, schema)
+
+
+def rate_gate(calls: DataFrame, key: str, at: str, order: str, exempt: Column, limits: tuple[tuple[int, int], ...] = ((1_000, 100), (60_000, 1_000))) -> DataFrame:
+    """Adds ``allowed``: whether a call stays within all limits (window in ms, most) of its key.
+
+    A window starts with the first call after the one before has run out; rejected calls count, exempt ones are allowed and do
+    not. Null keys share ``default``. Calls (``at`` in ms) of a key are sorted, spilling where they must, and streamed once with a
+    count and an end for each limit.
+    """
+    own = F.coalesce(F.col(key).cast("string"), F.lit("default"))
+    sorted_ = calls.withColumns({"_own": own, "_exempt": F.coalesce(exempt, F.lit(False))}).repartition("_own").sortWithinPartitions("_own", at, order)
+    when = calls.columns.index(at)
+
+    def run(batches):
+        tenant, state = None, []
+        for batch in batches:
+            allowed = []
+            for who, now, free in zip(*(batch.column(i).to_pylist() for i in (batch.num_columns - 2, when, batch.num_columns - 1)), strict=True):
+                if who != tenant:
+                    tenant, state = who, [(0, None) for _ in limits]
+                if free:
+                    allowed.append(True)
+                    continue
+                state = [(1, now + span) if end is None or now > end else (n + 1, end) for (n, end), (span, _) in zip(state, limits, strict=True)]
+                allowed.append(all(n <= most for (n, _), (_, most) in zip(state, limits, strict=True)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(allowed, pa.bool_())], [*batch.schema.names[:-2], "allowed"])
+
+    return sorted_.mapInArrow(run, StructType([*calls.schema, StructField("allowed", BooleanType())]))
