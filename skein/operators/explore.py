@@ -120,12 +120,33 @@ def recent_per(df: DataFrame, key: str, order: str, most: int, *columns: str) ->
     return df.select(key, order, *columns).withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def override_order(df: DataFrame, keys: list[str], order: str, explicit: str) -> DataFrame:
+def override_order(df: DataFrame, keys: list[str], order: str, explicit: str, cell: int = 100_000) -> DataFrame:
     """Adds ``position``: a counter per key; an explicit position lifts the counter to at least itself.
 
-    The counter after row t is the greatest of t and, over explicit rows i up to t, explicit_i + (rows after i up to t).
+    The counter after row t is the greatest of t and, over explicit rows i up to t, explicit_i + (rows after i up to t). The order, a
+    number, is cut into cells, so no task orders a whole key: a cell's count and its greatest lead, one row each, carry over.
     """
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(so_far)
-    ahead = F.max(F.col("_ahead")).over(so_far)
-    return df.withColumn("_ahead", F.greatest(F.lit(0), F.col(explicit) - n)).withColumn("position", n + F.coalesce(ahead, F.lit(0))).drop("_ahead")
+    rows = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    so_far = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(so_far)).withColumn("_lead", F.col(explicit) - F.col("_n"))
+    cells = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_held"), F.max("_lead").alias("_most"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0)))
+    cells = cells.withColumn("_ahead", F.max(F.col("_most") - F.col("_before")).over(earlier))
+    named = cells.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_cell").alias("_at"), "_before", "_ahead")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col("_cell") == F.col("_at"))
+    ahead = F.greatest(F.lit(0), F.col("_ahead"), F.max("_lead").over(so_far) - F.col("_before"))
+    met = rows.join(named, same).withColumn("position", F.col("_before") + F.col("_n") + ahead)
+    return met.select(*df.columns, "position")
+
+
+def result_view(vertices: DataFrame, edges: DataFrame, most: int = 500) -> DataFrame:
+    """kind, key, label, has_more of a merged result: nodes put once, and distinct edges both of whose ends are among them.
+
+    ``has_more`` says that nodes or edges reach ``most``. Of rows of one node the least label stays.
+    """
+    nodes = saved(vertices.groupBy("id").agg(F.min(F.coalesce("label", F.lit(""))).alias("label")), "result-nodes")
+    kept = saved(result_edges(nodes, edges, most).select("edge"), "result-edges")
+    more = F.lit(nodes.count() >= most or kept.count() >= most)
+    view = lambda df, kind, key, label: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), label.alias("label"), more.alias("has_more"))
+    return view(nodes, "node", "id", F.col("label")).unionByName(view(kept, "edge", "edge", F.lit("")))

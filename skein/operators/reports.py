@@ -125,11 +125,19 @@ def rate_limited(df: DataFrame, key: str, order: str, at: str, unit: str, most:
     return df.withColumn("allowed", F.row_number().over(frame) <= most)
 
 
-def chain_breaks(df: DataFrame, key: str, order: str, payload: Column, previous: str, stored: str) -> DataFrame:
-    """Links of a hash chain that do not hold: the stored hash is not that of previous and payload, or previous is not the hash before."""
-    before = F.lag(stored, 1, "").over(Window.partitionBy(key).orderBy(order))
+def chain_breaks(df: DataFrame, key: str, order: str, payload: Column, previous: str, stored: str, cell: int = 100_000) -> DataFrame:
+    """Links of a hash chain that do not hold: the stored hash is not that of previous and payload, or previous is not the hash before.
+
+    The order, a number, is cut into cells; the first link of a cell is held against the last one of the key's cell before.
+    """
+    rows = df.withColumn("_cell", F.floor(F.col(order) / cell))
+    last = rows.groupBy(F.col(key).alias("_key"), F.col("_cell").alias("_at")).agg(F.max_by(stored, order).alias("_last"))
+    last = last.select("_key", "_at", F.lag("_last", 1, "").over(Window.partitionBy("_key").orderBy("_at")).alias("_carried"))
+    met = rows.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_at")))
+    own = Window.partitionBy(key, "_cell").orderBy(order)
+    before = F.when(F.row_number().over(own) == 1, F.col("_carried")).otherwise(F.lag(stored).over(own))
     fresh = F.sha2(F.concat(F.col(previous), F.lit("|"), payload), 256)
-    return df.withColumn("_broken", (fresh != F.col(stored)) | (F.col(previous) != before)).filter("_broken").drop("_broken")
+    return met.withColumn("_broken", (fresh != F.col(stored)) | (F.col(previous) != before)).filter("_broken").select(*df.columns)
 
 
 def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:

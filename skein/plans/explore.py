@@ -92,6 +92,7 @@ QUERIES = {
     "p4_hoist": _hoisted,
     "p5_descendants": lambda spark, sf_dir: ex.descendants(bound_parents(spark, sf_dir), "region:1"),
     "p16_result_edges": _graph(ex.result_edges),
+    "p16_result": _graph(ex.result_view),
     "s4_prefer_first": _preferred,
     "t10_recent_per_tenant": _of("events", lambda d: ex.recent_per(d.withColumn("tenant", F.col("user_id") % 7), "tenant", "event_id", 5, "event_type")),
     "w1_override_order": _of("events", _overridden),
@@ -144,6 +145,8 @@ ORACLES = {
     "p16_result_edges": _G + "x AS (SELECT DISTINCT src || '__' || etype || '__' || dst AS edge FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)) SELECT edge, (SELECT count(*) FROM x) >= 500 AS has_more FROM x",
     "s4_prefer_first": "SELECT user_id, branch, event_id FROM (SELECT user_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS branch, min(event_id) AS event_id FROM events WHERE event_type IN ('purchase', 'view', 'click') GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY branch) = 1",
     "t10_recent_per_tenant": "SELECT user_id % 7 AS tenant, event_id, event_type, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id DESC) AS rank FROM events QUALIFY rank <= 5",
+    "p16_result": _G + """x AS (SELECT DISTINCT src || '__' || etype || '__' || dst AS edge FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)), m AS (SELECT (SELECT count(*) FROM x) >= 500 OR (SELECT count(DISTINCT id) FROM v) >= 500 AS has_more)
+SELECT 'node' AS kind, id AS key, min(coalesce(label, '')) AS label, any_value(has_more) AS has_more FROM v, m GROUP BY id UNION ALL SELECT 'edge', edge, '', has_more FROM x, m""",
     "w1_override_order": "WITH x AS (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN (props ->> '$.k')::BIGINT % 20 END AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT event_id, n + coalesce(max(greatest(0, y - n)) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS position FROM x",
     "p18_hits": _hits_sql(2),
     "p19_weak_components": f"WITH k AS ({_CHAIN_SQL}), {_NODES} SELECT id, min(id) OVER (PARTITION BY (id - 1) // 7) AS component FROM n",

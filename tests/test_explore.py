@@ -68,9 +68,8 @@ def test_explicit_positions_lift_the_counter(spark):
     for x in explicit:
         at = max(at + 1, x or 0)
         want.append(at)
-    assert [r.position for r in ex.override_order(rows, ["k"], "n", "x").orderBy("n").collect()] == want
-
-
+    for cell in (2, 100_000):
+        assert [r.position for r in ex.override_order(rows, ["k"], "n", "x", cell).orderBy("n").collect()] == want
 def test_diagnostics(spark):
     v = spark.createDataFrame([("t", "Table", "t"), ("u", "Table", "u"), ("r", "Routine", "r"), ("q", "Routine", "q")], V)
     e = spark.createDataFrame([("s", "t", "WRITES_TO"), ("r", "q", "CALLS")], E)

@@ -41,8 +41,9 @@ def test_chain_breaks_where_a_link_was_altered(spark):
         digest = sha256(f"{prev}|p{i}".encode()).hexdigest()
         rows.append((i, "c", f"p{i}" if i != 2 else "changed", prev, digest))
         prev = digest
-    broken = rp.chain_breaks(spark.createDataFrame(rows, "n int, c string, p string, prev string, hash string"), "c", "n", F.col("p"), "prev", "hash")
-    assert [r.n for r in broken.collect()] == [2]
+    for cell in (1, 2, 100_000):
+        broken = rp.chain_breaks(spark.createDataFrame(rows, "n int, c string, p string, prev string, hash string"), "c", "n", F.col("p"), "prev", "hash", cell)
+        assert [r.n for r in broken.collect()] == [2]
 
 
 def test_file_names(spark):
