@@ -39,7 +39,7 @@ WORDS = 300_000  # matches that are encoded together
 REMEMBERED = 600_000  # words whose tokens a worker keeps
 
 CONTRACT = """
-WITH RECURSIVE step AS (
+WITH RECURSIVE step AS MATERIALIZED (
     SELECT word, pos, token, 0 AS round FROM start
   UNION ALL (
     WITH paired AS MATERIALIZED (
@@ -54,7 +54,7 @@ WITH RECURSIVE step AS (
     WHERE before IS DISTINCT FROM least & 4294967295
   )
 )
-SELECT word, token FROM (SELECT *, max(round) OVER (PARTITION BY word) AS last FROM step) WHERE round = last ORDER BY word, pos
+SELECT word, token FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) ORDER BY word, pos
 """
 DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary USING (token) GROUP BY doc"
 
@@ -76,6 +76,7 @@ class Coder:
         self.ranks, self.pattern = parse_ranks(data), regex.compile(pattern)
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.ids = np.array(sorted(self.token), np.int32)
+        self.decimal = {rank: str(rank) for rank in self.token}
         self._forget()
         self.bytes = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.base = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -270,7 +271,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def digests(own: Coder, lists: list[np.ndarray]):
         for ids, raw in zip(lists, own.decode(lists), strict=True):
-            yield len(ids), hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
+            yield len(ids), hashlib.sha256(" ".join(map(own.decimal.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     def run(batches):
         for batch in batches:
