@@ -161,16 +161,17 @@ class Index:
         if not n or not len(ids):
             return np.empty(0, np.int64), np.empty(0)
         at = self.head[ids]
-        tail, heads, q = ids[at < 0], at[at >= 0], w[at >= 0]
+        tail, q = ids[at < 0], np.zeros(self.columns.shape[1])
+        q[at[at >= 0]] = w[at >= 0]  # over all head words: whole rows of columns are read faster than parts of them
         lo, hi = self.start[tail], self.start[tail + 1]
         lists = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         rows = np.concatenate([np.empty(0, np.int64), *(self.rows[s] for s in lists)])
         part = np.bincount(rows, np.concatenate([np.empty(0), *(self.weights[s] for s in lists)]) * np.repeat(w[at < 0], hi - lo), minlength=n)
-        bound = part + np.repeat(q @ self.tops[heads], BLOCK)[:n]
+        bound = part + np.repeat(q @ self.tops, BLOCK)[:n]
         seed = np.argpartition(-bound, k - 1)[:k] if n > k else np.arange(n)
-        least = (part[seed] + self.columns[np.ix_(seed, heads)] @ q).min() if n > k else 0.0
+        least = (part[seed] + self.columns[seed] @ q).min() if n > k else 0.0
         pick = np.flatnonzero((bound >= least - 1e-12) & (bound > 0))
-        cosines = part[pick] + self.columns[np.ix_(pick, heads)] @ q
+        cosines = part[pick] + self.columns[pick] @ q
         order = np.lexsort((pick, -np.round(cosines, 12)))[:k]
         order = order[cosines[order] > 0]
         return pick[order], cosines[order]
