@@ -124,7 +124,7 @@ def filter_candidates(graph: Graph, atoms: DataFrame) -> DataFrame:
 
 
 def nesting(graph: Graph) -> DataFrame:
-    """Statements by how deep they stand, where no chain is longer than 30: depth, n."""
+    """Root and nested statements and the statements right below them: is_root, n, n_children."""
     links = graph.link("CHILD_OF", "sub", "up")
     kids = links.groupBy(F.col("up").alias("stmt")).agg(_n("kids"))
     own = graph.typed("stmt", "Statement").join(kids, "stmt", "left").join(root_of(graph).withColumnRenamed("sub", "stmt"), "stmt", "left")
