@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 SPAN = 64  # bytes by which chunks of a long word advance; a chunk is twice as long
 STATES = 3_000_000  # rows that one recursive query may make
 WORDS = 300_000  # matches that are encoded together
-REMEMBERED = 600_000  # words whose tokens a worker keeps
+REMEMBERED = 1_200_000  # words whose tokens a worker keeps
 
 CONTRACT = """
 WITH RECURSIVE step AS MATERIALIZED (
