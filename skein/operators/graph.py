@@ -13,11 +13,13 @@ FLOW = ("DATA_FLOW", "FILTER_FLOW", "JOIN_FLOW", "ATOM_REF_COLUMN")
 def reach(edges: DataFrame, start: DataFrame, max_hops: int, reverse: bool = False) -> DataFrame:
     """Least depth (id, depth) of every node within 1..max_hops steps of the ids in ``start`` (id).
 
-    Each hop meets its frontier with the edges, drops nodes seen before and is written. ``edges`` are read once a hop, so they
-    should be a stored graph's or another saved frame. The start itself is never returned.
+    Each hop meets its frontier with the edges, which are written once, drops nodes seen before and is written. The start itself
+    is never returned.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near is not null and far is not null")
+    if max_hops > 1:
+        steps = saved(steps, "steps")
     seen = start.select("id", F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, max_hops + 1):

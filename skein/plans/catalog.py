@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import graph
 from skein.operators.lineage import Graph
-from skein.plans.stored import stored_graph
+from skein.plans.derived import derived_graph
 from skein.session import table
 from skein.streaming import events as ev
 
@@ -43,9 +43,8 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bound_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph, from its store."""
     tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-    return stored_graph(spark, sf_dir, "links", tables, lambda: (_vertices(spark, sf_dir), _edges(spark, sf_dir)))
+    return derived_graph(spark, sf_dir, "links", tables, lambda: (_vertices(spark, sf_dir), _edges(spark, sf_dir)))
 
 
 def bound_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

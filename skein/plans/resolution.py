@@ -9,6 +9,7 @@ from skein.operators import graph as gr
 from skein.operators import inventory as inv
 from skein.operators import reports as rp
 from skein.operators import resolution as rs
+from skein.operators.lineage import root_of
 from skein.operators.session_report import CURSORS, STATUSES, TYPES
 from skein.plans.model import ATOMS, WITH, bound, frame, in_sql
 from skein.plans.sessions import RECORDS, records
@@ -33,7 +34,7 @@ def _lookups(spark, sf_dir):
     owner = g.link("CONTAINS_STMT", "label", "id")
     scopes = g.vertices.filter("vtype = 'Table'").select("id", F.col("scope").alias("label"))
     rows = atoms.select("stmt", "tbl", "col", "text", F.when(F.col("output_order").isNotNull(), F.concat(F.regexp_replace("stmt", "stmt", "out"), F.lit("."), F.col("output_order").cast("string"))).alias("out"))
-    found = rs.with_lookups(rows, {"output_name": ("out", of("OutputColumn")), "column_name": ("col", of("Column")), "table_name": ("tbl", of("Table")), "statement_name": ("stmt", of("Statement")), "routine": ("stmt", owner), "schema": ("tbl", scopes), "top": ("stmt", g.tops.select(F.col("sub").alias("id"), F.col("root").alias("label")))})
+    found = rs.with_lookups(rows, {"output_name": ("out", of("OutputColumn")), "column_name": ("col", of("Column")), "table_name": ("tbl", of("Table")), "statement_name": ("stmt", of("Statement")), "routine": ("stmt", owner), "schema": ("tbl", scopes), "top": ("stmt", root_of(g).select(F.col("sub").alias("id"), F.col("root").alias("label")))})
     return found.drop("out")
 
 
@@ -54,7 +55,7 @@ QUERIES = {
     "g49_result_kinds": _records(lambda r: r.filter("kind = 'atom'").groupBy(F.lower("status").alias("result_kind"), F.col("detail").alias("context")).agg(F.count(F.lit(1)).alias("n"))),
     "j6_unused_tables": _graph(lambda g: gr.without_edge(g.vertices, g.edges, "Table", "READS_FROM")),
     "j13_all_lookups": _lookups,
-    "p32_statement_extras": lambda spark, sf_dir: rs.statement_extras(records(spark, sf_dir), bound(spark, sf_dir).tops, "stmt:3"),
+    "p32_statement_extras": lambda spark, sf_dir: rs.statement_extras(records(spark, sf_dir), root_of(bound(spark, sf_dir)), "stmt:3"),
 }
 
 _R = f"WITH r AS ({in_sql(RECORDS)}) "

@@ -187,7 +187,7 @@ class GraphStore:
         files, folder = self._files(f"{self.path}/{kind}/version={version}")
         if not files.exists(folder):
             return {}
-        read = self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}/version={version}")
+        read = self.spark.read.schema(f"{TYPE[kind]} string, bucket int").option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}/version={version}")
         counted = read.groupBy(TYPE[kind], "bucket").count().collect()
         return {f"{TYPE[kind]}={t}/bucket={b}": n for t, b, n in counted}
 
