@@ -3,6 +3,8 @@
 import random
 from itertools import product
 
+import pytest
+
 from skein.operators import community as cm
 from skein.operators import display as dp
 from skein.operators.lineage import Graph
@@ -94,3 +96,10 @@ def test_ring_of_cliques_is_cut_between_them(spark):
     of = {r.id: r.community for r in cm.by_modularity(frame(spark, edges)).collect()}
     assert all(of[f"{c}{i}"] == of[f"{c}0"] == f"{c}0" for c in "abcdef" for i in range(5)) and len(set(of.values())) == 6
     assert cm.by_modularity(frame(spark, [])).count() == 0
+
+
+def test_nodes_of_one_neighbour_join_it_without_moving(spark, monkeypatch):
+    monkeypatch.setattr(cm, "_local_moving", lambda *_: pytest.fail("stars need no moving"))
+    edges = [(f"s{i:02}", f"t{i % 3}") for i in range(30)] + [("t0", "s00"), ("x", "y"), ("z", "z")]
+    of = {r.id: r.community for r in cm.by_modularity(frame(spark, edges)).collect()}
+    assert of == {f"s{i:02}": f"s0{i % 3}" for i in range(30)} | {f"t{k}": f"s0{k}" for k in range(3)} | {"x": "x", "y": "x"}
