@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.session import saved
+from skein.session import dropped, saved
 
 MODES = ("DISABLED", "REMOTE", "REMOTE_BATCH")
 KEYS = {"vertices": ("id",), "edges": ("src", "dst", "etype")}
@@ -152,11 +152,13 @@ class GraphStore:
         for kind, rows in batch.items():
             rest = [c for c in rows.columns if c not in KEYS[kind] and c != order]
             least = F.min(F.struct(*([order] if order in rows.columns else []), *rest)) if rest else F.lit(None).cast("string")
-            counted = saved(rows.groupBy(*KEYS[kind]).agg(least.alias("row"), F.count(F.lit(1)).alias("asked")), f"batch-{kind}")
+            batch[kind] = counted = saved(rows.groupBy(*KEYS[kind]).agg(least.alias("row"), F.count(F.lit(1)).alias("asked")), f"batch-{kind}")
             asked[kind] = counted.agg(F.sum("asked")).first()[0] or 0
             kept[kind] = counted.select(*KEYS[kind], *(F.col("row")[c].alias(c) for c in rest))
         for _ in range(tries):
             if (counts := self._attempt(asked, kept)) is not None:
+                for counted in batch.values():
+                    dropped(counted)
                 return counts
         raise RuntimeError(f"{tries} other writers came first")
 
@@ -166,6 +168,8 @@ class GraphStore:
         ids = kept["vertices"].select("id").union(self.vertices(manifest=base).select("id")) if base.number else kept["vertices"].select("id")
         known = kept["edges"].join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         known = known.select(*kept["edges"].columns)
+        if base.number:
+            known = saved(known, "known")  # what is new and how many are dropped are both read off it
         for kind, rows in (("vertices", kept["vertices"]), ("edges", known)):
             there = [p for p in self._touched(kept[kind], kind) if p in base.parts[kind]] if base.number else []
             new = rows.join(self._read(kind, there, base).select(*KEYS[kind]), list(KEYS[kind]), "left_anti") if there else rows
@@ -173,6 +177,7 @@ class GraphStore:
             fresh[kind] = self._written(kind, version)
             counts[kind] = sum(fresh[kind].values())
         counts |= {"repeated_vertices": asked["vertices"] - counts["vertices"], "dropped_edges": kept["edges"].count() - (known.count() if base.number else counts["edges"])}
+        dropped(known)
         counts["repeated_edges"] = asked["edges"] - counts["dropped_edges"] - counts["edges"]
         schemas = {kind: kept[kind].schema.json() for kind in KEYS}
         if self._swap(base.with_version(version, schemas, {kind: list(own) for kind, own in fresh.items()})):
