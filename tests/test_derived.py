@@ -4,10 +4,11 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from skein.operators import lineage as ln
 from skein.operators.lineage import root_of
 from skein.plans.catalog import bound_graph
 from skein.plans.model import bound
-from skein.session import scratch
+from skein.session import saved, scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +35,18 @@ def test_roots_are_written_once_a_graph(spark):
     graph = bound(spark, SF)
     assert root_of(graph) is root_of(bound(spark, SF))
     assert root_of(graph).filter(F.col("sub") == "stmt:2").first().root == "stmt:0"
+
+
+def test_a_schema_view_looks_only_at_its_own_uses_and_columns(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(ln, "saved", lambda df, name, **k: written.setdefault(name, saved(df, name, **k)) if name in ("uses", "columns") else saved(df, name, **k))
+    graph = bound(spark, SF)
+    held = {r.dst for r in graph.of("CONTAINS_TABLE").filter("src = 'schema:1'").collect()}
+    whole = graph.roots("root").select(F.col("root").alias("sub"), "root")
+    every = ln.column_flow(graph, whole.unionByName(root_of(graph))).unionByName(ln.filter_flow(graph, whole)).filter(F.col("src").isin(*held))
+    want = [tuple(r) for r in every.orderBy("src", "dst", "etype", "source_handle", "target_handle").collect()]
+    for limit in (7, len(want) + 1):
+        view = ln.explore_schema(graph, "schema:1", column_limit=limit).filter("source_handle <> ''")
+        assert sorted(tuple(r) for r in view.collect()) == want[:limit] and want
+    assert {r.dst for r in written["uses"].collect()} <= held
+    assert {r.tbl for r in written["columns"].collect()} <= held
