@@ -10,15 +10,15 @@ from skein.session import saved
 FLOW = ("DATA_FLOW", "FILTER_FLOW", "JOIN_FLOW", "ATOM_REF_COLUMN")
 
 
-def reach(edges: DataFrame, start: DataFrame, max_hops: int, reverse: bool = False) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, max_hops: int, reverse: bool = False, stored: bool = False) -> DataFrame:
     """Least depth (id, depth) of every node within 1..max_hops steps of the ids in ``start`` (id).
 
-    Each hop meets its frontier with the edges, which are written once, drops nodes seen before and is written. The start itself
-    is never returned.
+    Each hop meets its frontier with the edges, which are written once where they are not ``stored``, drops nodes seen before and
+    is written. The start itself is never returned.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(near).alias("near"), F.col(far).alias("far")).filter("near is not null and far is not null")
-    if max_hops > 1:
+    if max_hops > 1 and not stored:
         steps = saved(steps, "steps")
     seen = start.select("id", F.lit(0).alias("depth"))
     frontier = seen
@@ -49,8 +49,8 @@ def lineage(vertices: DataFrame, edges: DataFrame, node: str, direction: str = "
     """Nodes that DATA_FLOW edges reach; ``both`` puts the two directions after each other without merging them."""
     if direction not in ("upstream", "downstream", "both"):
         raise ValueError(f"unknown direction {direction}")
-    start, flow = vertices.filter(F.col("id") == node).select("id"), edges.filter(F.col("etype") == "DATA_FLOW")
-    parts = [reach(flow, start, max_hops, reverse=d == "upstream").withColumn("direction", F.lit(d)) for d in ("upstream", "downstream") if direction in (d, "both")]
+    start, flow = vertices.filter(F.col("id") == node).select("id"), saved(edges.filter(F.col("etype") == "DATA_FLOW").select("src", "dst"), "steps")
+    parts = [reach(flow, start, max_hops, reverse=d == "upstream", stored=True).withColumn("direction", F.lit(d)) for d in ("upstream", "downstream") if direction in (d, "both")]
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return vertices.join(every, "id").select("id", "vtype", "direction", "depth")
 

@@ -1,6 +1,7 @@
 import pytest
 
 from skein.operators import graph
+from skein.session import saved
 from skein.streaming import events as ev
 
 V, E = "id string, vtype string, label string", "src string, dst string, etype string"
@@ -28,6 +29,14 @@ def test_lineage_both_keeps_each_direction(small):
         graph.lineage(v, e, "a", "sideways")
 
 
+def test_lineage_writes_its_edges_once(small, monkeypatch):
+    v, e = small
+    names = []
+    monkeypatch.setattr(graph, "saved", lambda df, name, **k: (names.append(name), saved(df, name, **k))[1])
+    assert {(r.id, r.direction, r.depth) for r in graph.lineage(v, e, "a").collect()} == {("c", "upstream", 1), ("b", "upstream", 2), ("b", "downstream", 1), ("c", "downstream", 2)}
+    assert names.count("steps") == 1
+
+
 def test_degree_reports(small):
     v, e = small
     assert {(r.id, r.read_by, r.written_by) for r in graph.table_degrees(e).collect()} == {("a", 1, 1), ("b", 0, 1)}
