@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.lineage import Graph, root_of
+from skein.session import saved
 
 _N = F.count
 
@@ -166,10 +167,14 @@ def output_atoms(graph: Graph, atoms: DataFrame, statement: str) -> DataFrame:
 
 
 def atom_references(graph: Graph, atoms: DataFrame) -> DataFrame:
-    """Atoms with the labels of what they refer to, empty where unknown, in order of statement and text: stmt, text, table_label, column_label, routine."""
-    name = lambda key, to: graph.vertices.select(F.col("id").alias(key), F.col("label").alias(to))
+    """Atoms with the labels of the tables and columns they refer to, empty where unknown: stmt, text, table_label, column_label, routine.
+
+    Names of the tables that atoms refer to are written first; where these are few, atoms are not shuffled for them.
+    """
+    name = lambda vtype, key, to: graph.vertices.filter(F.col("vtype") == vtype).select(F.col("id").alias(key), F.col("label").alias(to))
     owner = graph.link("CONTAINS_STMT", "routine", "stmt").groupBy("stmt").agg(F.min("routine").alias("routine"))
-    met = atoms.select("stmt", "text", "tbl", "col").join(name("tbl", "table_label"), "tbl", "left").join(name("col", "column_label"), "col", "left").join(owner, "stmt", "left")
+    tables = saved(name("Table", "tbl", "table_label").join(atoms.select("tbl").distinct(), "tbl", "left_semi"), "tables")
+    met = atoms.select("stmt", "text", "tbl", "col").join(tables, "tbl", "left").join(name("Column", "col", "column_label"), "col", "left").join(owner, "stmt", "left")
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return met.select("stmt", "text", blank("table_label"), blank("column_label"), blank("routine"))
 

@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from skein.operators import inventory as inv
 from skein.operators import lineage as ln
 from skein.operators.lineage import root_of
 from skein.plans.catalog import bound_graph
@@ -50,3 +51,11 @@ def test_a_schema_view_looks_only_at_its_own_uses_and_columns(spark, monkeypatch
         assert sorted(tuple(r) for r in view.collect()) == want[:limit] and want
     assert {r.dst for r in written["uses"].collect()} <= held
     assert {r.tbl for r in written["columns"].collect()} <= held
+
+
+def test_atoms_look_up_tables_and_columns_alone(spark):
+    v = [("t", "Table", "T", None, None), ("t", "OutputColumn", "x", None, None), ("c", "Column", "C", None, None), ("c", "Statement", "y", None, None)]
+    g = ln.Graph(spark.createDataFrame(v, "id string, vtype string, label string, scope string, parent string"), spark.createDataFrame([("r", "s", "CONTAINS_STMT"), ("q", "s", "CONTAINS_STMT")], "src string, dst string, etype string"))
+    atoms = spark.createDataFrame([("s", "t.c", "t", "c"), ("z", "u", "u", None), (None, "n", None, "c")], "stmt string, text string, tbl string, col string")
+    got = sorted(tuple(r) for r in inv.atom_references(g, atoms).select("text", "table_label", "column_label", "routine").collect())
+    assert got == [("n", "", "C", ""), ("t.c", "T", "C", "q"), ("u", "", "", "")]
