@@ -8,6 +8,7 @@ import pytest
 from skein.operators import community as cm
 from skein.operators import display as dp
 from skein.operators.lineage import Graph
+from skein.plans import display as plans
 
 EDGES = "src string, dst string, etype string"
 
@@ -103,3 +104,10 @@ def test_nodes_of_one_neighbour_join_it_without_moving(spark, monkeypatch):
     edges = [(f"s{i:02}", f"t{i % 3}") for i in range(30)] + [("t0", "s00"), ("x", "y"), ("z", "z")]
     of = {r.id: r.community for r in cm.by_modularity(frame(spark, edges)).collect()}
     assert of == {f"s{i:02}": f"s0{i % 3}" for i in range(30)} | {f"t{k}": f"s0{k}" for k in range(3)} | {"x": "x", "y": "x"}
+
+
+def test_communities_are_those_of_the_whole_graph(spark):
+    edges = [("s1", "t1", "READS_FROM"), ("s1", "o1", "HAS_OUTPUT_COL"), ("c1", "o1", "DATA_FLOW"), ("s2", "t2", "WRITES_TO"), ("r1", "r2", "CALLS")]
+    of = {r.id: r.community for r in plans._modularity(Graph(spark.range(0), frame(spark, edges))).collect()}
+    assert set(of) == {n for a, b, _ in edges for n in (a, b)} and of["s1"] == of["t1"] and of["c1"] == of["o1"]
+    assert of["s2"] == of["t2"] == "s2" and of["r1"] == of["r2"] == "r1"
