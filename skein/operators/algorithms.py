@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.session import dropped, saved
 
@@ -42,12 +48,71 @@ def hits(edges: DataFrame, rounds: int | None = None, tolerance: float = 1e-8, m
     return nodes.join(named(hub, "hub"), "id", "left").join(named(authority, "authority"), "id", "left").select("id", zero("hub"), zero("authority"))
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """Least node of each weakly connected component: id, component. Labels also jump to the label of their label each round.
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the least node of its component under links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        at, to = label[a], label[b]
+        low = np.minimum(at, to)
+        np.minimum.at(label, at, low)
+        np.minimum.at(label, to, low)
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label
+
+
+def _stars(batch: int):
+    """Tells of every ``batch`` links of a partition their nodes (id), each with a number of its component there (hub) and whether it is its least node."""
+
+    def star(rows: list[pa.RecordBatch], base: int) -> tuple[pa.RecordBatch, int]:
+        table = pa.Table.from_batches(rows)
+        ends = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks]).combine_chunks().dictionary_encode()
+        codes, names = ends.indices.to_numpy(zero_copy_only=False), ends.dictionary
+        label = _joined(codes[: table.num_rows], codes[table.num_rows :], len(names))
+        first = pa.table({"hub": label, "id": names}).group_by("hub").aggregate([("id", "min")])
+        least = pc.equal(names, first["id_min"].combine_chunks().take(pc.index_in(pa.array(label), first["hub"].combine_chunks())))
+        return pa.record_batch({"id": names, "hub": pa.array(label + base), "least": least}), base + len(names)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, base = [], 0, TaskContext.get().partitionId() << 40
+        for rows in batches:
+            held.append(rows)
+            n += rows.num_rows
+            if n >= batch:
+                out, base = star(held, base)
+                yield out
+                held, n = [], 0
+        if n:
+            yield star(held, base)[0]
+
+    return told
+
+
+def weak_components(edges: DataFrame, batch: int = 4_000_000) -> DataFrame:
+    """Least node of each weakly connected component: id, component.
+
+    Links are read once: ``batch`` links of a partition at a time become the stars of their components, a row a node. A node that
+    lies in several stars links their hubs, so what is left to join are numbers of hubs, few where links lie well or are many.
+    """
+    pairs = edges.filter("src is not null and dst is not null").select("src", "dst")
+    kind = T.StructType([T.StructField("id", pairs.schema["src"].dataType), T.StructField("hub", T.LongType()), T.StructField("least", T.BooleanType())])
+    # a node is once in a batch, so no node has many rows
+    low = pairs.mapInArrow(_stars(batch), kind).withColumn("low", F.min("hub").over(Window.partitionBy("id")))
+    kept = F.when((F.col("hub") == F.col("low")) | F.col("least"), F.col("id"))
+    stars = saved(low.select(kept.alias("id"), "hub", "low", "least"), "stars")
+    labels = _least_labels(stars.filter("hub <> low").select(F.col("hub").alias("src"), F.col("low").alias("dst")))
+    of = lambda hub: labels.select(F.col("id").alias(hub), "label")
+    named = stars.filter("least").join(of("hub"), "hub", "left").groupBy(F.coalesce("label", "hub").alias("label")).agg(F.min("id").alias("component"))
+    return stars.filter("hub = low").join(of("low"), "low", "left").select("id", F.coalesce("label", "low").alias("label")).join(named, "label").select("id", "component")
+
+
+def _least_labels(pairs: DataFrame) -> DataFrame:
+    """Least node of each component of links (src, dst): id, label. Labels also jump to the label of their label each round.
 
     Jumping makes the rounds grow with the logarithm of the longest chain rather than with the chain.
     """
-    pairs = edges.filter("src is not null and dst is not null").select("src", "dst")
     both = saved(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
     labels = start = saved(both.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("label")), "labels")
     while True:
@@ -64,7 +129,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
         start = fresh
         if fresh.filter("moved").isEmpty():
             dropped(both)
-            return labels.withColumnRenamed("label", "component")
+            return labels
 
 
 def _least_both_ways(links: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:

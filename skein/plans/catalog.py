@@ -42,6 +42,25 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def bound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends (src, dst) of the graph's edges of all types, parallel ones repeated, for what asks only which nodes are linked.
+
+    What a line links stays together, and no line is shuffled to tell it from others.
+    """
+    end = lambda name, key: F.concat(F.lit(f"{name}:"), F.col(key).cast("string"))
+    link = lambda src, dst: F.struct(end(*src).alias("src"), end(*dst).alias("dst"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    part = ("part", "l_partkey")
+    made = (
+        table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(link(("region", "n_regionkey"), ("customer", "c_custkey")).alias("link")),
+        orders.select(link(("orders", "o_orderkey"), ("customer", "o_custkey")).alias("link")),
+        lines.select(F.explode(F.array(link(("orders", "l_orderkey"), part), link(part, ("supplier", "l_suppkey")))).alias("link")),
+        lines.filter("l_linenumber = 1").select("l_orderkey", "l_suppkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(link(("supplier", "l_suppkey"), ("customer", "o_custkey")).alias("link")),
+    )
+    return reduce(DataFrame.unionByName, made).select("link.*")
+
+
 def bound_graph(spark: SparkSession, sf_dir: str) -> Graph:
     tables = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
     return derived_graph(spark, sf_dir, "links", tables, lambda: (_vertices(spark, sf_dir), _edges(spark, sf_dir)))

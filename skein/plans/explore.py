@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import algorithms, diagnostics as dg, explore as ex
-from skein.plans.catalog import _E, _V, bound_edges, bound_vertices
+from skein.plans.catalog import _E, _V, bound_edges, bound_links, bound_vertices
 from skein.session import table
 
 
@@ -101,7 +101,7 @@ QUERIES = {
     "p20_strong_components": _of("events", lambda d: algorithms.strong_components(_RINGS(d))),
     # over the whole graph, to convergence: tested by brute force
     "p18_hits_settled": _of("lineitem", lambda d: algorithms.hits(_LINKS(d))),
-    "p19_graph_components": lambda spark, sf_dir: algorithms.weak_components(bound_edges(spark, sf_dir)),
+    "p19_graph_components": lambda spark, sf_dir: algorithms.weak_components(bound_links(spark, sf_dir)),
     "p20_graph_components": lambda spark, sf_dir: algorithms.strong_components(bound_edges(spark, sf_dir)),
 }
 

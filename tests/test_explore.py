@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import algorithms, diagnostics as dg, explore as ex
+from skein.plans import catalog
 from skein.session import saved
 
 V, E = "id string, vtype string, label string", "src string, dst string, etype string"
@@ -28,6 +30,29 @@ def test_components_against_brute_force(spark):
     assert {tuple(r) for r in algorithms.strong_components(edges).collect()} == {(n, min(m for m in there[n] if n in there[m])) for n in nodes}
 
 
+def test_weak_components_join_stars_of_batches(spark):
+    rng = random.Random(5)
+    pairs = sorted({(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(45)}) + [(f"p{i:02}", f"p{i + 1:02}") for i in range(30)] + [("z", "z"), ("é", "~")]
+    whole = reachable({n for p in pairs for n in p}, pairs + [(b, a) for a, b in pairs])
+    edges = spark.createDataFrame(pairs + pairs[:9] + [(None, "n1"), ("n1", None)], "src string, dst string").repartition(3)
+    for batch in (2, 7, 1000):
+        assert sorted(tuple(r) for r in algorithms.weak_components(edges, batch).collect()) == sorted((n, min(m)) for n, m in whole.items())
+
+
+def test_links_read_once_leave_only_hubs_to_join(spark, monkeypatch):
+    left, joined = [], algorithms._least_labels
+    monkeypatch.setattr(algorithms, "_least_labels", lambda pairs: left.append(pairs.count()) or joined(pairs))
+    edges = spark.range(1000).select(F.concat(F.lit("a"), (F.col("id") % 100).cast("string")).alias("src"), F.concat(F.lit("b"), (F.col("id") % 7).cast("string")).alias("dst"))
+    assert {tuple(r) for r in algorithms.weak_components(edges.coalesce(1)).collect()} == {(f"a{i}", "a0") for i in range(100)} | {(f"b{i}", "a0") for i in range(7)}
+    assert left == [0]
+
+
+def test_repeated_links_have_the_components_of_the_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    edges, links = catalog.bound_edges(spark, sf).select("src", "dst").distinct(), catalog.bound_links(spark, sf).distinct()
+    assert edges.exceptAll(links).isEmpty() and links.exceptAll(edges).isEmpty()
+
+
 def test_algorithms_on_an_empty_graph(spark):
     empty = spark.createDataFrame([], "src string, dst string")
     assert algorithms.weak_components(empty).count() == algorithms.strong_components(empty).count() == algorithms.hits(empty, 2).count() == 0
