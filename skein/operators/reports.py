@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -140,36 +144,119 @@ def chain_breaks(df: DataFrame, key: str, order: str, payload: Column, previous:
     return met.withColumn("_broken", (fresh != F.col(stored)) | (F.col(previous) != before)).filter("_broken").select(*df.columns)
 
 
-def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def _packed(n: int, most: int = 4_000_000):
+    """Links between numbered nodes (src_block, src_at, dst_block, dst_at) as arrays of positions in bytes, by pairs of ``n`` blocks: cell, src, dst."""
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        of = {name: rows[name].to_numpy() for name in rows.column_names}
+        cell = of["dst_block"] * n + of["src_block"]
+        order = np.argsort(cell, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            yield pa.record_batch({"cell": [int(cell[part[0]])], "src": [of["src_at"][part].tobytes()], "dst": [of["dst_at"][part].tobytes()]}, _CELLS)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield from pack(held)
+                held, rows = [], 0
+        if rows:
+            yield from pack(held)
+
+    return packed
+
+
+_CELLS = pa.schema([("cell", pa.int32()), ("src", pa.binary()), ("dst", pa.binary())])
+_GIVEN = pa.schema([("block", pa.int32()), ("given", pa.binary())])
+_SCORES = pa.schema([("block", pa.int32()), ("score", pa.binary()), ("share", pa.binary()), ("n_out", pa.binary()), ("held", pa.float64()), ("moved", pa.float64())])
+_DDL = {"cells": "cell int, src binary, dst binary", "given": "block int, given binary", "scores": "block int, score binary, share binary, n_out binary, held double, moved double"}
+
+
+def _scored(block: int, score: np.ndarray, n_out: np.ndarray, moved: float) -> pa.Table:
+    """A block's scores, what each node gives over a link, what dangling nodes hold and how far scores moved."""
+    share = np.divide(score, n_out, out=np.zeros(len(score)), where=n_out > 0)
+    return pa.table([[block], [score.tobytes()], [share.tobytes()], [n_out.tobytes()], [float(score[n_out == 0].sum())], [moved]], schema=_SCORES)
+
+
+def _given(n: int, sizes: dict[int, int]):
+    """What the nodes of one block give to those of another: block, given."""
+
+    def give(links: pa.Table, sent: pa.Table) -> pa.Table:
+        if not links.num_rows:
+            return _GIVEN.empty_table()
+        block, share = links["cell"][0].as_py() // n, np.frombuffer(sent["share"][0].as_buffer())
+        given = np.zeros(sizes[block])
+        for src, dst in zip(links["src"], links["dst"], strict=True):
+            given += np.bincount(np.frombuffer(dst.as_buffer(), np.int32), share[np.frombuffer(src.as_buffer(), np.int32)], len(given))
+        return pa.table([[block], [given.tobytes()]], schema=_GIVEN)
+
+    return give
+
+
+def _rescored(damping: float, dealt: float):
+    """A block's next scores from what is given to it."""
+
+    def score(old: pa.Table, given: pa.Table) -> pa.Table:
+        was, n_out = np.frombuffer(old["score"][0].as_buffer()), np.frombuffer(old["n_out"][0].as_buffer(), np.int64)
+        fresh = (1 - damping) + damping * (sum((np.frombuffer(g.as_buffer()) for g in given["given"]), np.zeros(len(was))) + dealt)
+        return _scored(old["block"][0].as_py(), fresh, n_out, float(np.abs(fresh - was).sum()))
+
+    return score
+
+
+def _first_scores(nodes: pa.Table) -> pa.Table:
+    n_out = np.zeros(nodes.num_rows, np.int64)
+    n_out[nodes["at"].to_numpy()] = nodes["n_out"].to_numpy()
+    return _scored(nodes["block"][0].as_py(), np.ones(len(n_out)), n_out, 0.0)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, score in zip(batch["block"], batch["score"], strict=True):
+            scores = np.frombuffer(score.as_buffer())
+            for at in range(0, len(scores), 100_000):
+                some = scores[at : at + 100_000]
+                yield pa.record_batch({"block": np.full(len(some), block.as_py(), np.int32), "at": np.arange(at, at + len(some), dtype=np.int32), "score": some})
+
+
+def page_rank(edges: DataFrame, rounds: int | None = None, damping: float = 0.85, tolerance: float = 1e-6, block: int = 2_000_000) -> DataFrame:
     """Scores (id, score) over distinct edges (src, dst), at a mean of 1: what dangling nodes hold is dealt out evenly.
 
-    Rounds go on until scores move by less than ``tolerance`` on the mean, or for a given number. The edges carry their share,
-    lie partitioned by src and are written once; each round is one join and one aggregate, and replaces the one before.
+    Rounds go on until scores move by less than ``tolerance`` on the mean, or for a given number. A round multiplies a matrix in
+    blocks with a vector: nodes are numbered in at least four blocks of about ``block``, links lie by pairs of blocks and stay where
+    they are, and what is shuffled are blocks' scores, once a pair of blocks, and what the pairs sum up to.
     """
-    links = edges.select("src", "dst").distinct()
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
-    links = saved(links.join(out, "src"), "links")
-    linked = links.select(F.col("src").alias("id"), F.lit(False).alias("dangles")).unionByName(links.select(F.col("dst").alias("id"), F.lit(True).alias("dangles")))
-    held, moved = F.sum(F.when(F.col("dangles"), F.col("score")).otherwise(0.0)).alias("held"), F.sum("moved").alias("moved")
+    links = saved(edges.filter("src IS NOT NULL").select("src", "dst").distinct(), "links")
+    out = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"))
+    nodes = saved(links.select(F.col("dst").alias("id")).distinct().join(out, "id", "full_outer").select("id", F.coalesce("n_out", F.lit(0)).alias("n_out")), "nodes")
+    count, k = nodes.count(), 0
+    n = max(4, -(-count // block))
+    number = F.monotonically_increasing_id()
+    placed = nodes.repartition(n, "id").select("id", "n_out", F.shiftright(number, 33).cast("int").alias("block"), number.bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("at"))
+    nodes = saved(placed, "numbered", instead_of=nodes)
+    sizes = {b: size for b, size in nodes.groupBy("block").count().collect()}  # one row a block
+    of = lambda end: nodes.select(F.col("id").alias(f"{end}_id"), F.col("block").alias(f"{end}_block"), F.col("at").alias(f"{end}_at"))
+    met = links.join(of("src"), F.col("src") == F.col("src_id")).join(of("dst"), F.col("dst").eqNullSafe(F.col("dst_id"))).select("src_block", "src_at", "dst_block", "dst_at")
+    cells = met.mapInArrow(_packed(n), _DDL["cells"]).repartition(8 * n * n, "cell").persist(StorageLevel.DISK_ONLY)
 
     def written(frame: DataFrame, instead_of: DataFrame | None = None) -> tuple[DataFrame, float, float]:
         """The scores of a round, what dangling nodes hold and how far scores moved; both are observed by the write."""
         told = Observation()
-        out = saved(frame.observe(told, held, moved), "scores", instead_of=instead_of)
+        out = saved(frame.observe(told, F.sum("held").alias("held"), F.sum("moved").alias("moved")), "scores", instead_of=instead_of)
         return out, told.get["held"] or 0.0, told.get["moved"] or 0.0
 
-    first = linked.groupBy("id").agg(F.bool_and("dangles").alias("dangles"))
-    if links.isEmpty():
-        return first.select("id", F.lit(1.0).alias("score"))
-    scores, lost, _ = written(first.select("id", "dangles", F.lit(1.0).alias("score"), F.lit(0.0).alias("moved")))
-    n, k = scores.count(), 0
-    while rounds is None or k < rounds:
+    scores, lost, _ = written(nodes.groupBy("block").applyInArrow(_first_scores, _DDL["scores"]))
+    while count and (rounds is None or k < rounds):
         k += 1
-        given = links.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("n_out")).alias("given"))
-        score = F.lit(1 - damping) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(lost / n))
-        fresh = scores.join(given, "id", "left").select("id", "dangles", score.alias("score"), F.abs(score - F.col("score")).alias("moved"))
+        sent = scores.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: b * n + F.col("block"))).alias("cell"), "share")
+        given = cells.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(_given(n, sizes), _DDL["given"])
+        fresh = scores.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_rescored(damping, lost / count), _DDL["scores"])
         scores, lost, change = written(fresh, scores)
-        if rounds is None and change < tolerance * n:
+        if rounds is None and change < tolerance * count:
             break
+    cells.unpersist()
     dropped(links)
-    return scores.select("id", "score")
+    return nodes.join(scores.mapInArrow(_unpacked, "block int, at int, score double"), ["block", "at"]).select("id", "score")

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from skein.operators import reports as rp
@@ -51,6 +54,19 @@ def test_file_names(spark):
     assert row.f == "default__a_b_c.view.sql"
 
 
+def test_page_rank_over_many_blocks_and_links_that_stay(spark):
+    rng = random.Random(4)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(50)}") for _ in range(150)]
+    nodes, links = sorted({n for p in pairs for n in p}), set(pairs)
+    out, score = Counter(a for a, _ in links), dict.fromkeys(nodes, 1.0)
+    for _ in range(6):
+        lost = sum(score[n] for n in nodes if not out[n]) / len(nodes)
+        score = {n: 0.15 + 0.85 * (lost + sum(score[a] / out[a] for a, b in links if b == n)) for n in nodes}
+    for block in (9, 1000):
+        got = {r.id: r.score for r in rp.page_rank(spark.createDataFrame(pairs, "src string, dst string"), 6, block=block).collect()}
+        assert got.keys() == score.keys() and all(abs(got[n] - score[n]) < 1e-9 for n in nodes)
+
+
 def test_page_rank_converges_and_deals_out_what_dangles(spark):
     pairs = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("c", "e"), ("d", "c")]
     nodes, links = sorted({n for p in pairs for n in p}), set(pairs)
