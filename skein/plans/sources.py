@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators import usage as us
 from skein.plans.catalog import ORACLES as GRAPH_SQL
 from skein.plans.catalog import bound_graph
-from skein.session import scratch, table
+from skein.session import dropped, saved, scratch, table
 from skein.sources import catalogs as ct
 from skein.sources.archive import SourceArchive
 from skein.sources.store import GraphStore, canonical
@@ -68,8 +68,10 @@ def _two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = bound_graph(spark, sf_dir)
     store = GraphStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", buckets=4)
     half = F.pmod(F.xxhash64("id"), F.lit(3))
-    store.commit(graph.vertices.filter(half < 2), graph.edges)
-    store.commit(graph.vertices.filter(half > 0), graph.edges)
+    edges = saved(graph.edges, "edges")  # both batches have them all
+    store.commit(graph.vertices.filter(half < 2), edges)
+    store.commit(graph.vertices.filter(half > 0), edges)
+    dropped(edges)
     count = F.count(F.lit(1)).alias("n")
     return store.vertices().groupBy(F.lit("vertex").alias("kind"), F.col("vtype").alias("name")).agg(count).unionByName(store.edges().groupBy(F.lit("edge").alias("kind"), F.col("etype").alias("name")).agg(count))
 

@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.session import dropped, saved
+from skein.session import dropped, is_saved, saved
 
 MODES = ("DISABLED", "REMOTE", "REMOTE_BATCH")
 KEYS = {"vertices": ("id",), "edges": ("src", "dst", "etype")}
@@ -45,6 +46,19 @@ class Manifest:
         return Manifest(self.number + 1, self.schemas | schemas, parts)
 
 
+def _counted(rows: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """Rows, and their number once they were written: observed, or counted if an empty side of a join left them unread."""
+    told = Observation()
+
+    def count() -> int:
+        try:
+            return told.get["n"]
+        except Py4JJavaError:  # nothing was observed
+            return rows.count()
+
+    return rows.observe(told, F.count(F.lit(1)).alias("n")), count
+
+
 class GraphStore:
     """A property graph at ``path``; ``buckets`` holds for the store's life."""
 
@@ -141,45 +155,58 @@ class GraphStore:
         """Upserts a batch: counts of vertices inserted and repeated, edges inserted, repeated and dropped for an unknown end.
 
         Of equal keys in a batch the row least in ``order`` stays. ``REMOTE`` and ``REMOTE_BATCH`` differ in how a caller cuts its
-        batches, not in what is written; ``DISABLED`` writes and counts nothing.
+        batches, not in what is written; ``DISABLED`` writes and counts nothing. Frames that are saved are not written again.
         """
         if mode not in MODES:
             raise ValueError(f"unknown or unsupported mode {mode}")
-        batch = {"vertices": vertices, "edges": edges.filter("src IS NOT NULL AND dst IS NOT NULL")}
         if mode == "DISABLED":
             return {"vertices": 0, "repeated_vertices": 0, "edges": 0, "repeated_edges": 0, "dropped_edges": 0}
-        asked, kept = {}, {}
-        for kind, rows in batch.items():
-            rest = [c for c in rows.columns if c not in KEYS[kind] and c != order]
-            least = F.min(F.struct(*([order] if order in rows.columns else []), *rest)) if rest else F.lit(None).cast("string")
-            batch[kind] = counted = saved(rows.groupBy(*KEYS[kind]).agg(least.alias("row"), F.count(F.lit(1)).alias("asked")), f"batch-{kind}")
-            asked[kind] = counted.agg(F.sum("asked")).first()[0] or 0
-            kept[kind] = counted.select(*KEYS[kind], *(F.col("row")[c].alias(c) for c in rest))
+        batch, asked, own = {}, {}, []
+        for kind, rows in (("vertices", vertices), ("edges", edges)):
+            keyed = lambda df: df.filter("src IS NOT NULL AND dst IS NOT NULL") if kind == "edges" else df  # noqa: B023, E731
+            if is_saved(rows):
+                batch[kind] = keyed(rows)
+                asked[kind] = batch[kind].count()
+            else:
+                told, count = _counted(keyed(rows))
+                batch[kind] = saved(told, f"batch-{kind}")
+                asked[kind] = count()
+                own.append(batch[kind])
         for _ in range(tries):
-            if (counts := self._attempt(asked, kept)) is not None:
-                for counted in batch.values():
-                    dropped(counted)
+            if (counts := self._attempt(asked, batch, order)) is not None:
+                for rows in own:
+                    dropped(rows)
                 return counts
         raise RuntimeError(f"{tries} other writers came first")
 
-    def _attempt(self, asked: dict[str, int], kept: dict[str, DataFrame]) -> dict[str, int] | None:
+    def _attempt(self, asked: dict[str, int], batch: dict[str, DataFrame], order: str | None) -> dict[str, int] | None:
         base, version = self.manifest(), uuid.uuid4().hex
-        fresh, counts = {}, {}
-        ids = kept["vertices"].select("id").union(self.vertices(manifest=base).select("id")) if base.number else kept["vertices"].select("id")
-        known = kept["edges"].join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        known = known.select(*kept["edges"].columns)
-        if base.number:
-            known = saved(known, "known")  # what is new and how many are dropped are both read off it
-        for kind, rows in (("vertices", kept["vertices"]), ("edges", known)):
-            there = [p for p in self._touched(kept[kind], kind) if p in base.parts[kind]] if base.number else []
-            new = rows.join(self._read(kind, there, base).select(*KEYS[kind]), list(KEYS[kind]), "left_anti") if there else rows
-            self._write(new, kind, version)
+        fresh, counts, schemas = {}, {}, {}
+        ids = batch["vertices"].select("id").union(self.vertices(manifest=base).select("id")) if base.number else batch["vertices"].select("id")
+        for kind, rows in batch.items():
+            rest = [c for c in rows.columns if c not in KEYS[kind] and c != order]
+            least = F.min(F.when(~F.col("there"), F.struct(*([order] if order in rows.columns else []), *rest))) if rest else F.lit(None).cast("string")
+            places = [p for p in self._touched(rows, kind) if p in base.parts[kind]] if base.number else []
+            held = rows.withColumn("there", F.lit(False))
+            if places:
+                held = held.unionByName(self._read(kind, places, base).select(*KEYS[kind], F.lit(True).alias("there")), allowMissingColumns=True)
+            # rows lie by their owner, with those that are there, so neither equal keys nor owners ask for another shuffle of them
+            met = held.repartition(OWNER[kind]).groupBy(*KEYS[kind]).agg(least.alias("row"), F.bool_or("there").alias("there"), F.bool_and("there").alias("old"))
+            kept = met.filter("NOT old").select(*KEYS[kind], *(F.col("row")[c].alias(c) for c in rest), "there")
+            schemas[kind] = kept.drop("there").schema.json()
+            new, n_kept = _counted(kept)
+            if kind == "edges":
+                new, n_owned = _counted(new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
+                new, n_left = _counted(new.filter("NOT there"))
+                # what is there has both ends
+                new = new.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+            else:
+                new = new.filter("NOT there")
+            self._write(new.select(*kept.drop("there").columns), kind, version)
             fresh[kind] = self._written(kind, version)
             counts[kind] = sum(fresh[kind].values())
-        counts |= {"repeated_vertices": asked["vertices"] - counts["vertices"], "dropped_edges": kept["edges"].count() - (known.count() if base.number else counts["edges"])}
-        dropped(known)
+        counts |= {"repeated_vertices": asked["vertices"] - counts["vertices"], "dropped_edges": n_kept() - n_owned() + n_left() - counts["edges"]}
         counts["repeated_edges"] = asked["edges"] - counts["dropped_edges"] - counts["edges"]
-        schemas = {kind: kept[kind].schema.json() for kind in KEYS}
         if self._swap(base.with_version(version, schemas, {kind: list(own) for kind, own in fresh.items()})):
             return counts
         for kind in KEYS:

@@ -5,6 +5,8 @@ import tempfile
 import pytest
 
 from skein.operators.lineage import Graph, routine_scope
+from skein.session import saved
+from skein.sources import store as store_module
 from skein.sources.store import GraphStore, canonical
 
 V, E = "id string, vtype string, label string, n int", "src string, dst string, etype string"
@@ -32,6 +34,39 @@ def test_first_write_wins_and_edges_need_both_ends(spark):
         store.commit(*first, mode="EMBEDDED")
 
 
+def test_edges_without_any_known_end_are_counted(spark):
+    store = GraphStore(spark, tempfile.mkdtemp(prefix="spark-store-"), buckets=2)
+    counts = store.commit(*batch(spark, [], [("a", "b", "CALLS"), ("a", "b", "CALLS"), ("c", "b", "CALLS")]))
+    assert counts == {"vertices": 0, "repeated_vertices": 0, "edges": 0, "repeated_edges": 1, "dropped_edges": 2}
+    assert store.commit(*batch(spark, [("a", "Table", "a", 1)], [("a", "b", "CALLS")]))["dropped_edges"] == 1
+    assert store.commit(*batch(spark, [("x", "Table", "x", 1)], [("q", "x", "CALLS")])) == {"vertices": 1, "repeated_vertices": 0, "edges": 0, "repeated_edges": 0, "dropped_edges": 1}
+    assert store.commit(*batch(spark, [("b", "Table", "b", 1)], [("a", "b", "CALLS"), ("b", "c", "CALLS"), ("c", "a", "CALLS")])) == {"vertices": 1, "repeated_vertices": 0, "edges": 1, "repeated_edges": 0, "dropped_edges": 2}
+
+
+def test_a_commit_shuffles_its_edges_once_for_each_end(spark, monkeypatch):
+    plans, plain = [], GraphStore._write
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(GraphStore, "_write", lambda self, rows, kind, version: plans.append((kind, rows._jdf.queryExecution().executedPlan().toString())) or plain(self, rows, kind, version))
+    try:
+        store = GraphStore(spark, tempfile.mkdtemp(prefix="spark-store-"), buckets=2)
+        for label in ("a", "b"):
+            store.commit(*batch(spark, [(f"{label}{i}", "Table", label, i) for i in range(9)], [(f"{label}{i}", f"{label}{i + 1}", "CALLS") for i in range(9)]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    # by source, with what is there, and by end, and the ids for both
+    assert [plan.count("Exchange hashpartitioning") for kind, plan in plans if kind == "edges"] == [4, 4]
+
+
+def test_a_saved_frame_is_not_written_again(spark, monkeypatch):
+    vertices, edges = batch(spark, [("a", "Table", "a", 1)], [("a", "a", "CALLS"), (None, "a", "CALLS")])
+    edges, made = saved(edges, "edges"), []
+    monkeypatch.setattr(store_module, "saved", lambda df, name: made.append(name) or saved(df, name))
+    store = GraphStore(spark, tempfile.mkdtemp(prefix="spark-store-"), buckets=2)
+    assert store.commit(vertices, edges)["edges"] == 1 and store.commit(vertices, edges)["repeated_edges"] == 1
+    assert made == ["batch-vertices"] * 2 and edges.count() == 2
+
+
 def test_interleaved_writers_lose_nothing(spark):
     path = tempfile.mkdtemp(prefix="spark-store-")
     other = GraphStore(spark, path, buckets=2)
